@@ -3,10 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from origo.llm.common import table
 
 
+def tokenizer() -> str:
+    """The tokenizer file of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.substring import dedup
+
+    found = dedup(table(spark, sf_dir, "documents"), 50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer(), 1024)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from origo.llm.sharding import shard
 
@@ -15,6 +43,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_quality": op5_quality,
         "op9_sharding": op9_sharding,
     }
 
