@@ -41,12 +41,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.nearest import search
+
+    return search(table(spark, sf_dir, "embeddings"), 5)
+
+
 def queries() -> dict:
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality": op5_quality,
         "op9_sharding": op9_sharding,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
