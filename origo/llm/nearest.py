@@ -145,7 +145,7 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (top["n"] if top else 0))
 
 
-def search(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, width: int = 2, eta: float = 2.6, rerank: int = 256, query_block: int = 1024, code_block: int = 32768) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, width: int = 2, eta: float = 2.6, rerank: int = 384, query_block: int = 1024, code_block: int = 32768) -> DataFrame:
     """`query_id, rank, vec_id, score`: for each row whose id is divisible by
     `every` the k nearest other rows by cosine, nearest first, ties to smaller
     ids; the `rerank` entries of the best table sums are compared exactly."""
