@@ -44,6 +44,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(events(turns)))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.lines import dedup
+
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from origo.llm.sharding import shard
 
@@ -62,6 +68,7 @@ def queries() -> dict:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality": op5_quality,
         "op6_chat_formatting": op6_chat_formatting,
+        "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
