@@ -15,6 +15,17 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.private import KINDS, find, said
+
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from origo.llm.substring import dedup
 
@@ -64,6 +75,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_private_data": op2_private_data,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality": op5_quality,
