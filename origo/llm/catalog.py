@@ -15,6 +15,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.jaccard import join
+
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8, 5).select("doc_id", "class_id", "copy_of", "n_copies", "n_links", "n_linked_sets")
+
+
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from origo.llm.private import KINDS, find, said
 
@@ -75,6 +81,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_private_data": op2_private_data,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
