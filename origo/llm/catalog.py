@@ -61,6 +61,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(events(turns)))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.decontam import find
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find(docs, table(spark, sf_dir, "benchmark"), 0.8, 5).select("doc_id", "item_id", "start", "similarity")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from origo.llm.lines import dedup
 
@@ -87,6 +94,7 @@ def queries() -> dict:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality": op5_quality,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_nearest_neighbours": op10_nearest_neighbours,
