@@ -1 +1,26 @@
-"""functions."""
+"""Column builders shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def elapsed_days(later: Column, earlier: Column) -> Column:
+    """Whole days of 24 hours from `earlier` to `later`, rounded down."""
+    days = F.timestamp_diff("DAY", earlier, later)
+    return F.when(F.timestamp_add("DAY", days.cast("int"), earlier) > later, days - 1).otherwise(days)
+
+
+def calendar_days(later: Column, earlier: Column) -> Column:
+    """Midnights passed between `earlier` and `later`."""
+    return F.date_diff(later, earlier)
+
+
+def add_days(ts: Column, days: Column | int) -> Column:
+    return F.timestamp_add("DAY", F.lit(days) if isinstance(days, int) else days, ts)
+
+
+def positive(number: Column) -> Column:
+    """Whether a number is above zero; NaN and null are not."""
+    return F.coalesce(~F.isnan(number.cast("double")) & (number > 0), F.lit(False))

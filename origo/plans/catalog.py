@@ -1,11 +1,530 @@
-"""Queries registered for the driver, and their SQL."""
+"""Queries registered for the driver, and the SQL of what they compute."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from origo.operators import activity, backtest, calibration, cleaning, hazard, leakage, metrics, model, subscription
+from origo.operators.windows import origins_frame
+from origo.plans import tables as t
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- panels by activity -------------------------------------------------------
+
+ACT = (datetime(1996, 1, 1), 22, 90, 7, 30)
+ACT_SQL = t.origins_sql("1996-01-01", 22, 90, 7, 30)
+RFM = ["recency_days", "frequency", "monetary"]
+
+PANEL_SQL = f"""WITH {t.TX}, {ACT_SQL},
+f AS (SELECT customer_id, as_of, label_start, label_end, date_sub('day', max(invoice_date), as_of) AS recency_days,
+  count(DISTINCT invoice) AS frequency, sum(revenue) AS monetary
+  FROM o JOIN tx ON invoice_date < as_of GROUP BY ALL HAVING max(invoice_date) >= as_of - INTERVAL 365 DAY),
+panel AS (SELECT customer_id, as_of, recency_days, frequency, CAST(monetary AS DOUBLE) AS monetary,
+  CAST(NOT EXISTS (SELECT 1 FROM tx WHERE tx.customer_id = f.customer_id AND invoice_date >= label_start AND invoice_date < label_end) AS INTEGER) AS churned FROM f)"""
+NAIVE_SQL = f"""WITH {t.TX}, {ACT_SQL},
+e AS (SELECT DISTINCT as_of, label_start, label_end, customer_id FROM o JOIN tx ON invoice_date >= as_of - INTERVAL 365 DAY AND invoice_date < as_of),
+nf AS (SELECT customer_id, date_sub('day', max(invoice_date), (SELECT max(invoice_date) FROM tx)) AS recency_days, count(DISTINCT invoice) AS frequency,
+  CAST(sum(revenue) AS DOUBLE) AS monetary FROM tx GROUP BY 1),
+naive AS (SELECT customer_id, as_of, recency_days, frequency, monetary,
+  CAST(NOT EXISTS (SELECT 1 FROM tx WHERE tx.customer_id = e.customer_id AND invoice_date >= label_start AND invoice_date < label_end) AS INTEGER) AS churned
+  FROM e JOIN nf USING (customer_id))"""
+
+
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    panel = activity.build_asof_panel(t.activity(spark, d), t.windows(*ACT))
+    return panel.withColumn("monetary", F.col("monetary").cast("double"))
+
+
+def _naive(spark: SparkSession, d: str) -> DataFrame:
+    return activity.build_naive_panel(t.activity(spark, d), t.windows(*ACT)).withColumn("monetary", F.col("monetary").cast("double"))
+
+
+@query(PANEL_SQL + f" SELECT customer_id, {t.DAY}, recency_days, frequency, monetary, churned FROM panel")
+def asof_rfm_panel(spark, d):
+    return _panel(spark, d).select("customer_id", t.day(), *RFM, "churned")
+
+
+@query(PANEL_SQL + f" SELECT {t.DAY}, count(*) AS n, round(avg(churned), 9) AS churn_rate FROM panel GROUP BY ALL")
+def origin_prevalence(spark, d):
+    return _panel(spark, d).groupBy("as_of").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("churned"), 9).alias("churn_rate")).select(t.day(), "n", "churn_rate")
+
+
+@query(f"""WITH {t.TX}, {ACT_SQL} SELECT {t.DAY}, days, count(DISTINCT customer_id) AS n FROM o, (VALUES (60), (365)) v(days), tx
+  WHERE invoice_date >= as_of - to_days(days) AND invoice_date < as_of GROUP BY ALL""")
+def eligible_counts(spark, d):
+    tx, w = t.activity(spark, d), t.windows(*ACT)
+    both = [activity.eligible_customers(tx, w, n).withColumn("days", F.lit(n)) for n in (60, 365)]
+    return both[0].unionByName(both[1]).groupBy("as_of", "days").agg(F.count(F.lit(1)).alias("n")).select(t.day(), "days", "n")
+
+
+@query(NAIVE_SQL + f" SELECT customer_id, {t.DAY}, recency_days, frequency, monetary, churned FROM naive")
+def naive_rfm_panel(spark, d):
+    return _naive(spark, d).select("customer_id", t.day(), *RFM, "churned")
+
+
+@query(PANEL_SQL + "," + NAIVE_SQL.split(f"{ACT_SQL},")[1] + """,
+d AS (SELECT unnest(['recency_days', 'frequency', 'monetary']) AS feature,
+  unnest([CAST(n.recency_days - p.recency_days AS DOUBLE), CAST(n.frequency - p.frequency AS DOUBLE), n.monetary - p.monetary]) AS d
+  FROM naive n JOIN panel p USING (customer_id, as_of))
+SELECT feature, round(avg(CAST(d <> 0 AS INTEGER)), 9) AS pct_differing, round(median(d), 4) AS median_delta, round(avg(d), 4) AS mean_delta FROM d GROUP BY 1""")
+def naive_vs_asof_delta(spark, d):
+    delta = leakage.feature_delta(_naive(spark, d), _panel(spark, d), RFM, ["customer_id", "as_of"])
+    return delta.select("feature", F.round("pct_differing", 9).alias("pct_differing"), F.round("median_delta", 4).alias("median_delta"), F.round("mean_delta", 4).alias("mean_delta"))
+
+
+@query(f"""WITH {t.TX} SELECT customer_id, CAST(max(invoice_date) < (SELECT max(invoice_date) FROM tx) - INTERVAL 90 DAY AS INTEGER) AS churned FROM tx GROUP BY 1""")
+def tautological_label(spark, d):
+    return activity.tautological_label(t.activity(spark, d), 90)
+
+
+@query(PANEL_SQL + """, r AS (SELECT customer_id, idx, churned AS y FROM panel JOIN o USING (as_of)),
+p AS (SELECT lag, a.idx, avg(CAST(a.y = b.y AS INTEGER)) AS a, avg(a.y) AS p, avg(b.y) AS q FROM (VALUES (1), (2), (3)) v(lag) JOIN r a ON true
+  JOIN r b ON a.customer_id = b.customer_id AND b.idx = a.idx + lag GROUP BY ALL)
+SELECT lag, round(avg(a), 9) AS agreement, round(avg(p * q + (1 - p) * (1 - q)), 9) AS independent FROM p GROUP BY 1""")
+def label_agreement_lag(spark, d):
+    found = leakage.label_agreement_by_lag(_panel(spark, d))
+    return found.select("lag", F.round("agreement", 9).alias("agreement"), F.round("independent", 9).alias("independent"))
+
+
+CUT = datetime(1999, 1, 1)
+
+
+@query(PANEL_SQL + """, a AS (SELECT DISTINCT customer_id FROM panel WHERE as_of < '1999-01-01'), b AS (SELECT DISTINCT customer_id FROM panel WHERE as_of >= '1999-01-01')
+SELECT (SELECT count(*) FROM a) AS n_train, (SELECT count(*) FROM b) AS n_test, (SELECT count(*) FROM a JOIN b USING (customer_id)) AS n_both,
+  round((SELECT count(*) FROM a JOIN b USING (customer_id)) / (SELECT count(*) FROM b), 9) AS share_seen""")
+def customer_overlap(spark, d):
+    panel, cut = _panel(spark, d), F.lit(CUT).cast("timestamp_ntz")
+    found = leakage.customer_overlap(panel.filter(F.col("as_of") < cut), panel.filter(F.col("as_of") >= cut))
+    return found.withColumn("share_seen", F.round("share_seen", 9))
+
+
+# --- cleaning -----------------------------------------------------------------
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS invoice, CAST(l_partkey AS VARCHAR) AS stock_code, o_custkey AS customer_id, strftime(o_orderdate, '%Y-%m-%d') AS as_of,
+  CAST(CAST(l_quantity AS INTEGER) - 3 AS INTEGER) AS quantity, l_extendedprice AS price, round((CAST(l_quantity AS INTEGER) - 3) * l_extendedprice, 2) AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE o_orderstatus <> 'P' AND l_partkey % 50 <> 0 AND o_custkey % 17 <> 0 AND l_quantity > 3 AND l_extendedprice > 0""")
+def clean_transactions(spark, d):
+    rows = cleaning.clean_retail(t.raw_retail(spark, d))
+    return rows.select("invoice", "stock_code", "customer_id", t.day("invoice_date"), "quantity", "price", F.round("revenue", 2).alias("revenue"))
+
+
+SUB_COLUMNS = "customer_id, payment_method_id, payment_plan_days, plan_list_price, actual_amount_paid, is_auto_renew, transaction_date, membership_expire_date, is_cancel"
+
+
+def _clean_sub(spark, d):
+    rows = t.raw_subscription(spark, d)
+    raw = rows.withColumnRenamed("customer_id", "msno").withColumns({c: F.date_format(c, "yyyyMMdd").cast("int") for c in ("transaction_date", "membership_expire_date")})
+    return cleaning.clean_subscriptions(raw)
+
+
+@query(f"WITH {t.RAW_SUB} SELECT DISTINCT * REPLACE (strftime(transaction_date, '%Y-%m-%d') AS transaction_date, strftime(membership_expire_date, '%Y-%m-%d') AS membership_expire_date) FROM raw WHERE membership_expire_date >= '2000-01-01' AND NOT (membership_expire_date < transaction_date AND is_cancel = 0)")
+def clean_subscriptions(spark, d):
+    return _clean_sub(spark, d).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("transaction_date", "membership_expire_date")})
+
+
+@query(f"""WITH {t.RAW_SUB}, n AS (SELECT *, row_number() OVER (PARTITION BY {SUB_COLUMNS}) AS k FROM raw)
+SELECT CASE WHEN k > 1 THEN 'duplicate' WHEN membership_expire_date < '2000-01-01' THEN 'sentinel_expiry'
+  WHEN membership_expire_date < transaction_date AND is_cancel = 0 THEN 'inconsistent_expiry' ELSE 'kept' END AS reason, count(*) AS n FROM n GROUP BY 1""")
+def drop_attribution(spark, d):
+    return cleaning.drop_attribution(t.raw_subscription(spark, d))
+
+
+@query(f"""WITH {t.RAW_SUB} SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS duplicate,
+  count(*) FILTER (membership_expire_date < '2000-01-01') AS sentinel_expiry,
+  count(*) FILTER (membership_expire_date < transaction_date AND is_cancel = 0) AS inconsistent_expiry FROM raw""")
+def drop_counts(spark, d):
+    return cleaning.drop_counts(t.raw_subscription(spark, d))
+
+
+@query(f"WITH {t.SUB} SELECT payment_plan_days, count(*) AS n, round(count(*) / (SELECT count(*) FROM sub), 9) AS share FROM sub GROUP BY 1 ORDER BY n DESC, 1 LIMIT 8")
+def plan_distribution(spark, d):
+    rows = t.subscription(spark, d)
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_all")))  # one row
+    counts = rows.groupBy("payment_plan_days").agg(F.count(F.lit(1)).alias("n")).join(total)
+    return counts.select("payment_plan_days", "n", F.round(F.col("n") / F.col("_all"), 9).alias("share")).orderBy(F.desc("n"), "payment_plan_days").limit(8)
+
+
+@query(f"""WITH {t.TX}, f AS (SELECT customer_id, min(invoice_date) AS d FROM tx GROUP BY 1)
+SELECT CAST(round(quantile_cont(epoch(d), 0.8)) AS BIGINT) AS q80, count(*) AS n FROM f""")
+def first_purchase_quantile(spark, d):
+    first = t.activity(spark, d).groupBy("customer_id").agg(F.min("invoice_date").alias("d"))
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("d"))
+    return first.agg(F.round(F.percentile(seconds, F.lit(0.8))).cast("long").alias("q80"), F.count(F.lit(1)).alias("n"))
+
+
+# --- panels by subscription ---------------------------------------------------
+
+SUBW = (datetime(1996, 1, 1), 60, 30, 7, 30)
+
+
+def _sub_sql(gap: int, egap: int) -> str:
+    return f"""WITH {t.SUB}, {t.origins_sql("1996-01-01", 60, 30, gap, 30, egap)},
+u AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY customer_id, transaction_date ORDER BY membership_expire_date DESC, payment_method_id DESC,
+  payment_plan_days DESC, plan_list_price DESC, actual_amount_paid DESC, is_auto_renew DESC, is_cancel DESC) = 1),
+g AS (SELECT as_of, label_start, label_end, egap, customer_id, first FROM o, (SELECT customer_id, min(transaction_date) AS first FROM sub GROUP BY 1)),
+m AS (SELECT g.as_of, label_start, label_end, g.customer_id, date_diff('day', g.as_of, membership_expire_date) AS days_until_expiry,
+  date_diff('day', first, g.as_of) AS tenure_days, actual_amount_paid AS current_plan_price, is_auto_renew
+  FROM g ASOF JOIN u ON g.customer_id = u.customer_id AND g.as_of > u.transaction_date
+  WHERE membership_expire_date >= g.as_of - INTERVAL 45 DAY AND membership_expire_date < g.as_of + to_days(egap)),
+l AS (SELECT as_of, customer_id, count(*) AS nt, count(*) FILTER (is_cancel = 1) AS nc FROM o JOIN sub ON transaction_date >= as_of - INTERVAL 180 DAY AND transaction_date < as_of GROUP BY ALL),
+panel AS (SELECT customer_id, as_of, CAST(days_until_expiry AS INTEGER) AS days_until_expiry, CAST(tenure_days AS INTEGER) AS tenure_days, current_plan_price, is_auto_renew,
+  coalesce(nt, 0) AS n_transactions_lookback, coalesce(nc, 0) AS n_cancellations_lookback,
+  CAST(NOT EXISTS (SELECT 1 FROM sub WHERE sub.customer_id = m.customer_id AND is_cancel = 0 AND transaction_date >= label_start AND transaction_date < label_end) AS INTEGER) AS churned
+  FROM m LEFT JOIN l USING (as_of, customer_id))"""
+
+
+SUB_SQL = _sub_sql(7, 7)
+FEATURES = list(subscription.FEATURES)
+
+
+def _sub_panel(spark, d):
+    return subscription.build_subscription_panel(t.subscription(spark, d), t.windows(*SUBW))
+
+
+@query(SUB_SQL + f" SELECT {t.DAY}, customer_id, days_until_expiry, tenure_days, current_plan_price, is_auto_renew FROM panel")
+def asof_membership_state(spark, d):
+    return subscription.membership_state(t.subscription(spark, d), t.windows(*SUBW)).select(t.day(), "customer_id", *FEATURES[:4])
+
+
+@query(SUB_SQL + f" SELECT {t.DAY}, customer_id, nt AS n_transactions_lookback, nc AS n_cancellations_lookback FROM l")
+def lookback_counts(spark, d):
+    return subscription.lookback_counts(t.subscription(spark, d), t.windows(*SUBW)).select(t.day(), "customer_id", *FEATURES[4:])
+
+
+@query(SUB_SQL + f" SELECT {t.DAY}, customer_id, churned FROM panel")
+def subscription_label(spark, d):
+    tx, w = t.subscription(spark, d), t.windows(*SUBW)
+    return subscription.with_label(subscription.membership_state(tx, w), tx, w).select(t.day(), "customer_id", "churned")
+
+
+@query(SUB_SQL + f" SELECT customer_id, {t.DAY}, {', '.join(FEATURES)}, churned FROM panel")
+def subscription_panel(spark, d):
+    return _sub_panel(spark, d).select("customer_id", t.day(), *FEATURES, "churned")
+
+
+@query(_sub_sql(0, 7) + f" SELECT customer_id, {t.DAY}, {', '.join(FEATURES)}, churned FROM panel")
+def subscription_panel_pinned_gap(spark, d):
+    w = t.windows(SUBW[0], SUBW[1], SUBW[2], 0, SUBW[4])
+    return subscription.build_subscription_panel(t.subscription(spark, d), w, eligibility_gap_days=7).select("customer_id", t.day(), *FEATURES, "churned")
+
+
+@query(SUB_SQL + """, x AS (SELECT panel.churned, CAST(EXISTS (SELECT 1 FROM sub WHERE sub.customer_id = panel.customer_id AND is_cancel = 0
+  AND transaction_date >= panel.as_of AND transaction_date < panel.as_of + INTERVAL 7 DAY) AS INTEGER) AS renewed_in_gap FROM panel)
+SELECT renewed_in_gap, count(*) AS n, round(avg(churned), 9) AS churn_rate, round(count(*) / (SELECT count(*) FROM x), 9) AS share FROM x GROUP BY 1""")
+def gap_effect(spark, d):
+    tx, w = t.subscription(spark, d), t.windows(*SUBW)
+    found = subscription.gap_effect(tx, subscription.build_subscription_panel(tx, w), w)
+    return found.select("renewed_in_gap", "n", F.round("churn_rate", 9).alias("churn_rate"), F.round("share", 9).alias("share"))
+
+
+SUB_NAIVE = f"""nv AS (SELECT customer_id, CAST(date_diff('day', (SELECT max(transaction_date) FROM sub), membership_expire_date) AS INTEGER) AS days_until_expiry,
+  CAST(date_diff('day', first, (SELECT max(transaction_date) FROM sub)) AS INTEGER) AS tenure_days, actual_amount_paid AS current_plan_price, is_auto_renew,
+  nt AS n_transactions_lookback, nc AS n_cancellations_lookback
+FROM (SELECT *, min(transaction_date) OVER (PARTITION BY customer_id) AS first, count(*) OVER (PARTITION BY customer_id) AS nt,
+  count(*) FILTER (is_cancel = 1) OVER (PARTITION BY customer_id) AS nc FROM sub
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY transaction_date DESC, membership_expire_date DESC, payment_method_id DESC, payment_plan_days DESC,
+    plan_list_price DESC, actual_amount_paid DESC, is_auto_renew DESC, is_cancel DESC) = 1))"""
+
+
+@query(f"WITH {t.SUB}, {SUB_NAIVE} SELECT customer_id, {', '.join(FEATURES)} FROM nv")
+def naive_subscription_features(spark, d):
+    return subscription.naive_features(t.subscription(spark, d))
+
+
+@query(SUB_SQL + f", {SUB_NAIVE} SELECT customer_id, {t.DAY}, {', '.join('nv.' + c for c in FEATURES)}, churned FROM panel JOIN nv USING (customer_id)")
+def naive_subscription_panel(spark, d):
+    tx = t.subscription(spark, d)
+    return subscription.build_naive_panel(_sub_panel(spark, d), tx).select("customer_id", t.day(), *FEATURES, "churned")
+
+
+# --- origins ------------------------------------------------------------------
+
+PLAN = (datetime(1996, 1, 1), 22, 30, 7, 30)
+
+
+def _plan_sql(extra: str) -> str:
+    return f"""WITH {t.origins_sql("1996-01-01", 22, 30, 7, 30)} SELECT strftime(b.as_of, '%Y-%m-%d') AS test_as_of, count(*) AS n_train,
+strftime(min(a.as_of), '%Y-%m-%d') AS first_train, strftime(max(a.as_of), '%Y-%m-%d') AS last_train FROM o b JOIN o a ON a.idx < b.idx AND b.idx >= 2 {extra} GROUP BY 1"""
+
+
+def _plan(spark, **options):
+    found = backtest.origin_plan(origins_frame(spark, t.windows(*PLAN)), min_training_origins=2, **options)
+    return found.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if c != "n_train" else F.col(c) for c in found.columns])
+
+
+@query(_plan_sql("AND a.label_end <= b.as_of"))
+def origin_plan_expanding(spark, d):
+    return _plan(spark)
+
+
+@query(_plan_sql("AND a.label_end <= b.as_of AND a.as_of >= b.as_of - INTERVAL 180 DAY"))
+def origin_plan_sliding(spark, d):
+    return _plan(spark, max_lookback_days=180)
+
+
+@query(_plan_sql(""))
+def origin_plan_unpurged(spark, d):
+    return _plan(spark, purge=False)
+
+
+# --- hazards ------------------------------------------------------------------
+
+HAZ = (datetime(2024, 1, 5), 3, 5, 1, 9)
+HAZ_SQL = t.origins_sql("2024-01-05", 3, 5, 1, 9)
+HAZ_PANEL = f"""WITH {t.PURCHASES}, {HAZ_SQL}, f AS (SELECT as_of, label_start, customer_id, min(event_date) AS first FROM o JOIN ev ON event_date >= label_start AND event_date < label_end GROUP BY ALL),
+fp AS (SELECT as_of, customer_id, CAST(date_sub('day', label_start, first) // 3 + 1 AS INTEGER) AS period FROM f),
+pn AS (SELECT as_of, customer_id, count(*) AS n_before FROM o JOIN ev ON event_date < as_of GROUP BY ALL)"""
+
+
+def _hazard_panel(spark, d):
+    ev, w = t.purchases(spark, d), t.windows(*HAZ)
+    origins = F.broadcast(origins_frame(spark, w))  # a row for each origin
+    seen = ev.join(origins, F.col("event_date") < F.col("as_of")).groupBy("as_of", "customer_id").agg(F.count(F.lit(1)).alias("n_before"))
+    return ev, w, seen
+
+
+@query(HAZ_PANEL + f" SELECT {t.DAY}, customer_id, period FROM fp")
+def first_event_period(spark, d):
+    ev, w, _ = _hazard_panel(spark, d)
+    return hazard.first_event_period(ev, w, time_col="event_date", period_days=3).select(t.day(), "customer_id", "period")
+
+
+@query(HAZ_PANEL + f""", x AS (SELECT customer_id, as_of, n_before, fp.period AS e, unnest(range(1, coalesce(fp.period, 3) + 1)) AS period FROM pn LEFT JOIN fp USING (as_of, customer_id))
+SELECT customer_id, {t.DAY}, CAST(period AS INTEGER) AS period, CAST(coalesce(period = e, false) AS INTEGER) AS event, n_before FROM x""")
+def person_period_panel(spark, d):
+    ev, w, panel = _hazard_panel(spark, d)
+    rows = hazard.person_periods(ev, w, panel, ["n_before"], time_col="event_date", period_days=3)
+    return rows.select("customer_id", t.day(), "period", "event", "n_before")
+
+
+HAZARDS = HAZ_PANEL + ", h AS (SELECT as_of, customer_id, p AS period, ((n_before * 7 + p * 13) % 90) / 100.0 AS hazard FROM pn, (VALUES (1), (2), (3)) v(p))"
+
+
+def _hazards(spark, d):
+    _, _, panel = _hazard_panel(spark, d)
+    return hazard.expand_periods(panel, 3).withColumn("hazard", ((F.col("n_before") * 7 + F.col("period") * 13) % 90) / 100)
+
+
+@query(HAZARDS + f" SELECT {t.DAY}, customer_id, round(product(1 - hazard), 9) AS survival FROM h GROUP BY ALL")
+def survival_product(spark, d):
+    return hazard.survival(_hazards(spark, d)).select(t.day(), "customer_id", F.round("survival", 9).alias("survival"))
+
+
+@query(HAZARDS + f" SELECT {t.DAY}, customer_id, period, round(product(1 - hazard) OVER (PARTITION BY as_of, customer_id ORDER BY period), 9) AS survival FROM h")
+def survival_cumulative(spark, d):
+    return hazard.cumulative_survival(_hazards(spark, d)).select(t.day(), "customer_id", "period", F.round("survival", 9).alias("survival"))
+
+
+@query(HAZARDS + """, c AS (SELECT period, hazard, product(1 - hazard) OVER (PARTITION BY as_of, customer_id ORDER BY period) AS s FROM h),
+m AS (SELECT period, avg(hazard) AS mean_hazard, avg(s) AS mean_survival FROM c GROUP BY 1)
+SELECT period, round(mean_hazard, 9) AS mean_hazard, round(mean_survival, 9) AS mean_survival, round(-ln(mean_survival), 9) AS cumulative_hazard,
+  round(lag(mean_survival, 1, 1.0) OVER (ORDER BY period) - mean_survival, 9) AS survival_drop FROM m""")
+def hazard_period_summary(spark, d):
+    found = hazard.period_summary(_hazards(spark, d))
+    return found.select("period", *[F.round(c, 9).alias(c) for c in ("mean_hazard", "mean_survival", "cumulative_hazard", "survival_drop")])
+
+
+@query(PANEL_SQL + """, c AS (SELECT customer_id FROM panel WHERE as_of = '1996-01-01' AND churned = 1),
+e AS (SELECT label_end AS le FROM o WHERE as_of = '1996-01-01'),
+b AS (SELECT customer_id, date_sub('day', (SELECT le FROM e), min(invoice_date)) AS d FROM tx JOIN c USING (customer_id) WHERE invoice_date >= (SELECT le FROM e) GROUP BY 1)
+SELECT (SELECT count(*) FROM c) AS n_churned, count(*) AS n_returned, count(*) FILTER (d <= 14) AS within_14, count(*) FILTER (d > 90) AS beyond_90,
+  CAST(median(d) AS DOUBLE) AS median_days, (SELECT date_sub('day', (SELECT le FROM e), max(invoice_date)) FROM tx) AS tail_days FROM b""")
+def late_returners(spark, d):
+    return hazard.late_returners(t.activity(spark, d), _panel(spark, d), t.windows(*ACT)[0])
+
+
+# --- metrics over a score that both sides compute -----------------------------
+
+SCORED = PANEL_SQL + ", s AS (SELECT customer_id, panel.as_of, churned AS y, ((customer_id * 7919 + idx * 104729) % 1000) / 1000.0 AS p FROM panel JOIN o ON panel.as_of = o.as_of)"
+BUNDLE = """round((sum(fp * (tpa + tp / 2.0))) / (sum(tp) * sum(fp)), 9) AS roc_auc, round(sum(tp * (tpa + tp) / CAST(na + n AS DOUBLE)) / sum(tp), 9) AS pr_auc"""
+
+
+def _scored(spark, d):
+    origins = F.broadcast(origins_frame(spark, t.windows(*ACT)).select("as_of", "idx"))  # a row for each origin
+    p = ((F.col("customer_id") * 7919 + F.col("idx") * 104729) % 1000) / 1000
+    return _panel(spark, d).join(origins, "as_of").select("customer_id", "as_of", F.col("churned").alias("y"), p.alias("p"))
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+@query(SCORED + f""", k AS (SELECT p, sum(y) AS tp, count(*) AS n, count(*) - sum(y) AS fp FROM s GROUP BY 1),
+c AS (SELECT *, coalesce(sum(tp) OVER w, 0) AS tpa, coalesce(sum(n) OVER w, 0) AS na FROM k WINDOW w AS (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(tp) / sum(n), 9) AS prevalence, {BUNDLE}, (SELECT round(avg((p - y) * (p - y)), 9) FROM s) AS brier FROM c""")
+def score_bundle(spark, d):
+    return _rounded(metrics.score(_scored(spark, d)), "prevalence", "roc_auc", "pr_auc", "brier")
+
+
+@query(SCORED + f""", k AS (SELECT as_of, p, sum(y) AS tp, count(*) AS n, count(*) - sum(y) AS fp FROM s GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(tp) OVER w, 0) AS tpa, coalesce(sum(n) OVER w, 0) AS na FROM k WINDOW w AS (PARTITION BY as_of ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT as_of, round(avg((p - y) * (p - y)), 9) AS brier FROM s GROUP BY 1)
+SELECT {t.DAY}, CAST(sum(n) AS BIGINT) AS n, round(sum(tp) / sum(n), 9) AS prevalence, {BUNDLE}, any_value(brier) AS brier FROM c JOIN b USING (as_of) GROUP BY c.as_of""".replace("strftime(as_of", "strftime(c.as_of"))
+def score_by_origin(spark, d):
+    found = _rounded(metrics.score(_scored(spark, d), by=["as_of"]), "prevalence", "roc_auc", "pr_auc", "brier")
+    return found.select(t.day(), "n", "prevalence", "roc_auc", "pr_auc", "brier")
+
+
+@query(PANEL_SQL + """, l AS (SELECT unnest(['recency_days', 'frequency', 'monetary']) AS feature, unnest([CAST(recency_days AS DOUBLE), CAST(frequency AS DOUBLE), monetary]) AS v, churned AS y FROM panel),
+k AS (SELECT feature, v, sum(y) AS tp, count(*) - sum(y) AS fp FROM l GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(tp) OVER (PARTITION BY feature ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tpa FROM k),
+a AS (SELECT feature, sum(fp * (tpa + tp / 2.0)) / (sum(tp) * sum(fp)) AS auc FROM c GROUP BY 1) SELECT feature, round(greatest(auc, 1 - auc), 9) AS auc FROM a""")
+def single_feature_auc(spark, d):
+    return _rounded(leakage.single_feature_auc(_panel(spark, d), RFM), "auc")
+
+
+BINS = "bins AS (SELECT CAST(greatest(len(list_filter([i / {n}.0 for i in range({n})], e -> e < p)) - 1, 0) AS INTEGER) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM s GROUP BY 1)"
+
+
+@query(SCORED + ", " + BINS.format(n=10) + """ SELECT bin, round(bin / 10.0, 9) AS bin_lower, round((bin + 1) / 10.0, 9) AS bin_upper, n, round(mp, 9) AS mean_predicted,
+  round(obs, 9) AS observed_rate, round(obs - mp, 9) AS gap FROM bins""")
+def reliability_table(spark, d):
+    found = calibration.reliability_gap(calibration.reliability_table(_scored(spark, d)))
+    return _rounded(found, "bin_lower", "bin_upper", "mean_predicted", "observed_rate", "gap")
+
+
+def _brier_sql(n: int) -> str:
+    return f"""SELECT {n} AS n_bins, round(rel, 9) AS reliability, round(res, 9) AS resolution, round(base * (1 - base), 9) AS uncertainty, round(base * (1 - base) - res + rel, 9) AS brier_binned
+FROM (SELECT (SELECT avg(y) FROM s) AS base, sum(n * (mp - obs) ** 2) / sum(n) AS rel, sum(n * (obs - (SELECT avg(y) FROM s)) ** 2) / sum(n) AS res
+  FROM (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM s GROUP BY greatest(len(list_filter([i / {n}.0 for i in range({n})], e -> e < p)) - 1, 0)))"""
+
+
+@query(SCORED + " " + " UNION ALL ".join(map(_brier_sql, (5, 10, 15, 20, 30))))
+def brier_decomposition(spark, d):
+    found = _rounded(calibration.bin_sensitivity(_scored(spark, d)), "reliability", "resolution", "uncertainty", "brier_binned")
+    return found.select("n_bins", "reliability", "resolution", "uncertainty", "brier_binned")
+
+
+OFFER = {"offer_cost": 2.5, "saved_margin": 16.0, "save_rate": 0.25}
+THRESHOLDS = [i / 20 for i in range(1, 20)]
+
+
+@query(SCORED + ", th AS (SELECT i / 20.0 AS threshold FROM range(1, 20) t(i)) SELECT threshold, count(*) FILTER (p >= threshold) AS n_targeted, CAST(4.0 * coalesce(sum(y) FILTER (p >= threshold), 0) - 2.5 * count(*) FILTER (p >= threshold) AS DOUBLE) AS expected_value FROM th, s GROUP BY 1")
+def ev_sweep(spark, d):
+    return metrics.sweep_expected_value(_scored(spark, d), THRESHOLDS, **OFFER)
+
+
+@query(SCORED + " SELECT 0.625 AS threshold, count(*) FILTER (p >= 0.625) AS n_targeted, CAST(4.0 * coalesce(sum(y) FILTER (p >= 0.625), 0) - 2.5 * count(*) FILTER (p >= 0.625) AS DOUBLE) AS expected_value FROM s".replace("0.625 AS threshold", "CAST(0.625 AS DOUBLE) AS threshold"))
+def ev_breakeven(spark, d):
+    return metrics.sweep_expected_value(_scored(spark, d), [metrics.break_even_threshold(**OFFER)], **OFFER)
+
+
+@query(SCORED + """, l AS (SELECT y, row_number() OVER (ORDER BY p DESC, customer_id) AS r FROM s WHERE as_of = (SELECT max(as_of) FROM s)), k AS (SELECT unnest([100, 200, 300, 500, 1000]) AS budget)
+SELECT budget, count(*) FILTER (r <= budget) AS n_targeted, CAST(coalesce(sum(y) FILTER (r <= budget), 0) AS BIGINT) AS churners,
+  CAST(4.0 * coalesce(sum(y) FILTER (r <= budget), 0) - 2.5 * count(*) FILTER (r <= budget) AS DOUBLE) AS expected_value FROM k, l GROUP BY 1""")
+def budget_ev(spark, d):
+    rows = _scored(spark, d)
+    last = F.broadcast(rows.agg(F.max("as_of").alias("as_of")))  # one row
+    return metrics.budget_value(rows.join(last, "as_of"), [100, 200, 300, 500, 1000], "customer_id", **OFFER)
+
+
+@query(SCORED + " SELECT y AS actual, CAST(p >= 0.5 AS INTEGER) AS predicted, count(*) AS n FROM s GROUP BY ALL")
+def confusion_matrix(spark, d):
+    return metrics.confusion(_scored(spark, d))
+
+
+# --- with a model in the loop: no SQL -----------------------------------------
+
+SMALL = (datetime(1999, 1, 1), 5, 90, 7, 30)
+
+
+def _small(spark, d):
+    tx, w = t.activity(spark, d), t.windows(*SMALL)
+    panel = activity.build_asof_panel(tx, w).withColumn("monetary", F.col("monetary").cast("double")).cache()
+    return tx, w, panel
+
+
+@query()
+def rolling_backtest(spark, d):
+    _, w, panel = _small(spark, d)
+    per_origin, _ = backtest.rolling_origin_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
+    return per_origin
+
+
+@query()
+def frozen_backtest(spark, d):
+    _, w, panel = _small(spark, d)
+    per_origin, _ = backtest.frozen_model_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
+    return per_origin
+
+
+@query()
+def hazard_backtest(spark, d):
+    tx, w, panel = _small(spark, d)
+    per_origin, _ = backtest.hazard_rolling_origin_backtest(panel, tx, w, RFM, time_col="invoice_date", period_days=10, min_training_origins=3, trees=5, depth=3)
+    return per_origin
+
+
+@query()
+def calibration_compare(spark, d):
+    """Scores of the last origin raw and calibrated on the one before."""
+    _, w, panel = _small(spark, d)
+    fitted, _ = backtest.fit_at_origin(panel, w, len(w) - 2, RFM, trees=5, depth=3)
+    at = lambda i: model.predict(fitted, panel.filter(F.col("as_of") == F.lit(w[i].as_of)), RFM)
+    known, new = at(-2), at(-1)
+    scored = calibration.Isotonic.fit(known, "churned").transform(calibration.Platt.fit(known, "churned").transform(new, out_col="platt"), out_col="isotonic")
+    rows = scored.select("churned", F.explode(F.create_map(F.lit("raw"), "p", F.lit("platt"), "platt", F.lit("isotonic"), "isotonic")).alias("variant", "q"))
+    return metrics.score(rows, "churned", "q", ["variant"])
+
+
+@query()
+def adversarial_validation(spark, d):
+    _, w, panel = _small(spark, d)
+    naive = activity.build_naive_panel(t.activity(spark, d), w)
+    auc, names = leakage.adversarial_auc(panel, naive, RFM, seed=model.SEED, group_col="customer_id")
+    return spark.createDataFrame([(auc, *[names[c] for c in RFM])], "auc double, recency_days double, frequency double, monetary double")
+
+
+@query()
+def ablation(spark, d):
+    _, w, panel = _small(spark, d)
+    last = F.lit(w[-1].as_of)
+    found = leakage.ablation_auc(panel.filter(F.col("as_of") < last), panel.filter(F.col("as_of") == last), RFM, seed=model.SEED)
+    return spark.createDataFrame(list(found.items()), "variant string, auc double")
+
+
+@query()
+def serving_skew(spark, d):
+    """One origin, one population: a naive model on naive and on as-of features,
+    and the as-of model."""
+    tx, w, panel = _small(spark, d)
+    naive = activity.build_naive_panel(tx, w).withColumn("monetary", F.col("monetary").cast("double")).cache()
+    last = F.lit(w[-1].as_of)
+    mature = [F.lit(x.as_of).cast("timestamp_ntz") for x in backtest.mature_origins(w, w[-1])]
+    train, test = (lambda p: p.filter(F.col("as_of").isin(mature))), (lambda p: p.filter(F.col("as_of") == last))
+    wrong, right = model.fit(train(naive), RFM, trees=5, depth=3), model.fit(train(panel), RFM, trees=5, depth=3)
+    arms = {"naive on naive": (wrong, naive), "naive on as-of": (wrong, panel), "as-of on as-of": (right, panel)}
+    out = None
+    for name, (fitted, rows) in arms.items():
+        part = model.predict(fitted, test(rows), RFM).select(F.lit(name).alias("arm"), "churned", "p")
+        out = part if out is None else out.unionByName(part)
+    return metrics.score(out, "churned", "p", ["arm"])
 
 
-def oracle_sql() -> dict:
-    return {}

@@ -1 +1,85 @@
-"""sources."""
+"""Reading and writing tables, results and caches."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from origo.operators import cleaning
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+    """A CSV file with a header under a fixed schema; only `columns` are read."""
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    return rows.select(*columns) if columns else rows
+
+
+def read_sheets(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """Several files of one table, exported from the sheets of a workbook."""
+    out = None
+    for path in paths:
+        part = read_csv(spark, path, schema) if path.lower().endswith(".csv") else spark.read.schema(schema).parquet(path)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_through(spark: SparkSession, cache: str, raw: str, clean: Callable[[], DataFrame], *, force_reload: bool = False) -> DataFrame:
+    """The cached table; where there is none, the raw one is cleaned into it."""
+    if force_reload or not exists(spark, cache):
+        if not exists(spark, raw):
+            raise FileNotFoundError(raw)
+        clean().write.mode("overwrite").parquet(cache)
+    return spark.read.parquet(cache)
+
+
+def load_retail(spark: SparkSession, raw: str, cache: str, *, force_reload: bool = False) -> DataFrame:
+    return read_through(spark, cache, raw, lambda: cleaning.clean_retail(read_csv(spark, raw, cleaning.RETAIL_RAW)), force_reload=force_reload)
+
+
+def load_subscriptions(spark: SparkSession, raw: str, cache: str, *, force_reload: bool = False) -> DataFrame:
+    return read_through(spark, cache, raw, lambda: cleaning.clean_subscriptions(read_csv(spark, raw, cleaning.SUBSCRIPTION_RAW)), force_reload=force_reload)
+
+
+def read_official_labels(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, T.StructType.fromDDL("msno string, is_churn int")).withColumnRenamed("msno", "customer_id")
+
+
+def write_result(row: dict, path: str) -> None:
+    """One object, to a file of the driver."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(row, indent=2, default=str))
+
+
+def write_indexed(df: DataFrame, index: str, path: str) -> None:
+    """A small table as an object of objects by its index."""
+    write_result({str(r[index]): {k: v for k, v in r.asDict().items() if k != index} for r in df.collect()}, path)
+
+
+def read_result(path: str) -> dict:
+    return json.loads(Path(path).read_text())
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def headline_numbers(naive: dict, honest: dict) -> dict:
+    """How much worse honest numbers are; a missing one raises."""
+    return {"auc_gap": naive["roc_auc"] - honest["roc_auc"], "brier_worse": honest["brier"] / naive["brier"] - 1}
+
+
+def members_quality(members: DataFrame) -> DataFrame:
+    """One row: shares of ages outside of 1 to 100 and of missing genders."""
+    odd = ~F.coalesce(F.col("bd").between(1, 100), F.lit(False))
+    return members.agg(F.avg(odd.cast("int")).alias("odd_age"), F.avg(F.col("gender").isNull().cast("int")).alias("no_gender"))
