@@ -43,7 +43,7 @@ RFM = ["recency_days", "frequency", "monetary"]
 PANEL_SQL = f"""WITH {t.TX}, {ACT_SQL},
 f AS (SELECT customer_id, as_of, label_start, label_end, date_sub('day', max(invoice_date), as_of) AS recency_days,
   count(DISTINCT invoice) AS frequency, sum(revenue) AS monetary
-  FROM o JOIN tx ON invoice_date < as_of GROUP BY ALL HAVING max(invoice_date) >= as_of - INTERVAL 365 DAY),
+  FROM o JOIN tx ON invoice_date < as_of GROUP BY customer_id, as_of, label_start, label_end HAVING max(invoice_date) >= as_of - INTERVAL 365 DAY),
 panel AS (SELECT customer_id, as_of, recency_days, frequency, CAST(monetary AS DOUBLE) AS monetary,
   CAST(NOT EXISTS (SELECT 1 FROM tx WHERE tx.customer_id = f.customer_id AND invoice_date >= label_start AND invoice_date < label_end) AS INTEGER) AS churned FROM f)"""
 NAIVE_SQL = f"""WITH {t.TX}, {ACT_SQL},
@@ -400,7 +400,7 @@ def single_feature_auc(spark, d):
     return _rounded(leakage.single_feature_auc(_panel(spark, d), RFM), "auc")
 
 
-BINS = "bins AS (SELECT CAST(greatest(len(list_filter([i / {n}.0 for i in range({n})], e -> e < p)) - 1, 0) AS INTEGER) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM s GROUP BY 1)"
+BINS = "bins AS (SELECT CAST(greatest(len(list_filter([i / {n}.0 for i in range({n})], lambda e: e < p)) - 1, 0) AS INTEGER) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM s GROUP BY 1)"
 
 
 @query(SCORED + ", " + BINS.format(n=10) + """ SELECT bin, round(bin / 10.0, 9) AS bin_lower, round((bin + 1) / 10.0, 9) AS bin_upper, n, round(mp, 9) AS mean_predicted,
@@ -413,7 +413,7 @@ def reliability_table(spark, d):
 def _brier_sql(n: int) -> str:
     return f"""SELECT {n} AS n_bins, round(rel, 9) AS reliability, round(res, 9) AS resolution, round(base * (1 - base), 9) AS uncertainty, round(base * (1 - base) - res + rel, 9) AS brier_binned
 FROM (SELECT (SELECT avg(y) FROM s) AS base, sum(n * (mp - obs) ** 2) / sum(n) AS rel, sum(n * (obs - (SELECT avg(y) FROM s)) ** 2) / sum(n) AS res
-  FROM (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM s GROUP BY greatest(len(list_filter([i / {n}.0 for i in range({n})], e -> e < p)) - 1, 0)))"""
+  FROM (SELECT count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM s GROUP BY greatest(len(list_filter([i / {n}.0 for i in range({n})], lambda e: e < p)) - 1, 0)))"""
 
 
 @query(SCORED + " " + " UNION ALL ".join(map(_brier_sql, (5, 10, 15, 20, 30))))
