@@ -101,5 +101,37 @@ def queries() -> dict:
     }
 
 
+SUBSTRING_SQL = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w)),
+f AS (SELECT h, min(doc_id) AS d FROM s GROUP BY 1),
+g AS (SELECT DISTINCT s.doc_id, unnest(range(i, i + 50)) AS k FROM s JOIN f USING (h) WHERE f.d < s.doc_id),
+a AS (SELECT doc_id, unnest(ws) AS x, unnest(range(0, len(ws))) AS k FROM w),
+k AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.k) AS kept FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.k = g.k WHERE g.k IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11) AS BIGINT) AS formatted_chars
+FROM c GROUP BY 1"""
+
+LINES_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents),
+b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+f AS (SELECT doc_id, pos, bare, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM b WHERE bare <> ''),
+r AS (SELECT doc_id, k, n, CASE WHEN n < 3 THEN CASE WHEN k = 1 THEN [n::VARCHAR, bare, lead(bare) OVER w] END ELSE CASE WHEN k <= n - 2 THEN ['3', bare, lead(bare) OVER w, lead(bare, 2) OVER w] END END AS run
+  FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS turn FROM r WHERE run IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + least(n, 3))) AS k FROM s WHERE turn > 1),
+d AS (SELECT f.doc_id, f.pos FROM f JOIN g USING (doc_id, k)),
+t AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS kept FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.pos = d.pos WHERE d.pos IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_lines FROM f GROUP BY 1), m AS (SELECT doc_id, count(*) AS n_removed FROM d GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NULL THEN NULL WHEN n_removed > 0 THEN coalesce(kept, '') ELSE text END AS text
+FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": SUBSTRING_SQL, "op6_chat_formatting": CHAT_SQL, "op8_line_dedup": LINES_SQL}
