@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from origo.functions import positive
@@ -16,8 +15,8 @@ RETAIL_NAMES = {
     "InvoiceDate": "invoice_date", "Price": "price", "Customer ID": "customer_id", "Country": "country",
 }
 ADMINISTRATIVE = ("POST", "DOT", "M", "C2", "BANK CHARGES", "ADJUST", "ADJUST2", "D", "TEST001", "TEST002", "B")
-RETAIL_RAW = T.StructType.fromDDL("Invoice string, StockCode string, Description string, Quantity int, InvoiceDate timestamp_ntz, Price double, `Customer ID` double, Country string")
-SUBSCRIPTION_RAW = T.StructType.fromDDL("msno string, payment_method_id int, payment_plan_days int, plan_list_price int, actual_amount_paid int, is_auto_renew int, transaction_date int, membership_expire_date int, is_cancel int")
+RETAIL_RAW = "Invoice string, StockCode string, Description string, Quantity int, InvoiceDate timestamp_ntz, Price double, `Customer ID` double, Country string"
+SUBSCRIPTION_RAW = "msno string, payment_method_id int, payment_plan_days int, plan_list_price int, actual_amount_paid int, is_auto_renew int, transaction_date int, membership_expire_date int, is_cancel int"
 FIRST_EXPIRY = "2000-01-01 00:00:00"
 
 

@@ -8,7 +8,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from origo.operators import cleaning
 
@@ -19,13 +18,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV file with a header under a fixed schema; only `columns` are read."""
     rows = spark.read.schema(schema).option("header", True).csv(path)
     return rows.select(*columns) if columns else rows
 
 
-def read_sheets(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def read_sheets(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Several files of one table, exported from the sheets of a workbook."""
     out = None
     for path in paths:
@@ -52,7 +51,7 @@ def load_subscriptions(spark: SparkSession, raw: str, cache: str, *, force_reloa
 
 
 def read_official_labels(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, T.StructType.fromDDL("msno string, is_churn int")).withColumnRenamed("msno", "customer_id")
+    return read_csv(spark, path, "msno string, is_churn int").withColumnRenamed("msno", "customer_id")
 
 
 def write_result(row: dict, path: str) -> None:
