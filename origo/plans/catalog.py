@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from origo.operators import activity, backtest, calibration, cleaning, hazard, leakage, metrics, model, subscription
+from origo.operators import activity, backtest, calibration, cleaning, compare, hazard, leakage, metrics, model, subscription
 from origo.operators.windows import origins_frame
 from origo.plans import tables as t
 
@@ -528,3 +528,73 @@ def serving_skew(spark, d):
     return metrics.score(out, "churned", "p", ["arm"])
 
 
+
+
+# --- samples and comparisons --------------------------------------------------
+
+
+@query(PANEL_SQL + f" SELECT customer_id, {t.DAY}, churned FROM panel ORDER BY md5(concat_ws(':', customer_id, strftime(panel.as_of, '%Y-%m-%d %H:%M:%S'), '7')), customer_id, panel.as_of LIMIT 500")
+def simple_sample(spark, d):
+    return compare.simple_sample(_panel(spark, d), 500, ["customer_id", "as_of"], 7).select("customer_id", t.day(), "churned")
+
+
+@query(PANEL_SQL + f" SELECT customer_id, {t.DAY}, churned FROM panel QUALIFY row_number() OVER (PARTITION BY churned ORDER BY md5(concat_ws(':', customer_id, strftime(panel.as_of, '%Y-%m-%d %H:%M:%S'), '7')), customer_id, panel.as_of) <= 40")
+def sample_per_category(spark, d):
+    return compare.sample_per_category(_panel(spark, d), "churned", 40, ["customer_id", "as_of"], 7).select("customer_id", t.day(), "churned")
+
+
+@query(f"""WITH {t.TX}, f AS (SELECT customer_id, epoch(min(invoice_date)) AS s FROM tx GROUP BY 1)
+SELECT customer_id, s < (SELECT quantile_cont(s, 0.8) FROM f) AS is_train FROM f""")
+def cohort_split(spark, d):
+    return compare.cohort_split(t.activity(spark, d))
+
+
+@query(SCORED + """, r AS (SELECT row_number() OVER (ORDER BY p DESC, customer_id) AS a, row_number() OVER (ORDER BY (customer_id * 31 % 97) DESC, customer_id) AS b FROM s WHERE as_of = '1996-01-01')
+SELECT count(*) FILTER (a <> b) AS moved, count(*) FILTER (a <= 200 AND b > 200) AS left_top FROM r""")
+def rank_differences(spark, d):
+    rows = _scored(spark, d).filter(F.col("as_of") == F.lit(ACT[0])).withColumn("q", F.col("customer_id") * 31 % 97)
+    return compare.rank_differences(rows, "p", "q", "customer_id", 200)
+
+
+@query(PANEL_SQL + " SELECT count(*) AS n, round(avg(CAST(churned = customer_id % 2 AS INTEGER)), 9) AS agreement FROM panel WHERE as_of = '1996-01-01' AND customer_id % 3 <> 0")
+def official_label_agreement(spark, d):
+    panel = _panel(spark, d).filter(F.col("as_of") == F.lit(ACT[0]))
+    official = t.read(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("customer_id"), (F.col("c_custkey") % 2).alias("is_churn"))
+    return _rounded(compare.label_agreement(panel, official), "agreement")
+
+
+@query(SUB_SQL + ", " + t.origins_sql("1996-01-01", 60, 30, 0, 30, 7).replace("o AS (", "o2 AS (", 1) + """,
+p2 AS (SELECT m.customer_id, m.as_of, CAST(NOT EXISTS (SELECT 1 FROM sub WHERE sub.customer_id = m.customer_id AND is_cancel = 0
+  AND transaction_date >= o2.label_start AND transaction_date < o2.label_end) AS INTEGER) AS churned FROM m JOIN o2 ON m.as_of = o2.as_of)
+SELECT a.churned AS label_a, b.churned AS label_b, count(*) AS n FROM panel a JOIN p2 b USING (customer_id, as_of) GROUP BY ALL""")
+def label_shift(spark, d):
+    tx = t.subscription(spark, d)
+    pinned = subscription.build_subscription_panel(tx, t.windows(SUBW[0], SUBW[1], SUBW[2], 0, SUBW[4]), eligibility_gap_days=7)
+    return compare.label_shift(_sub_panel(spark, d), pinned, ["customer_id", "as_of"])
+
+
+@query(PANEL_SQL + "," + NAIVE_SQL.split(f"{ACT_SQL},")[1] + """
+SELECT panel.churned, count(*) AS n, CAST(median(naive.recency_days - panel.recency_days) AS DOUBLE) AS median_delta FROM naive JOIN panel USING (customer_id, as_of) GROUP BY 1""")
+def recency_delta_by_class(spark, d):
+    return compare.delta_by_class(_naive(spark, d), _panel(spark, d), "recency_days", ["customer_id", "as_of"])
+
+
+@query()
+def frozen_minus_retrained(spark, d):
+    _, w, panel = _small(spark, d)
+    frozen, _ = backtest.frozen_model_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
+    retrained, _ = backtest.rolling_origin_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
+    return compare.frozen_minus_retrained(frozen, retrained)
+
+
+@query()
+def sliding_sweep(spark, d):
+    _, w, panel = _small(spark, d)
+    return compare.sliding_sweep(panel, w, RFM, [120, 200, 400], min_training_origins=3, trees=3, depth=3)
+
+
+@query()
+def leakage_table(spark, d):
+    tx, w, panel = _small(spark, d)
+    naive, last = activity.build_naive_panel(tx, w).withColumn("monetary", F.col("monetary").cast("double")), F.lit(w[-1].as_of)
+    return compare.leakage_table(naive, panel, naive.filter(F.col("as_of") < last), naive.filter(F.col("as_of") == last), RFM, ["customer_id", "as_of"], seed=model.SEED)
