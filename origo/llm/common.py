@@ -53,6 +53,13 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
 
 
+def redealt(df: DataFrame, *columns: str) -> DataFrame:
+    """`df`, dealt out by a hash of the columns that a join will need. A join of a
+    table grouped by its key would otherwise keep that grouping, and Spark could
+    not split a partition of the other side that one key makes large."""
+    return df.repartition(F.xxhash64(*columns))
+
+
 def parts_for(amount: int, per_part: int) -> int:
     """How many parts of `per_part` hold `amount`; 1 at least."""
     return max(1, -(-int(amount) // int(per_part)))

@@ -12,9 +12,11 @@ are one class, whatever their number.
    wanted: with ten runs, and so about 12 first splits, a pair at 0.8 is missed by
    all of them once in 10**8.
 2. Nodes of at most `bucket` classes are compared by brute force on short
-   sketches, with a margin far below the similarity. Larger nodes split again;
-   a node that is large after `depth` splits agrees in that many random places,
-   and is taken as one group of candidates without comparing.
+   sketches, with a margin far below the similarity. Larger nodes split again,
+   but for those that are dense: that hold a share of `dense` of the node above
+   them, so about that much is their mean similarity. A dense node, and one that
+   is large after `depth` splits, is taken as one group of candidates without
+   comparing, which can only bring more pairs before the exact comparison.
 3. Candidates make groups: the connected components of what was found, kept
    distributed. In each group all sets are compared exactly, from whole texts,
    large groups in pairs of blocks of `block` classes, so no task holds a group.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from origo.llm import textkit
-from origo.llm.common import checkpointed
+from origo.llm.common import checkpointed, parts_for, redealt
 from origo.llm.components import components
 
 PLACES = 64
@@ -91,7 +93,7 @@ def _sketched(width: int):
 
 
 def _split(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Children of nodes (path, c, sketch): each node chooses one place, and a
+    """Children of nodes (path, c, sketch, n), with `up` for n: each node chooses one place, and a
     second one with the chance that makes 1 / similarity on average."""
     dice = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     turns = F.when(dice < F.lit(1 / similarity - 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -100,7 +102,7 @@ def _split(nodes: DataFrame, similarity: float) -> DataFrame:
         place = F.pmod(F.xxhash64("path", F.lit("place"), turn), F.lit(PLACES)).cast("int")
         return F.xxhash64("path", place, F.substring("sketch", place * 4 + 1, F.lit(4)))
 
-    return nodes.select(F.explode(F.transform(turns, child)).alias("path"), "c")
+    return nodes.select(F.explode(F.transform(turns, child)).alias("path"), "c", F.col("n").alias("up"))
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -161,24 +163,26 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def candidate_links(classes: DataFrame, similarity: float, *, runs: int, bucket: int, depth: int, margin: float) -> DataFrame:
+def candidate_links(classes: DataFrame, similarity: float, *, runs: int, bucket: int, depth: int, margin: float, dense: float) -> DataFrame:
     """Links a, b between classes that span every pair that may be similar."""
     least = int(np.floor(PLACES * (similarity - margin)))
-    nodes = _split(classes.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r, F.lit("run")))).alias("path"), "c", "sketch"), similarity)
+    roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r, F.lit("run")))).alias("path")
+    nodes = _split(classes.select(roots, "c", "sketch", F.lit(None).cast("long").alias("n")), similarity)
     links = None
     for level in range(1, depth + 1):
-        sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        nodes = checkpointed(nodes.join(sizes, "path"))
+        sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("head")).filter("n > 1")
+        nodes = checkpointed(nodes.join(redealt(sizes, "path"), "path"))
         few = nodes.filter(F.col("n") <= bucket).select("path", "c").join(classes.select("c", "brief"), "c")
         found = few.select("path", "c", "brief").repartition("path").sortWithinPartitions("path").mapInArrow(_compared(least), "a long, b long")
+        many = nodes.filter(F.col("n") > bucket)
+        whole = F.coalesce(F.col("n") >= dense * F.col("up"), F.lit(False)) if level < depth else F.lit(True)
+        found = found.unionByName(many.filter(whole).select(F.col("c").alias("a"), F.col("head").alias("b")))
         links = found if links is None else links.unionByName(found)
-        many = nodes.filter(F.col("n") > bucket).select("path", "c")
+        many = many.filter(~whole).select("path", "c", "n")
         if many.isEmpty():
-            return links
-        if level < depth:
-            nodes = _split(many.join(classes.select("c", "sketch"), "c"), similarity)
-    heads = many.groupBy("path").agg(F.min("c").alias("b"))
-    return links.unionByName(many.join(heads, "path").select(F.col("c").alias("a"), "b"))
+            break
+        nodes = _split(many.join(classes.select("c", "sketch"), "c"), similarity)
+    return links
 
 
 def _intersections(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -265,7 +269,7 @@ def _exact(width: int, similarity: float):
     return work
 
 
-def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: str = "doc_id", text_col: str = "text", runs: int = 10, bucket: int = 1000, depth: int = 6, margin: float = 0.3, block: int = 128) -> DataFrame:
+def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: str = "doc_id", text_col: str = "text", runs: int = 10, bucket: int = 1000, depth: int = 16, margin: float = 0.3, dense: float = 0.7, block: int = 128) -> DataFrame:
     """A row for each document: `doc_id`; `text_key`, a hash of its text;
     `class_id`, the least id of all that links connect with it; `copy_of`, the
     least id with the same set; `n_copies`, how many documents have this set;
@@ -277,7 +281,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
         rows.filter(F.col("c").isNotNull()).groupBy("c")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief"))
     )
-    links = candidate_links(classes, similarity, runs=runs, bucket=bucket, depth=depth, margin=margin)
+    links = candidate_links(classes, similarity, runs=runs, bucket=bucket, depth=depth, margin=margin, dense=dense)
     groups = components(links).withColumnRenamed("node", "c")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = groups.join(sizes, "component").join(classes.select("c", "rep", "copies"), "c")
@@ -285,7 +289,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
     # are parts of their own. side: 0 in one block, else 1 or 2.
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("c", F.lit("block")), F.col("blocks")).cast("int")
-    parts = (
+    parts = checkpointed(
         members.withColumn("blocks", blocks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -295,8 +299,9 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
         )
     )
     together = parts.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("part", "side", "c", "copies", "text")
+    tasks = max(parts.sparkSession.sparkContext.defaultParallelism, parts_for(parts.count(), 256))  # a count, so that small groups don't share few tasks
     found = checkpointed(
-        together.repartition("part").sortWithinPartitions("part").mapInArrow(_exact(width, similarity), "c long, links long, linked long, root long")
+        together.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_exact(width, similarity), "c long, links long, linked long, root long")
     )
     counted = found.groupBy("c").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
     split = parts.filter("split").select("c").distinct()
@@ -325,8 +330,10 @@ def dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: s
     least = Window.partitionBy("class_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
     stays = found.filter(~F.col("is_empty")).withColumn("_n", F.row_number().over(least)).filter("_n = 1")
     stays = stays.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("_key", F.xxhash64(text_col))
-    blank = F.coalesce(F.regexp_replace(text_col, "[\\x20\\t-\\r]+", "") == "", F.lit(True))
+    # Rows travel as one struct, so no name of theirs can meet one used here.
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text_col).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    blank = F.coalesce(F.regexp_replace(F.col("_row").getField(text_col), "[\\x20\\t-\\r]+", "") == "", F.lit(True))
     once = Window.partitionBy("_id", "_key").orderBy(F.lit(1))
     kept = keyed.filter(~blank).join(stays, ["_id", "_key"]).withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(blank))
+    whole = kept.select("_row").unionByName(keyed.filter(blank).select("_row"))
+    return whole.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
