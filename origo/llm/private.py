@@ -248,8 +248,11 @@ def said(spans: Column) -> Column:
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; rows are matched
     to their spans by id, so ids must differ."""
-    spans = find(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))).alias("_spans"))
-    text = F.col(text_col)
+    spans = find(docs, id_col=id_col, text_col=text_col, **options)
+    spans = spans.select(F.col("doc_id").alias("_id"), F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))).alias("_spans"))
+    # Rows travel as one struct, so no name of theirs can meet one used here.
+    rows = docs.select(F.col(id_col).alias("_doc"), F.struct(*docs.columns).alias("_row"))
+    text = F.col("_row").getField(text_col)
     put = F.aggregate(
         "_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.when(x["start"] < s["at"], s).otherwise(
@@ -257,5 +260,6 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
         ),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))),
     )
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]), "left")
-    return joined.withColumn(text_col, F.when(F.size("_spans") > 0, put).otherwise(text)).drop("_id", "_spans")
+    joined = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    new = F.when(F.size("_spans") > 0, put).otherwise(text)
+    return joined.select(*[(new if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])

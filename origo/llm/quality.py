@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .groupBy("_id").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     )
-    taken = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_id", text_col, "_y")  # `fit_rows` rows of two numbers
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    taken = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "_text", "_y")  # `fit_rows` rows of two numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -152,17 +152,18 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """Write the records to one folder `shard=N` for each shard, slots in order."""
-    where = shard(docs, shards, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), "text_crc32", "shard", "slot")
+    """Write the records, with `slot`, to one folder `shard=N` for each shard,
+    slots in order; columns of these names are replaced."""
+    where = shard(docs, shards, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_crc32", "shard", "slot")
     # A row that occurs several times has as many places; each gets one of them.
-    once = Window.partitionBy("_id", "text_crc32").orderBy("slot")
-    where = where.withColumn("_turn", F.row_number().over(once))
+    where = where.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("slot")))
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    turns = docs.withColumn("_crc", crc).withColumn("_turn", F.row_number().over(Window.partitionBy(id_col, "_crc").orderBy(F.lit(1))))
-    same = turns[id_col].eqNullSafe(where["_id"]) & (turns["_crc"] == where["text_crc32"]) & (turns["_turn"] == where["_turn"])
+    rows = docs.select(F.col(id_col).alias("_id"), crc.alias("_crc"), F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_row"))
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(1))))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_crc") == F.col("text_crc32")) & (F.col("_turn") == F.col("turn"))
     (
-        turns.join(where, same)
-        .drop("_id", "_crc", "_turn", "text_crc32")
+        rows.join(where, same)
+        .select("_row.*", "shard", "slot")
         .repartitionByRange("shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.mode("overwrite").partitionBy("shard").parquet(path)
