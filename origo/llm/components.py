@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from origo.llm.common import checkpointed
+from origo.llm.common import checkpointed, redealt
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -23,12 +23,12 @@ def _least(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = _least(both).select("a", F.least("a", "m").alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
+    return both.filter(F.col("b") > F.col("a")).join(redealt(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    joined = down.join(_least(down), "a")
+    joined = down.join(redealt(_least(down), "a"), "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b"))
 
 
