@@ -194,8 +194,9 @@ def _intersections(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     at, of = number[at[keep]], of[keep]
     order = np.argsort(at, kind="stable")
     at, of = at[order], of[order]
-    out, step = np.zeros((n, n), dtype=np.float32), max(256, (1 << 22) // max(n, 1))
-    for a in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+    out, width = np.zeros((n, n), dtype=np.float32), int(at[-1]) + 1 if len(at) else 0
+    step = max(1, min(width, max(256, (1 << 22) // max(n, 1))))
+    for a in range(0, width, step):
         x, y = np.searchsorted(at, (a, a + step))
         hot = np.zeros((n, step), dtype=np.float32)
         hot[of[x:y], at[x:y] - a] = 1
