@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from origo.llm.common import checkpointed
+from origo.llm.common import checkpointed, redealt
 
 _LAST = (1 << 63) - 1
 
@@ -35,10 +35,6 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn("_text", F.xxhash64(text_col))
-
-
 def _windows(run: int) -> Column:
     """Of each window of `run` lines of `own` (of all lines, if there are fewer)
     the place of its least hash, its start, and a hash of its lines."""
@@ -67,10 +63,13 @@ def _repeats(run: int) -> tuple[Column, Column]:
 def dedup(docs: DataFrame, run: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without repeated runs of lines, and `n_lines` (not blank),
     `n_removed`."""
-    keyed = _keys(docs.drop("n_lines", "n_removed"), id_col, text_col)
-    lines = F.filter(F.transform(F.split(text_col, "\n", -1), _bare), lambda x: x != "")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # Rows travel as one struct, so no name of theirs can meet one used here.
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text_col).alias("_text"), F.struct(*columns).alias("_row"))
+    text = F.col("_row").getField(text_col)
+    lines = F.filter(F.transform(F.split(text, "\n", -1), _bare), lambda x: x != "")
     hashed = checkpointed(
-        keyed.filter(F.col(text_col).isNotNull())
+        keyed.filter(text.isNotNull())
         .select("_doc", "_text", F.transform(lines, lambda x: F.xxhash64(x)).alias("own"))
         .filter(F.size("own") > 0)
         .dropDuplicates(["_doc", "_text"])
@@ -85,13 +84,13 @@ def dedup(docs: DataFrame, run: int = 3, *, id_col: str = "doc_id", text_col: st
     )
     shared = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
     places = (
-        prints.join(shared, "print")
+        prints.join(redealt(shared, "print"), "print")
         .select("_doc", "_text", F.explode("windows").alias("w"))
         .select(F.col("w.key").alias("key"), F.struct("_doc", "_text", F.col("w.start").alias("start")).alias("place"))
     )
     firsts = places.groupBy("key").agg(F.min("place").alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "origin")
     diagonals = (
-        places.join(firsts, "key")
+        places.join(redealt(firsts, "key"), "key")
         .filter(F.col("place") != F.col("origin"))
         .select(
             F.col("place._doc").alias("_doc"), F.col("place._text").alias("_text"), F.col("origin._doc").alias("_from"),
@@ -112,13 +111,14 @@ def dedup(docs: DataFrame, run: int = 3, *, id_col: str = "doc_id", text_col: st
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     whole = (
         keyed.join(removed, ["_doc", "_text"], "left")
-        .withColumn("_lines", F.split(text_col, "\n", -1))
+        .withColumn("_lines", F.split(text, "\n", -1))
         .withColumn("_full", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _bare(F.get("_lines", i)) != ""))
         .withColumn("_gone", F.array_distinct(F.flatten(F.transform(spans, lambda s: F.slice(F.col("_full"), s["start"] + 1, s["end"] - s["start"])))))
     )
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
+    new = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(text)
     return whole.select(
-        *[(F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(c)) if c == text_col else F.col(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_full")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
+        *[(new if c == text_col else F.col("_row").getField(c)).alias(c) for c in columns],
+        F.coalesce(F.when(text.isNotNull(), F.size("_full")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(text.isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
     )
