@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from origo.llm.common import checkpointed
+from origo.llm.common import checkpointed, parts_for
 
 BITS = 1 << 20
 _SPREAD = [sum(1 << (16 * b) for b in range(4) if n >> b & 1) for n in range(16)]  # four bits to four lanes of 16
@@ -167,13 +167,16 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     # words would be made anew for each word.
     held = checkpointed(spots.withColumn("hits", hits).select("doc_id", "text_key", F.when(F.size("hits") > 0, F.struct("words", "hits")).alias("x")))
     held = held.filter(F.col("x").isNotNull()).select("doc_id", "text_key", "x.words", "x.hits")
-    pairs = (
+    pairs = checkpointed(
         held.select("doc_id", "text_key", F.explode("hits").alias("x"))
         .join(anchors.select("item", F.col("gram_hash").alias("h")), F.col("x.h") == F.col("h"))
         .groupBy("doc_id", "text_key", "item").agg(F.collect_set("x.at").alias("ats"))
     )
     texts = held.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("words").alias("said"))
     both = pairs.join(items, "item").join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    # The comparison is the work, so pairs are dealt to many tasks whatever their bytes.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, parts_for(pairs.count(), 128))
+    both = both.repartition(tasks, "doc_id", "text_key", "item")
     n = F.size("said")
     size = F.least("length", n)
     starts = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(F.greatest(p + F.col("k") - size, F.lit(0)), F.least(p, n - size)))))
