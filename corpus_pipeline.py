@@ -26,8 +26,9 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that occur earlier; `n_chars` follows."""
-    kept = lines.dedup(docs).select(*docs.columns)
+    """Documents without runs of lines, and without lines of two words or more,
+    that occur earlier; `n_chars` follows."""
+    kept = lines.dedup(docs, alone=2).select(*docs.columns)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -14,6 +14,10 @@ is one run of all its lines; it is deleted if an earlier document has just
 these lines. Lines are compared without white space at their ends, by 64-bit
 hashes.
 
+With `alone`, a line of at least so many words is deleted wherever it occurs
+earlier, whatever stands beside it, too. Its first place always stays: a run
+that is deleted occurs earlier, and so does each of its lines.
+
 Defined cases: a null text stays null, an empty text empty; a null id comes
 after all others; rows that agree in id and text are one document, and keep a
 row each; rows of one id with different texts are different documents, in the
@@ -60,17 +64,30 @@ def _repeats(run: int) -> tuple[Column, Column]:
     return F.filter(between, lambda x: x["end"] - x["start"] >= F.least(F.lit(run), n)), breaks
 
 
-def dedup(docs: DataFrame, run: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _later(hashed: DataFrame) -> DataFrame:
+    """`spans` of one line: the places of `long` lines of `own` that have an
+    earlier one, a row each."""
+    at = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.get("long", i))
+    places = hashed.select("_doc", "_text", "own", F.explode(at).alias("start")).select(F.get("own", F.col("start")).alias("key"), F.struct("_doc", "_text", "start").alias("place"))
+    firsts = places.groupBy("key").agg(F.min("place").alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "origin")
+    later = places.join(redealt(firsts, "key"), "key").filter(F.col("place") != F.col("origin"))
+    return later.select("place._doc", "place._text", F.array(F.struct(F.col("place.start").alias("start"), (F.col("place.start") + 1).alias("end"))).alias("spans"))
+
+
+def dedup(docs: DataFrame, run: int = 3, *, alone: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without repeated runs of lines, and `n_lines` (not blank),
-    `n_removed`."""
+    `n_removed`; without repeated lines of `alone` words or more, if given."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # Rows travel as one struct, so no name of theirs can meet one used here.
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text_col).alias("_text"), F.struct(*columns).alias("_row"))
     text = F.col("_row").getField(text_col)
     lines = F.filter(F.transform(F.split(text, "\n", -1), _bare), lambda x: x != "")
+    own = [F.transform(lines, lambda x: F.xxhash64(x)).alias("own")]
+    if alone is not None:
+        own.append(F.transform(lines, lambda x: F.rlike(x, F.lit(rf"^\S+(?:\s+\S+){{{max(alone, 1) - 1}}}"))).alias("long"))
     hashed = checkpointed(
         keyed.filter(text.isNotNull())
-        .select("_doc", "_text", F.transform(lines, lambda x: F.xxhash64(x)).alias("own"))
+        .select("_doc", "_text", *own)
         .filter(F.size("own") > 0)
         .dropDuplicates(["_doc", "_text"])
     )
@@ -100,14 +117,10 @@ def dedup(docs: DataFrame, run: int = 3, *, id_col: str = "doc_id", text_col: st
     )
     origins = hashed.select(F.col("_doc").alias("_from"), F.col("_text").alias("_from_text"), F.col("own").alias("first"))
     stretches, breaks = _repeats(run)
-    removed = (
-        diagonals.join(origins, ["_from", "_from_text"])
-        .join(hashed, ["_doc", "_text"])
-        .withColumn("breaks", breaks)
-        .select("_doc", "_text", stretches.alias("spans"))
-        .groupBy("_doc", "_text")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    )
+    found = diagonals.join(origins, ["_from", "_from_text"]).join(hashed, ["_doc", "_text"]).withColumn("breaks", breaks).select("_doc", "_text", stretches.alias("spans"))
+    if alone is not None:
+        found = found.unionByName(_later(hashed))
+    removed = found.groupBy("_doc", "_text").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     whole = (
         keyed.join(removed, ["_doc", "_text"], "left")

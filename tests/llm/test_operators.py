@@ -394,6 +394,18 @@ def test_lines(docs, rows, nothing):
     assert lines.dedup(nothing).count() == 0
 
 
+def test_lines_alone(spark):
+    long = "a line of several words"
+    texts = [(0, f"x0\n{long}\ny0"), (1, f"x1\ny1\n  {long} \nz1"), (2, long), (3, f"{long}\nshort\nx3"), (4, "short\nx4\n\nown words\nown  words\nown words"), (None, f"{long}\nend"), (5, None)]
+    texts += [(100 + i, f"{long}\nu{i}") for i in range(300)]
+    df = spark.createDataFrame(texts, DOC).repartition(4)
+    want = {0: texts[0][1], 1: "x1\ny1\nz1", 2: "", 3: "short\nx3", 4: "short\nx4\n\nown words\nown  words", None: "end", 5: None} | {100 + i: f"u{i}" for i in range(300)}
+    found = lines.dedup(df, alone=2).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == want and len(found) == len(texts)
+    assert {r["doc_id"]: r["n_removed"] for r in found if r["doc_id"] is None or r["doc_id"] < 6} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, None: 1, 5: 0}
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()} == dict(texts)
+
+
 # --- 9 ------------------------------------------------------------------------
 
 

@@ -63,6 +63,13 @@ def test_stages(spark, folder, tmp_path):
     assert key(again) == key(packed)
 
 
+def test_lines_repeat_in_the_pipeline_with_other_neighbours(spark, folder):
+    rows = [(i, f"head {i}\nthe line that all repeat\ntail {i}", "en", "s", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, folder).collect()}
+    assert found == {0: (rows[0][1], len(rows[0][1])), 1: ("head 1\ntail 1", 13), 2: ("head 2\ntail 2", 13)}
+
+
 def test_empty(spark, folder, tmp_path):
     pytest.importorskip("public_tokenizers")
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
