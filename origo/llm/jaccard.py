@@ -272,7 +272,9 @@ def _exact(width: int, similarity: float):
 
 def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: str = "doc_id", text_col: str = "text", runs: int = 10, bucket: int = 1000, depth: int = 16, margin: float = 0.3, dense: float = 0.7, block: int = 128) -> DataFrame:
     """A row for each document: `doc_id`; `text_key`, a hash of its text;
-    `class_id`, the least id of all that links connect with it; `copy_of`, the
+    `group_key`, a name that all that links connect share and no others do, null
+    without words; `class_id`, the least id of these, which other groups may have
+    as well if ids are null or repeated; `copy_of`, the
     least id with the same set; `n_copies`, how many documents have this set;
     `n_links`, how many other documents are linked to it, copies among them;
     `n_linked_sets`, how many other sets are; `is_empty`, whether its set is."""
@@ -311,13 +313,13 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
     connected = whole.unionByName(components(spanning).withColumnRenamed("node", "c"))
     named = classes.select("c", "rep", "copies").join(counted, "c", "left").join(connected, "c", "left").withColumn("component", F.coalesce("component", "c"))
     heads = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(heads, "component").select("c", "rep", "copies", "links", "linked", "class_id")
+    named = named.join(heads, "component").select("c", "rep", "copies", "links", "linked", "component", "class_id")
 
     def known(least: Column) -> Column:
         return F.when(least != LAST_ID, least)
 
     return rows.select("doc_id", "text_key", "c").join(named, "c", "left").select(
-        known(F.col("doc_id")).alias("doc_id"), "text_key", known(F.coalesce("class_id", "doc_id")).alias("class_id"),
+        known(F.col("doc_id")).alias("doc_id"), "text_key", F.col("component").alias("group_key"), known(F.coalesce("class_id", "doc_id")).alias("class_id"),
         known(F.coalesce("rep", "doc_id")).alias("copy_of"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"),
         (F.coalesce("linked", F.lit(0).cast("long")) + F.coalesce("copies", F.lit(1).cast("long")) - 1).alias("n_links"),
         F.coalesce("links", F.lit(0).cast("long")).alias("n_linked_sets"), F.col("c").isNull().alias("is_empty"),
@@ -328,7 +330,7 @@ def dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: s
     """`docs` with one document of each group that links connect: the one of the
     least id. Documents without words stay."""
     found = join(docs, similarity, width, id_col=id_col, text_col=text_col, **options)
-    least = Window.partitionBy("class_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
+    least = Window.partitionBy("group_key").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
     stays = found.filter(~F.col("is_empty")).withColumn("_n", F.row_number().over(least)).filter("_n = 1")
     stays = stays.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("text_key").alias("_key"))
     # Rows travel as one struct, so no name of theirs can meet one used here.

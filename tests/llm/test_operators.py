@@ -116,6 +116,17 @@ def test_jaccard_large_group(spark):
     assert all(found[i]["n_links"] == 59 and found[i]["class_id"] == 0 for i in range(60)) and found[100]["n_links"] == 0
 
 
+def test_jaccard_groups_of_null_and_repeated_ids(spark):
+    lone, other, twice, again = (" ".join(f"{name}{k}" for k in range(60)) for name in "abcd")
+    df = spark.createDataFrame([(None, lone), (None, lone), (None, lone + " end"), (None, other), (7, twice), (8, twice + " end"), (7, again), (9, again)], DOC)
+    kept = sorted((r["doc_id"], r["text"].removesuffix(" end")) for r in jaccard.dedup(df).na.fill(-1).collect())
+    assert kept == [(-1, lone), (-1, other), (7, twice), (7, again)]
+    groups = {}
+    for r in jaccard.join(df).collect():
+        groups.setdefault(r["group_key"], []).append(r["doc_id"])
+    assert sorted((sorted(g, key=repr) for g in groups.values()), key=repr) == [[7, 8], [7, 9], [None] * 3, [None]]
+
+
 # --- 2 ------------------------------------------------------------------------
 
 PATTERNS = {
