@@ -5,20 +5,25 @@ subspace has 16 codewords, so a code is four bits. Codewords and codes minimise
 an anisotropic loss: the part of the residual that is parallel to the vector
 weighs `eta` times as much as the orthogonal part, because it is what changes
 large inner products. A search adds up one small table for each subspace
-over all codes (pairs of four-bit codes are read as one byte), and the best of
-each block of codes are reranked with exact cosines in double precision.
+over all codes (pairs of four-bit codes are read as one byte). The exact
+cosines, in double precision, of the best sums of a block give a k-th best
+one. A sum misses its cosine by the length of the entry's residual at most, so
+an entry of the block whose sum and residual together don't reach that k-th
+cosine is none of the k nearest; all others are compared exactly. So the result
+is exact, and quantisation only saves comparisons; where it tells nothing apart,
+as in a cluster of near copies, whole blocks are compared.
 
 The codebooks are fitted on a bounded sample; every row is indexed. Equal
 vectors are one entry of the index that carries its `k + 1` smallest ids, which
 are all that can be among the k nearest of a query, as ties go to smaller ids.
 
 Queries and candidates meet in blocks, so neither side is broadcast and a task
-holds one block of each.
+holds one block of each, with its vectors; k rows of a query leave it.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or
 hold null or non-finite components take no part, neither do rows of a null id;
 with fewer than k candidates a query returns them all; of repeated ids each
-row is a candidate; an empty table gives no rows. Extra columns are not carried.
+row is a candidate, and the least vector asks; an empty table gives no rows. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -78,6 +83,11 @@ class Codebook:
                 parallel = rest + along[rows, j, codes[:, j]]
         return codes.astype(np.uint8)
 
+    def residuals(self, unit: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes leave of unit vectors."""
+        some = [self.split(unit[a : a + 1024]) - self.words[np.arange(len(self.words))[None], codes[a : a + 1024]] for a in range(0, len(unit), 1024)]
+        return np.concatenate([np.sqrt((r * r).sum(axis=(1, 2))) for r in some]) if some else np.empty(0)
+
     def tables(self, unit: np.ndarray) -> np.ndarray:
         """For each query and pair of subspaces the inner products of all 256
         pairs of codewords."""
@@ -134,6 +144,25 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
+def _best(total: np.ndarray, error: np.ndarray, unit: np.ndarray, ids: np.ndarray, asked: np.ndarray, other: np.ndarray, k: int, rerank: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the entries that are `other` the places and cosines of the k nearest
+    to `asked`, ties to smaller ids."""
+
+    def edge(cos: np.ndarray) -> float:
+        return np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) >= k else -np.inf
+
+    near = other.nonzero()[0]
+    if len(total) > rerank:
+        first = np.argpartition(-total, rerank - 1)[:rerank]
+        near = (other & (total + error >= edge(unit[first[other[first]]] @ asked) - slack)).nonzero()[0]
+    cos = unit[near] @ asked if 2 * len(near) < len(unit) else (unit @ asked)[near]
+    near = near[cos >= edge(cos) - 1e-12]
+    # Row by row, so that equal vectors have equal cosines in all blocks.
+    cos = (unit[near] * asked).sum(axis=1)
+    top = np.lexsort((ids[near], -cos))[:k]
+    return near[top], cos[top]
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(
@@ -148,7 +177,8 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, width: int = 2, eta: float = 2.6, rerank: int = 384, query_block: int = 1024, code_block: int = 32768) -> DataFrame:
     """`query_id, rank, vec_id, score`: for each row whose id is divisible by
     `every` the k nearest other rows by cosine, nearest first, ties to smaller
-    ids; the `rerank` entries of the best table sums are compared exactly."""
+    ids. In each block the `rerank` entries of the best table sums are compared
+    exactly, and then all that may be as near as the k-th of these."""
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     rows = checkpointed(_usable(vectors, id_col, vector_col))
@@ -158,19 +188,23 @@ def search(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "ve
     book = fit(_unit(np.array([r["v"] for r in drawn])), width, eta)
     number = Window.partitionBy("v").orderBy("vec_id")
     entries = rows.withColumn("n", F.row_number().over(number)).filter(F.col("n") <= k + 1)
-    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, asking = rows.count(), queries.count()
-    n_blocks = max(parts_for(n, code_block), min(32, parts_for(n, 256)))  # several blocks, so several tasks, of a small table too
+    # Several blocks, so several tasks, of a small table too; 32 MB of vectors in one.
+    n_blocks = max(parts_for(n, code_block), parts_for(8 * n * len(drawn[0]["v"]), 1 << 25), min(32, parts_for(n, 256)))
+    slack = 1e-6 * (1 + len(book.words))  # more than single precision can lose in the sums
     q_blocks = parts_for(asking, query_block)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes = packed(book.encode(_unit(_rows(batch.column(2)))))
+                unit = _unit(_rows(batch.column(2)))
+                plain = book.encode(unit)
+                error, codes = book.residuals(unit, plain), packed(plain)
                 raw = binaries(codes.ravel(), np.arange(len(codes) + 1) * codes.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], names=["vec_id", "block", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, pa.array(error), batch.column(2)], names=["vec_id", "block", "code", "error", "v"])
 
-    index = entries.select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), "v").mapInArrow(encode, "vec_id long, block int, code binary")
+    index = entries.select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), "v").mapInArrow(encode, "vec_id long, block int, code binary, error double, v array<double>")
     # Each block of codes meets each block of queries: the stated queries
     # against all rows. The smaller side is repeated.
     index = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
@@ -186,37 +220,21 @@ def search(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "ve
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             code = np.frombuffer(b"".join(right.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order].T.copy()
+            entry, error = _unit(_rows(right.column("v").combine_chunks()))[order], right.column("error").to_numpy()[order]
             unit, qs = _unit(_rows(left.column("v").combine_chunks())), left.column("query_id").to_numpy()
-            for i, lut in enumerate(book.tables(unit)):
+            for i in range(len(qs)):
+                lut = book.tables(unit[i : i + 1])[0]
                 total = lut[0][code[0]]
                 for table, c in zip(lut[1:], code[1:]):
                     total += table[c]
-                if len(total) > rerank:
-                    # All that reach the last place's score, then smaller ids first.
-                    edge = -np.partition(-total, rerank - 1)[rerank - 1]
-                    sure, tied = np.flatnonzero(total > edge), np.flatnonzero(total == edge)
-                    top = np.concatenate([sure, tied[: rerank - len(sure)]])
-                else:
-                    top = np.arange(len(total))
-                top = top[ids[top] != qs[i]]
+                top, cos = _best(total, error, entry, ids, unit[i], ids != qs[i], k, rerank, slack)
                 found[0].append(np.full(len(top), qs[i]))
                 found[1].append(ids[top])
-                found[2].append(total[top].astype(np.float64))
+                found[2].append(cos)
         columns = [np.concatenate(x) if x else np.empty(0, dtype=kind) for x, kind in zip(found, (np.int64, np.int64, np.float64))]
-        return pa.table(dict(zip(("query_id", "vec_id", "sum"), columns)))
-
-    near = asked.groupBy("q", "block").cogroup(index.groupBy("q", "block")).applyInArrow(scan, "query_id long, vec_id long, sum double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("sum"), "vec_id")
-    near = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank).select("query_id", "vec_id")
-
-    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _rows(batch.column(2)), _rows(batch.column(3))
-            cos = np.einsum("ij,ij->i", _unit(a), _unit(b)) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos)], names=["query_id", "vec_id", "score"])
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
-    pairs = near.join(entries.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("u")).dropDuplicates(["query_id"]), "query_id")
-    scored = pairs.select("query_id", "vec_id", "u", "v").mapInArrow(dots, "query_id long, vec_id long, score double")
+    scored = asked.groupBy("q", "block").cogroup(index.groupBy("q", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

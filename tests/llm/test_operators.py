@@ -465,3 +465,13 @@ def test_nearest(spark):
     few = nearest.search(df.filter("vec_id in (0, 1, 2)"), 5).collect()
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
     assert nearest.search(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"rerank": 16}])
+def test_nearest_in_a_cluster_of_near_copies(spark, options):
+    dice = np.random.default_rng(7)
+    x = dice.normal(size=(2600, 24))
+    x[:2000] = x[0] + 1e-3 * dice.normal(size=(2000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in nearest.search(df, 5, **options).collect())
+    assert got == [r[:3] for r in nearest.exact(df, 5)]
