@@ -37,17 +37,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, computed and written to the folder that the session names in
     `spark.checkpoint.dir`, so that a lost executor costs no recomputation.
 
-    Only where the session names none (tests, local mode), a temporary folder
-    is used.
+    Where the session names none, a temporary folder is used in local mode only;
+    elsewhere the executors share no such folder, and that is an error.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="origo-checkpoint-"))
+    sc = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="origo-checkpoint-"))
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing will read again. A frame
+    that is no checkpoint is left alone."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes in all texts; one pass with partial sums."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from origo.llm.common import checkpointed, redealt
+from origo.llm.common import checkpointed, redealt, released
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links = checkpointed(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
     before = None
     for _ in range(most_rounds):
-        links = checkpointed(_small_star(_large_star(links).distinct()).distinct())
+        links, old = checkpointed(_small_star(_large_star(links).distinct()).distinct()), links
+        released(old)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == before:
             break

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from origo.llm import textkit
-from origo.llm.common import checkpointed, parts_for, redealt
+from origo.llm.common import checkpointed, parts_for, redealt, ship
 from origo.llm.components import components
 
 PLACES = 64
@@ -278,6 +278,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
     least id with the same set; `n_copies`, how many documents have this set;
     `n_links`, how many other documents are linked to it, copies among them;
     `n_linked_sets`, how many other sets are; `is_empty`, whether its set is."""
+    ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     rows = checkpointed(texts.mapInArrow(_sketched(width), "doc_id long, text_key long, c long, sketch binary, brief binary"))
     classes = checkpointed(

@@ -13,17 +13,19 @@ cosine is none of the k nearest; all others are compared exactly. So the result
 is exact, and quantisation only saves comparisons; where it tells nothing apart,
 as in a cluster of near copies, whole blocks are compared.
 
-The codebooks are fitted on a bounded sample; every row is indexed. Equal
-vectors are one entry of the index that carries its `k + 1` smallest ids, which
-are all that can be among the k nearest of a query, as ties go to smaller ids.
+The codebooks are fitted on a bounded sample; every row is indexed. Of
+equal vectors the rows of their `k + 1` smallest different ids are indexed, `k`
+rows of an id at most: whatever id asks, these hold the k smallest other ones,
+and ties go to smaller ids.
 
 Queries and candidates meet in blocks, so neither side is broadcast and a task
 holds one block of each, with its vectors; k rows of a query leave it.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or
 hold null or non-finite components take no part, neither do rows of a null id;
-with fewer than k candidates a query returns them all; of repeated ids each
-row is a candidate, and the least vector asks; an empty table gives no rows. Extra columns are not carried.
+with fewer than k candidates a query returns them all; a repeated id asks once,
+by its least vector, its rows are candidates of other ids only, each for itself;
+an empty table gives no rows. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from origo.llm.common import checkpointed, parts_for
+from origo.llm.common import checkpointed, parts_for, ship
 from origo.llm.textkit import binaries
 
 CODEWORDS = 16
@@ -180,14 +182,21 @@ def search(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "ve
     ids. In each block the `rerank` entries of the best table sums are compared
     exactly, and then all that may be as near as the k-th of these."""
     spark = vectors.sparkSession
+    ship(spark)
     out = "query_id long, rank int, vec_id long, score double"
     rows = checkpointed(_usable(vectors, id_col, vector_col))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not drawn:
         return spark.createDataFrame([], out)
     book = fit(_unit(np.array([r["v"] for r in drawn])), width, eta)
+    # An id that asks is no candidate of its own, so k + 1 different ids; rows
+    # that agree in id and vector are counted before any of them is moved.
     number = Window.partitionBy("v").orderBy("vec_id")
-    entries = rows.withColumn("n", F.row_number().over(number)).filter(F.col("n") <= k + 1)
+    entries = (
+        rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+        .withColumn("n", F.row_number().over(number)).filter(F.col("n") <= k + 1)
+        .select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    )
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, asking = rows.count(), queries.count()
     # Several blocks, so several tasks, of a small table too; 32 MB of vectors in one.
@@ -241,11 +250,13 @@ def search(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "ve
 
 def exact(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> list[tuple[int, int, int, float]]:
     """The true neighbours of a small table, to measure recall against."""
-    rows = _usable(vectors, id_col, vector_col).orderBy("vec_id").collect()
-    ids, x = np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows])
+    rows = sorted((r["vec_id"], r["v"]) for r in _usable(vectors, id_col, vector_col).collect())
+    ids, x = np.array([i for i, _ in rows], dtype=np.int64), np.array([v for _, v in rows])
     found = []
-    for i in np.flatnonzero(ids % every == 0) if len(ids) else ():
-        cos = (_unit(x) * _unit(x[i : i + 1])).sum(axis=1)
-        order = [j for j in np.lexsort((ids, -cos)) if ids[j] != ids[i]][:k]
-        found += [(int(ids[i]), r + 1, int(ids[j]), float(cos[j])) for r, j in enumerate(order)]
+    # Rows of an id stand by vector, so the first one asks.
+    for i in np.unique(ids, return_index=True)[1] if len(ids) else ():
+        if ids[i] % every == 0:
+            cos = (_unit(x) * _unit(x[i : i + 1])).sum(axis=1)
+            order = [j for j in np.lexsort((ids, -cos)) if ids[j] != ids[i]][:k]
+            found += [(int(ids[i]), r + 1, int(ids[j]), float(cos[j])) for r, j in enumerate(order)]
     return found

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from origo.llm.common import checkpointed, parts_for
+from origo.llm.common import checkpointed, parts_for, ship
 
 END_ID = 2
 SPECIAL = "<|endoftext|>"
@@ -255,6 +255,7 @@ def _islands(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_col: str = "doc_id", text_col: str = "text", island_items: int = 8192, rounds: int = 2, generations: int = 6, elite_bins: int = 64) -> DataFrame:
     """`doc_id, piece, start, length, ids_crc32, sequence_id, offset` of every piece."""
+    ship(docs.sparkSession)
     cut = checkpointed(pieces(docs, tokenizer, limit, id_col=id_col, text_col=text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     partial = F.col("length") < limit

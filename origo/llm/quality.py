@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from origo.llm import textkit
+from origo.llm.common import ship
 
 FOLDS = 5
 _KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"()-?", b"!", b"#$%&*@^~=+_", b"<>[]{}|\\/`", b"\n", bytes(range(128, 256)))
@@ -178,6 +179,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 20_000, **options) -> Model:
     """Learn from labelled documents that aren't held out."""
+    ship(docs.sparkSession)
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
         .filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
@@ -199,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with a score between 0 and 1; higher: label 1 is likelier."""
+    ship(docs.sparkSession)
     docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
 

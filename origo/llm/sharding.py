@@ -4,15 +4,19 @@ Records are ordered by a key (here a hash of the text, then the doc_id), a
 size-weighted sample of keys gives quantile boundaries of many fine ranges, and
 the exact sizes of these ranges decide which shard each one goes to. A range
 that is larger than its fair share, because one key has many records, is
-subdivided by a hash of the record. Neighbouring ranges fill a shard up to its
-quantile of all bytes; a few ranges then move from the fullest to the emptiest
-shards, so shards differ by less than one fine range.
+subdivided by a hash of a number that each row has. Neighbouring ranges fill a
+shard up to its quantile of all bytes; a few ranges then move from the fullest
+to the emptiest shards, so shards differ by less than one fine range.
 
 Equal texts have equal keys, so they share a shard, unless together they hold
-over half a shard's bytes: only such a group is subdivided.
+over half a shard's bytes: only such a group is dealt to several shards. A range
+of many rows, however few bytes they have, stays in its shard, but its rows are
+numbered in pieces of their own, each from where the piece before it ends. Rows
+are dealt by their own numbers, so rows that agree in all columns are, too.
 
+Texts are read once; sizes and hashes, some bytes a row, are kept for the rest.
 Nothing is sized by the data on the driver: the sample, the fine ranges and
-their sizes are bounded by parameters.
+pieces and their sizes are bounded by parameters.
 
 Defined cases: a null text has no bytes and the crc of an empty text; a null id
 sorts first; repeated rows are rows of their own; an empty table has no rows.
@@ -26,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from origo.llm.common import checkpointed, parts_for
+
 RECORD_BYTES = 16  # each record's fixed share of a shard
 
 
@@ -36,6 +42,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -49,7 +56,7 @@ def splitters(records: DataFrame, ranges: int, sample: int, seed: int = 7) -> li
     # A record of size s is drawn with chance min(1, sample * s / total); those
     # drawn surely keep their whole weight, the others the same weight each.
     chance = F.col("size") * F.lit(sample / total)
-    dice = (F.xxhash64("key", "doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
+    dice = (F.xxhash64("key", "row", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
     drawn = (
         records.filter(dice < chance)
         .groupBy("key")
@@ -110,40 +117,44 @@ def _deal(sizes: list[int], shards: int) -> list[int]:
     return of
 
 
-def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", ranges: int = 2048, sample: int = 16384) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", ranges: int = 2048, sample: int = 16384, piece_rows: int = 1 << 17, pieces: int = 1 << 15) -> DataFrame:
     """`doc_id, size, text_crc32, law, shard, slot, grown_shard` of every record,
-    under the law `bytes`: the shards' sizes are near equal."""
-    records = _sizes(docs, id_col, text_col)
+    under the law `bytes`: the shards' sizes are near equal. A piece that is
+    numbered in one go has about `piece_rows` rows, and more only where the table
+    has over `pieces` times as many."""
+    records = checkpointed(_sizes(docs, id_col, text_col))
     cuts = splitters(records, ranges, sample)
     placed = records.withColumn("range", _range_of(F.col("key"), cuts))
-    sizes = placed.groupBy("range").agg(F.sum("size").alias("size")).toPandas()  # `ranges` rows at most
-    total = int(sizes["size"].sum()) if len(sizes) else 0
+    sizes = {r["range"]: (int(r["size"]), int(r["n"])) for r in placed.groupBy("range").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}  # `ranges` rows at most
+    total, rows = sum(x for x, _ in sizes.values()), sum(n for _, n in sizes.values())
     # Subdividing overfull ranges: a key of over half a shard, and there are
-    # fewer than 2 * shards of these, is dealt out by a hash of the record.
-    overfull = sizes.loc[sizes["size"] * 2 * shards > total, "range"].tolist()
+    # fewer than 2 * shards of these, is dealt out.
+    overfull = [at for at, (size, _) in sizes.items() if size * 2 * shards > total]
     part = F.lit(0)
     if overfull:
         keys = placed.filter(F.col("range").isin(overfull)).groupBy("key").agg(F.sum("size").alias("size"))
         hot = {r["key"]: -(-r["size"] * shards * 16 // total) for r in keys.filter(F.col("size") * (2 * shards) > total).collect()}
         if hot:
             many = F.create_map(*[F.lit(x) for pair in sorted(hot.items()) for x in pair])
-            pieces = F.try_element_at(many, F.col("key"))
-            dealt = F.pmod(F.xxhash64("doc_id", "size", F.lit(11)), pieces).cast("int") + 1
+            dealt = F.pmod(F.xxhash64("row", F.lit(11)), F.try_element_at(many, F.col("key"))).cast("int") + 1
             part = F.coalesce(dealt, F.lit(0))
-    placed = placed.withColumn("part", part)
-    fine = placed.groupBy("range", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toPandas().sort_values(["range", "part"])
-    of = _deal(fine["size"].tolist(), shards)
-    filled, slots = [0] * shards, []
-    for at, n in zip(of, fine["n"]):
-        slots.append(filled[at])
-        filled[at] += int(n)
-    fine = fine.assign(shard=np.array(of, dtype="int32"), base=np.array(slots, dtype="int64"))[["range", "part", "shard", "base"]]
-    spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(fine.astype({"range": "int32", "part": "int32"}), "range int, part int, shard int, base long"))  # at most `ranges` rows and the parts of under 2 * `shards` keys, 16 * `shards` together
-    within = Window.partitionBy("range", "part").orderBy("key", "doc_id", "size", "text_crc32")
+    # Rows of a range are numbered in so many pieces.
+    most = max(piece_rows, parts_for(rows, pieces))
+    split = F.expr("array(" + ", ".join(str(parts_for(sizes.get(at, (0, 0))[1], most)) for at in range(len(cuts) + 1)) + ")")  # folded to one literal
+    placed = placed.withColumn("part", part).withColumn("piece", F.pmod(F.xxhash64("row", F.lit(13)), F.get(split, F.col("range"))).cast("int"))
+    counted = placed.groupBy("range", "part", "piece").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toPandas().sort_values(["range", "part", "piece"])
+    fine = counted.groupby(["range", "part"], as_index=False)["size"].sum()
+    fine["shard"] = np.array(_deal(fine["size"].tolist(), shards), dtype="int32")
+    counted = counted.merge(fine[["range", "part", "shard"]], on=["range", "part"])
+    counted["base"] = counted.groupby("shard")["n"].cumsum() - counted["n"]
+    plan = counted[["range", "part", "piece", "shard", "base"]].astype({"range": "int32", "part": "int32", "piece": "int32", "shard": "int32", "base": "int64"})
+    # `ranges` rows, the parts of under 2 * `shards` keys (16 * `shards` together)
+    # and, as ranges of several pieces have `piece_rows` rows, `pieces` for each of these at most.
+    plan = F.broadcast(docs.sparkSession.createDataFrame(plan, "range int, part int, piece int, shard int, base long"))
+    within = Window.partitionBy("range", "part", "piece").orderBy("key", "doc_id", "size", "text_crc32", "row")
     return (
         placed.withColumn("at", F.row_number().over(within))
-        .join(plan, ["range", "part"])
+        .join(plan, ["range", "part", "piece"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
             (F.col("base") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

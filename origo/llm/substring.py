@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from origo.llm import textkit
-from origo.llm.common import parts_for, text_bytes
+from origo.llm.common import parts_for, ship, text_bytes
 
 LAST_ID = np.iinfo(np.int64).max
 _CODEC = "zstd"
@@ -237,6 +237,7 @@ def _removed(width: int, id_type: pa.DataType):
 def dedup(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col: str = "text", bucket_windows: int = 1 << 20, group_bytes: int = 16 << 20) -> DataFrame:
     """`doc_id, n_words, n_removed, removed (array of [start, end) in words),
     kept_text (the kept words, joined by one space)` of every document."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = text_bytes(texts)
     buckets, groups = parts_for(size // 6, bucket_windows), parts_for(size, group_bytes)

@@ -447,6 +447,31 @@ def test_shards_are_even(spark):
     assert len(load) == 10 and max(load.values()) < 1.02 * min(load.values())
 
 
+def test_shards_of_many_small_and_equal_rows(spark):
+    """Half of the rows are empty, under a hundredth of the bytes: they share a
+    shard and are numbered in many pieces. Rows that agree in all columns are hot."""
+    rows = [(i, "") for i in range(3000)] + [(i, f"{i} " * 400) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOC)
+    found = sharding.shard(df, 8, ranges=32, piece_rows=100).collect()
+    slots = collections.defaultdict(list)
+    for r in found:
+        slots[r["shard"]].append(r["slot"])
+    assert len(found) == 6000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r["shard"] for r in found if r["text_crc32"] == 0}) == 1
+    same = spark.createDataFrame([(7, "one row " * 20)] * 4000 + [(i, f"other {i} " * 20) for i in range(4000)], DOC)
+    load = collections.Counter()
+    for r in sharding.shard(same, 8, ranges=64).collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 8 and max(load.values()) < 1.1 * min(load.values())
+
+
+def test_pieces_of_a_range_are_many_tasks(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    plan = sharding.shard(df, 8, ranges=32, piece_rows=100)
+    spread = plan.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 2000
+
+
 # --- 10 -----------------------------------------------------------------------
 
 
@@ -475,3 +500,17 @@ def test_nearest_in_a_cluster_of_near_copies(spark, options):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = sorted(tuple(r)[:3] for r in nearest.search(df, 5, **options).collect())
     assert got == [r[:3] for r in nearest.exact(df, 5)]
+
+
+def test_nearest_of_repeated_ids(spark):
+    dice = np.random.default_rng(8)
+    x = dice.normal(size=(61, 8))
+    x[7] = x[0] + 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(7, x[7].tolist()), (7, (x[0] - 2e-3).tolist()), (0, x[20].tolist()), (0, x[0].tolist())]  # equal and different vectors of an id
+    rows += [(50, x[30].tolist())] * 9 + [(51, x[30].tolist()), (52, x[30].tolist())] * 2  # an id that asks fills the front of its group
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for options in ({}, {"query_block": 1, "code_block": 8, "rerank": 4}):
+        got = sorted((q, r, v, round(s, 12)) for q, r, v, s in nearest.search(df, 5, **options).collect())
+        assert got == [(q, r, v, round(s, 12)) for q, r, v, s in nearest.exact(df, 5)]
+    assert [v for q, _, v, _ in got if q == 50] == [30] + [51] * 2 + [52] * 2
