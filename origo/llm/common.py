@@ -59,11 +59,6 @@ def released(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    """UTF-8 bytes in all texts; one pass with partial sums."""
-    return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
-
-
 def redealt(df: DataFrame, *columns: str) -> DataFrame:
     """`df`, dealt out by a hash of the columns that a join will need. A join of a
     table grouped by its key would otherwise keep that grouping, and Spark could

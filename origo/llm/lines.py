@@ -5,8 +5,10 @@ the least hash is a fingerprint, so a repeated run of `run` lines or more always
 shares one with its earlier copy, at the same line. Fingerprints that occur once
 go. The others join their places: each window around one joins the first place
 (smallest document, then smallest line) of the same lines, which is a row for a
-place, however many places there are. A match is extended both ways along its
-diagonal to the longest stretches of equal lines; the later copy is deleted.
+place, however many places there are. Matches that follow one another in both
+documents extend each other both ways, to the longest stretches of equal lines;
+the later copy is deleted. All steps are rows of a line or a stretch, so the work
+on a document is in proportion to its lines, however they repeat.
 
 So a line is deleted if, and only if, one of the runs of `run` lines that hold
 it occurs earlier. Blank lines stay and don't count. A document of fewer lines
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from origo.llm.common import checkpointed, redealt
 
@@ -41,37 +44,38 @@ def _bare(line: Column) -> Column:
 
 def _windows(run: int) -> Column:
     """Of each window of `run` lines of `own` (of all lines, if there are fewer)
-    the place of its least hash, its start, and a hash of its lines."""
+    the place of its first least hash, its start, and a hash of its lines."""
     n = F.size("own")
-
-    def window(i: Column) -> Column:
-        part = F.slice("own", i + 1, F.lit(run))
-        at = (i + F.array_position(part, F.array_min(part)) - 1).cast("int")
-        return F.struct(at.alias("at"), i.alias("start"), F.xxhash64(F.least(n, F.lit(run)), part).alias("key"))
-
+    # One by one: a slice would copy the whole array for each window.
+    part = lambda i: F.filter(F.array(*[F.get("own", i + j) for j in range(run)]), lambda x: x.isNotNull())
+    at = lambda i: (i + F.array_position(part(i), F.array_min(part(i))) - 1).cast("int")
+    window = lambda i: F.struct(at(i).alias("at"), i.alias("start"), F.xxhash64(F.least(n, F.lit(run)), part(i)).alias("key"))
     return F.transform(F.sequence(F.lit(0), F.greatest(n - run, F.lit(0))), window)
 
 
-def _repeats(run: int) -> tuple[Column, Column]:
-    """[start, end) of the stretches where `own` equals `first` shifted by `by`,
-    in terms of a column `breaks`; and that column."""
-    n = F.size("own")
-    differs = lambda i: (i < 0) | (i >= n) | ~F.coalesce(F.get("own", i) == F.when(i >= F.col("by"), F.get("first", i - F.col("by"))), F.lit(False))
-    breaks = F.filter(F.sequence(F.lit(-1), n), differs)
-    between = F.transform(
-        F.sequence(F.lit(0), F.size("breaks") - 2), lambda i: F.struct((F.get("breaks", i) + 1).alias("start"), F.get("breaks", i + 1).alias("end"))
-    )
-    return F.filter(between, lambda x: x["end"] - x["start"] >= F.least(F.lit(run), n)), breaks
+def _stretches(matches: DataFrame, run: int) -> DataFrame:
+    """`_doc, _text, start, end`: matches (`place`, `origin`, each with a start)
+    that follow one another in both documents are one stretch. They are dealt by
+    document once, for this and for gathering a document's stretches."""
+    line = Window.partitionBy("_doc", "_text", "_from", "_from_text", "by").orderBy("start")
+    rows = matches.select(
+        F.col("place._doc").alias("_doc"), F.col("place._text").alias("_text"), F.col("origin._doc").alias("_from"), F.col("origin._text").alias("_from_text"),
+        (F.col("place.start") - F.col("origin.start")).alias("by"), F.col("place.start").alias("start"), F.col("place.lines").alias("lines"),
+    ).repartition("_doc", "_text")
+    first = (F.col("start") > F.lag("start").over(line) + 1) | F.lag("start").over(line).isNull()
+    numbered = rows.withColumn("first", first.cast("int")).withColumn("stretch", F.sum("first").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("_doc", "_text", "_from", "_from_text", "by", "stretch").agg(
+        F.min("start").alias("start"), (F.max("start") + F.least(F.lit(run), F.max("lines"))).alias("end")
+    ).select("_doc", "_text", "start", "end")
 
 
 def _later(hashed: DataFrame) -> DataFrame:
-    """`spans` of one line: the places of `long` lines of `own` that have an
-    earlier one, a row each."""
-    at = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.get("long", i))
-    places = hashed.select("_doc", "_text", "own", F.explode(at).alias("start")).select(F.get("own", F.col("start")).alias("key"), F.struct("_doc", "_text", "start").alias("place"))
+    """`_doc, _text, start, end` of the `long` lines that have an earlier place."""
+    lines = F.filter(F.transform("own", lambda x, i: F.struct(x.alias("key"), i.alias("start"))), lambda x: F.get("long", x["start"]))
+    places = hashed.select("_doc", "_text", F.explode(lines).alias("x")).select("x.key", F.struct("_doc", "_text", "x.start").alias("place"))
     firsts = places.groupBy("key").agg(F.min("place").alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "origin")
     later = places.join(redealt(firsts, "key"), "key").filter(F.col("place") != F.col("origin"))
-    return later.select("place._doc", "place._text", F.array(F.struct(F.col("place.start").alias("start"), (F.col("place.start") + 1).alias("end"))).alias("spans"))
+    return later.select("place._doc", "place._text", "place.start", (F.col("place.start") + 1).alias("end"))
 
 
 def dedup(docs: DataFrame, run: int = 3, *, alone: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,42 +95,35 @@ def dedup(docs: DataFrame, run: int = 3, *, alone: int | None = None, id_col: st
         .filter(F.size("own") > 0)
         .dropDuplicates(["_doc", "_text"])
     )
-    prints = (
-        hashed.withColumn("windows", _windows(run))
-        .select("_doc", "_text", "own", "windows", F.explode(F.array_distinct(F.transform("windows", lambda w: w["at"]))).alias("at"))
-        .select(
-            "_doc", "_text", F.get("own", F.col("at")).alias("print"),
-            F.filter(F.slice("windows", F.greatest(F.col("at") - run + 1, F.lit(0)) + 1, F.lit(run)), lambda w: w["at"] == F.col("at")).alias("windows"),
-        )
+    # The windows of a fingerprint follow one another, at most `run` of them. Only
+    # the array of fingerprints is made into rows.
+    windows = hashed.withColumn("windows", _windows(run)).select("_doc", "_text", F.size("own").alias("lines"), "own", "windows")
+    groups = F.transform(
+        F.filter(F.transform("windows", lambda w, i: F.struct(w["at"].alias("at"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("windows", x["i"] - 1)["at"] != x["at"])),
+        lambda x: F.struct(
+            F.get("own", x["at"]).alias("print"),
+            F.filter(F.array(*[F.get("windows", x["i"] + j) for j in range(run)]), lambda w: w["at"] == x["at"]).alias("windows"),
+        ),
     )
+    prints = windows.select("_doc", "_text", "lines", F.explode(groups).alias("g")).select("_doc", "_text", "lines", "g.print", "g.windows")
     shared = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
     places = (
         prints.join(redealt(shared, "print"), "print")
-        .select("_doc", "_text", F.explode("windows").alias("w"))
-        .select(F.col("w.key").alias("key"), F.struct("_doc", "_text", F.col("w.start").alias("start")).alias("place"))
+        .select("_doc", "_text", "lines", F.explode("windows").alias("w"))
+        .select(F.col("w.key").alias("key"), F.struct("_doc", "_text", F.col("w.start").alias("start"), "lines").alias("place"))
     )
     firsts = places.groupBy("key").agg(F.min("place").alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "origin")
-    diagonals = (
-        places.join(redealt(firsts, "key"), "key")
-        .filter(F.col("place") != F.col("origin"))
-        .select(
-            F.col("place._doc").alias("_doc"), F.col("place._text").alias("_text"), F.col("origin._doc").alias("_from"),
-            F.col("origin._text").alias("_from_text"), (F.col("place.start") - F.col("origin.start")).alias("by"),
-        )
-        .distinct()
-    )
-    origins = hashed.select(F.col("_doc").alias("_from"), F.col("_text").alias("_from_text"), F.col("own").alias("first"))
-    stretches, breaks = _repeats(run)
-    found = diagonals.join(origins, ["_from", "_from_text"]).join(hashed, ["_doc", "_text"]).withColumn("breaks", breaks).select("_doc", "_text", stretches.alias("spans"))
+    matches = places.join(redealt(firsts, "key"), "key").filter(F.col("place") != F.col("origin"))
+    found = _stretches(matches, run)
     if alone is not None:
         found = found.unionByName(_later(hashed))
-    removed = found.groupBy("_doc", "_text").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    removed = found.groupBy("_doc", "_text").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     whole = (
         keyed.join(removed, ["_doc", "_text"], "left")
         .withColumn("_lines", F.split(text, "\n", -1))
         .withColumn("_full", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _bare(F.get("_lines", i)) != ""))
-        .withColumn("_gone", F.array_distinct(F.flatten(F.transform(spans, lambda s: F.slice(F.col("_full"), s["start"] + 1, s["end"] - s["start"])))))
+        .withColumn("_gone", F.array_distinct(F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["start"], s["end"] - 1), lambda i: F.get("_full", i))))))
     )
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
     new = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(text)

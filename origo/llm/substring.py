@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from origo.llm import textkit
-from origo.llm.common import parts_for, ship, text_bytes
+from origo.llm.common import parts_for, ship
 
 LAST_ID = np.iinfo(np.int64).max
 _CODEC = "zstd"
@@ -56,15 +56,21 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _group(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (textkit.mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+def _group(ids: np.ndarray, groups: int, spread: int = 1, rows: np.ndarray | None = None) -> np.ndarray:
+    """The group of each document by its id. Null ids are one document, however
+    many rows they have: these rows are dealt to `spread` groups of their own."""
+    at = (textkit.mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    lost = ids == LAST_ID
+    if lost.any():
+        at[lost] = groups + (np.zeros(lost.sum(), dtype=np.int64) if rows is None else rows[lost] % spread)
+    return at
 
 
 class _Found:
     """Repeats, gathered and handed on as rows (1, group of documents, packed)."""
 
-    def __init__(self, groups: int, most: int = 1 << 20):
-        self.groups, self.most, self.n = groups, most, 0
+    def __init__(self, groups: int, spread: int, most: int = 1 << 20):
+        self.groups, self.spread, self.most, self.n = groups, spread, most, 0
         self.ids: list[np.ndarray] = []
         self.hashes: list[np.ndarray] = []
 
@@ -85,7 +91,8 @@ class _Found:
             ids, hashes, group = ids[order], hashes[order], group[order]
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
             for a, b in zip(cuts, cuts[1:]):
-                yield 1, int(group[a]), _pack(ids[a:b], hashes[a:b])
+                for k in range(self.spread if group[a] >= self.groups else 1):  # all groups of null ids need theirs
+                    yield 1, int(group[a]) + k, _pack(ids[a:b], hashes[a:b])
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -93,7 +100,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(at, pa.int64()), pa.array(raw, pa.binary())], names=["kind", "at", "raw"])
 
 
-def _hashed(width: int, buckets: int, groups: int, most: int = 1 << 20):
+def _hashed(width: int, buckets: int, groups: int, spread: int, most: int = 1 << 20):
     """Documents to rows (0, bucket, packed hashes) and (1, group, packed repeats)."""
 
     def flush(ids: list, hashes: list, found: _Found) -> Iterator[pa.RecordBatch]:
@@ -117,7 +124,7 @@ def _hashed(width: int, buckets: int, groups: int, most: int = 1 << 20):
         yield _rows(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, ids, hashes, held = _Found(groups), [], [], 0
+        found, ids, hashes, held = _Found(groups, spread), [], [], 0
         for batch in batches:
             doc = _ids(batch.column(0))
             for a, b, words in textkit.words_of(batch.column(1)):
@@ -136,7 +143,7 @@ def _hashed(width: int, buckets: int, groups: int, most: int = 1 << 20):
     return work
 
 
-def _counted(groups: int):
+def _counted(groups: int, spread: int):
     """Rows sorted by kind and bucket to repeats (1, group, packed)."""
 
     def settle(raws: list[bytes], found: _Found) -> Iterator[tuple[int, int, bytes]]:
@@ -149,7 +156,7 @@ def _counted(groups: int):
         yield from found.add(doc[doc > least], h[doc > least])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, at = _Found(groups), [], None
+        found, held, at = _Found(groups, spread), [], None
         for batch in batches:
             out = []
             for kind, bucket, raw in zip(*(batch.column(k).to_pylist() for k in ("kind", "at", "raw"))):
@@ -167,12 +174,14 @@ def _counted(groups: int):
     return work
 
 
-def _texts(groups: int):
+def _texts(groups: int, spread: int):
     """Documents to rows (group, compressed ids and texts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
-            group = _group(_ids(batch.column(0)), groups)
+            group = _group(_ids(batch.column(0)), groups, spread, turn + np.arange(batch.num_rows))
+            turn += batch.num_rows
             order = np.argsort(group, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(group[order])) + 1).tolist(), len(order)]
             at, raw = [], []
@@ -239,17 +248,17 @@ def dedup(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col:
     kept_text (the kept words, joined by one space)` of every document."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = text_bytes(texts)
-    buckets, groups = parts_for(size // 6, bucket_windows), parts_for(size, group_bytes)
+    size, lost = texts.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.octet_length("text"), F.when(F.col("doc_id").isNull(), F.octet_length("text")))]).first()
+    buckets, groups, spread = parts_for(size // 6, bucket_windows), parts_for(size, group_bytes), parts_for(lost, group_bytes)
     schema = "kind byte, at long, raw binary"
     repeats = (
-        texts.mapInArrow(_hashed(width, buckets, groups), schema)
-        .repartition("kind", "at")
+        texts.mapInArrow(_hashed(width, buckets, groups, spread), schema)
+        .repartition(buckets + groups + spread, "kind", "at")
         .sortWithinPartitions("kind", "at")
-        .mapInArrow(_counted(groups), schema)
+        .mapInArrow(_counted(groups, spread), schema)
         .select("at", "raw")
     )
-    packed = texts.mapInArrow(_texts(groups), "at long, raw binary")
+    packed = texts.mapInArrow(_texts(groups, spread), "at long, raw binary")
     return repeats.groupBy("at").cogroup(packed.groupBy("at")).applyInArrow(
         _removed(width, pa.int64()), "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string"
     )

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -203,6 +204,13 @@ def test_substring(docs, rows, nothing, options):
     assert substring.dedup(nothing).count() == 0
 
 
+def test_substring_of_many_null_ids(spark, rows):
+    lost = [(None, t) for _, t in made(40, 5)[:40]]
+    df = spark.createDataFrame(rows + lost, DOC).repartition(3)
+    found = substring.dedup(df, 50, bucket_windows=500, group_bytes=4000)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found.collect()), key=repr) == brute_windows(rows + lost)
+
+
 # --- 4 ------------------------------------------------------------------------
 
 
@@ -417,6 +425,16 @@ def test_lines_alone(spark):
     assert {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()} == dict(texts)
 
 
+def test_a_text_of_many_equal_lines(spark):
+    """The work grows with the lines; the square of these would take hours."""
+    began = time.monotonic()
+    df = spark.createDataFrame([(1, "again\n" * 100_000), (2, "\n".join(["once", *["again"] * 50_000]))], DOC)
+    found = {r["doc_id"]: r for r in lines.dedup(df).collect()}
+    assert found[1]["text"] == "again\n" and found[1]["n_removed"] == 99_999
+    assert found[2]["text"] == "once" and found[2]["n_removed"] == 50_000
+    assert time.monotonic() - began < 120
+
+
 # --- 9 ------------------------------------------------------------------------
 
 
