@@ -107,19 +107,15 @@ def rendered(final: DataFrame) -> DataFrame:
 def format_chats(log: DataFrame) -> DataFrame:
     """`conv_id, formatted, loss (array of [start, end) in code points)` of every
     conversation of a log."""
-    whole = rendered(messages(log)).groupBy("conv_id").agg(
+    # Where each piece begins is a running sum over a conversation's rows, and
+    # these then stand in one place for the string.
+    before = Window.partitionBy("conv_id").orderBy("turn", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rendered(messages(log)).withColumn("at", F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)).cast("int"))
+    mask = F.when(F.col("mask").isNotNull(), F.struct((F.col("at") + F.col("mask.start")).alias("start"), (F.col("at") + F.col("mask.end")).alias("end")))
+    whole = placed.select("conv_id", "turn", "copy", "piece", mask.alias("mask")).groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "copy", "piece", "mask"))).alias("pieces")
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
-    loss = F.aggregate(
-        "pieces", zero,
-        lambda s, p: F.struct(
-            (s["at"] + F.char_length(p["piece"])).alias("at"),
-            F.when(p["mask"].isNull(), s["loss"]).otherwise(
-                F.concat(s["loss"], F.array(F.struct((s["at"] + p["mask"]["start"]).alias("start"), (s["at"] + p["mask"]["end"]).alias("end"))))
-            ).alias("loss"),
-        ),
-    )["loss"]
+    loss = F.filter(F.transform("pieces", lambda p: p["mask"]), lambda m: m.isNotNull())
     return whole.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), loss.alias("loss"))
 
 
@@ -139,15 +135,25 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+_CHUNK = 1024
+
+
+def _cut(chunks: Column, span: Column) -> Column:
+    """The code points [start, end) of a string that was cut into chunks. Cutting
+    it out of the string itself would walk there from its beginning each time."""
+    some = F.transform(F.sequence(F.floor(span["start"] / _CHUNK).cast("int"), F.floor(span["end"] / _CHUNK).cast("int")), lambda i: F.get(chunks, i))
+    return F.substring(F.array_join(some, ""), F.pmod(span["start"], F.lit(_CHUNK)) + 1, span["end"] - span["start"])
+
+
 def digests(chats: DataFrame) -> DataFrame:
     """What the outputs say, read back from them alone."""
     turns = read_back(F.col("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    lost = F.array_join(
-        F.transform("loss", lambda m: unescaped(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"]))), ""
-    )
+    chunks = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    # Two uses of `chunks`, so that it is computed once and not for each span.
+    lost = F.when(F.size("chunks") > 0, F.array_join(F.transform("loss", lambda m: unescaped(_cut(F.col("chunks"), m))), "")).otherwise(F.lit(""))
     return (
-        chats.withColumn("turns", turns).withColumn("lost", lost)
+        chats.withColumn("turns", turns).withColumn("chunks", chunks).withColumn("lost", lost)
         .select(
             "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
             F.char_length("lost").cast("long").alias("loss_chars"), F.sha2(F.col("lost").cast("binary"), 256).alias("loss_sha256"),

@@ -321,6 +321,41 @@ def test_chat_events_fold(spark):
     assert [(r["role"], r["text"]) for r in found] == [("user", "hello"), ("assistant", "Good day!"), ("user", "?")]
 
 
+def brute_fold(log):
+    """Events, one after another, applied to a dictionary of messages."""
+    said = {}
+    for conv, seq, turn, kind, role, text in sorted(log, key=lambda e: (e[1], e[3] == "delta")):
+        now = said.setdefault((conv, turn), [None, ""])
+        now[0] = now[0] or role
+        now[1] = now[1] + (text or "") if kind == "delta" else "" if kind == "regenerate" else text or ""
+    return sorted((conv, turn, role or "user", text) for (conv, turn), (role, text) in said.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chat_fold_against_brute_force(spark, seed):
+    dice = np.random.default_rng(seed)
+    log = []
+    for conv in range(25):
+        for seq in range(int(dice.integers(1, 40))):
+            kind = str(dice.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]))
+            role = "assistant" if kind == "message" else None
+            log.append((conv, seq, int(dice.integers(0, 5)), kind, role, None if dice.random() < 0.1 else f"{seq}<|im_end|>\\ "))
+    dice.shuffle(log)
+    log = [(int(c), int(q), int(t), str(k), r, x) for c, q, t, k, r, x in log]
+    df = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string").withColumn("copy", F.lit(1))
+    want = brute_fold(log)
+    assert sorted(tuple(r) for r in chat.messages(df).select("conv_id", "turn", "role", "text").collect()) == want
+    back = chat.format_chats(df).select("conv_id", chat.read_back(F.col("formatted")).alias("said")).collect()
+    assert sorted((r["conv_id"], *x) for r in back for x in r["said"]) == sorted((c, role, text) for c, _, role, text in want)
+
+
+def test_chat_of_many_turns(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("ab").alias("text"))
+    began = time.monotonic()
+    r = chat.digests(chat.format_chats(chat.events(df))).first()
+    assert (r["n_turns"], r["loss_chars"]) == (100_000, 200_000) and time.monotonic() - began < 120
+
+
 # --- 7 ------------------------------------------------------------------------
 
 
