@@ -11,14 +11,22 @@ weighs its characters as often as it occurs.
    shingles that weigh more than that together. Those with the longest words
    are an item's anchors. A bitmap of the anchors' words, then one of the
    anchors, finds where texts may hold one; bitmaps have a fixed size, and can
-   only let too much through.
-2. Every window around an anchor found has a 64-bit SimHash of its shingles. It
-   is compared with the item's by blocks: of eight blocks one must differ in at
-   most radius / 8 bits, which all fingerprints within the radius satisfy, and
-   then the whole in at most `radius` bits. The radius lies far beyond the
-   distance that the wanted similarity gives (a mean of 10 and a standard
-   deviation of 3 bits at 0.8).
-3. What is left is compared exactly.
+   only let too much through. Only windows without an anchor are left out, and
+   they are similar to nothing.
+2. Every other window of the size of an item has a 64-bit SimHash of its
+   different shingles. A shingle votes with the square root of its weight, so the
+   cosine of two sets is 2 * similarity / (1 + similarity) at least, whatever the
+   weights, and the radius follows from that angle: the mean of the distance and
+   4.6 standard deviations (23 bits at 0.8). Votes are running sums over the
+   starts of windows (a shingle counts from behind its last copy on), so the work
+   is in proportion to the words.
+3. A multi-index finds the candidates: fingerprints are eight blocks; an item is
+   entered under each block and all its values within radius / 8 bits, a window
+   looks up its eight blocks. Two fingerprints within the radius agree so in one
+   block at least, so the index misses none; then the whole distance is tested.
+   Only an item that repeats shingles, whose weighted similarity a set does not
+   bound, is compared with all windows of its size that step 1 leaves.
+4. Candidates are compared exactly.
 
 Each pair of a document and an item is one row, whatever the number of windows.
 
@@ -30,46 +38,62 @@ items of their own; an empty table gives no rows. Extra columns are not carried.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from origo.llm.common import checkpointed, parts_for
 
 BITS = 1 << 20
-_SPREAD = [sum(1 << (16 * b) for b in range(4) if n >> b & 1) for n in range(16)]  # four bits to four lanes of 16
-_SPREAD = [x - (1 << 64) if x >> 63 else x for x in _SPREAD]
+BLOCKS = 8
+LANES = 0x100000001  # bits i and i + 32 of a hash, in the two halves of a number
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def shingles_of(words: Column, width: Column) -> Column:
-    """All runs of `width` of the words, which are as many at least."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.concat_ws(" ", F.slice(words, i + 1, width)))
+def _shingle(words: Column, at: Column, k: Column, width: int) -> Column:
+    """The `k` words from `at` on, `width` at most. Word by word: a slice would copy
+    the whole array each time."""
+    return F.concat_ws(" ", *[F.when(k > j, F.get(words, at + j)) for j in range(width)])
+
+
+def shingles_of(words: Column, k: Column, width: int) -> Column:
+    """All runs of `k` of the words, which are as many at least."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: _shingle(words, i, k, width))
+
+
+def radius_for(similarity: float, sigmas: float = 4.6) -> int:
+    """The Hamming distance of 64 bits that fingerprints of this similarity keep."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(64, math.ceil(64 * p + sigmas * math.sqrt(64 * p * (1 - p))))
+
 
+def _vote(weight: Column) -> Column:
+    """The square root of a weight, to a quarter."""
+    return F.round(F.sqrt(weight) * 4).cast("long")
 
-def simhash(hashes: Column) -> Column:
-    """The majority of each of 64 bits. Counts lie in lanes of 16 bits."""
-    spread = F.split(F.lit(",".join(map(str, _SPREAD))), ",").cast("array<bigint>")  # folded to one literal
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"a{j}") for j in range(16)])
 
-    def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"a{j}"] + F.get(spread, F.shiftrightunsigned(h, 4 * j).bitwiseAND(15).cast("int"))).alias(f"a{j}") for j in range(16)])
+def _votes(h: Column, vote: Column) -> list[Column]:
+    """Sums of votes for ones of the 64 bits, two bits in a sum."""
+    return [F.sum(vote * F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANES))).alias(f"v{i}") for i in range(32)]
 
-    half = F.size(hashes)
 
-    def majority(acc: Column) -> Column:
-        bits = None
-        for j in range(16):
-            for b in range(4):
-                value = 1 << (4 * j + b)
-                lane = F.shiftrightunsigned(acc[f"a{j}"], 16 * b).bitwiseAND(65535)
-                bit = F.when(lane * 2 > half, F.lit(value - (1 << 64) if value >> 63 else value)).otherwise(F.lit(0).cast("long"))
-                bits = bit if bits is None else bits.bitwiseOR(bit)
-        return bits
+def _majority(total: Column) -> Column:
+    """The fingerprint of the sums v0 to v31."""
+    bits = F.lit(0).cast("long")
+    for i in range(32):
+        for value, votes in ((1 << i, F.col(f"v{i}").bitwiseAND((1 << 32) - 1)), (1 << i + 32, F.shiftrightunsigned(f"v{i}", 32))):
+            bits = bits.bitwiseOR(F.when(votes * 2 > total, F.lit(value - (1 << 64) if value >> 63 else value)).otherwise(F.lit(0).cast("long")))
+    return bits
 
-    return F.aggregate(hashes, zero, add, majority)
+
+def _blocks(fingerprint: Column) -> Column:
+    """The blocks of a fingerprint, with their numbers."""
+    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, 8 * b).bitwiseAND(255).cast("int").alias("value")) for b in range(BLOCKS)])
 
 
 def _places(h: Column) -> tuple[Column, Column]:
@@ -96,42 +120,72 @@ def _in(bitmap: Column, h: Column) -> Column:
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     items = (
-        benchmark.select(F.col(id_col).alias("item_id"), F.xxhash64(text_col).alias("item_key"), words_of(F.col(text_col)).alias("words"))
+        benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words"))
         .filter(F.size("words") > 0)
         .withColumn("k", F.least(F.lit(width), F.size("words")))
     )
-    items = items.withColumn("grams", shingles_of(F.col("words"), F.col("k")))
     return items.select(
-        F.coalesce(F.xxhash64("item_id", "item_key"), F.lit(0)).alias("item"), "item_id", F.size("words").alias("length"), "k", "words", "grams",
-        simhash(F.transform("grams", lambda g: F.xxhash64(g))).alias("print"),
-    )
+        F.monotonically_increasing_id().alias("item"), "item_id", F.size("words").alias("length"), "k", shingles_of(F.col("words"), F.col("k"), width).alias("grams")
+    )
 
 
-def _anchors(items: DataFrame, similarity: float) -> DataFrame:
-    """`item, k, gram, word, gram_hash`: shingles that weigh more than
-    `1 - similarity` of an item together, those with the longest words first."""
+def _counted(items: DataFrame) -> DataFrame:
+    """A row for each different shingle of an item: `weight`, of all its copies,
+    and its longest `word`."""
+    grams = items.select("item", "k", "length", F.explode("grams").alias("gram")).groupBy("item", "k", "length", "gram").agg(F.count(F.lit(1)).alias("n"))
+    longest = F.array_max(F.transform(F.split("gram", " ", -1), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))
+    return grams.withColumn("longest", longest).select(
+        "item", "k", "length", "gram", "n", F.xxhash64("gram").alias("h"), F.char_length("gram").alias("chars"), (F.char_length("gram") * F.col("n")).alias("weight"),
+        F.col("longest.w").alias("word"), F.col("longest.n").alias("word_chars"),
+    )
 
-    def longest(gram: Column) -> Column:
-        return F.array_max(F.transform(F.split(gram, " ", -1), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))
 
-    grams = F.transform(
-        F.array_distinct("grams"),
-        lambda g: F.struct(
-            (-longest(g)["n"]).alias("rank"), g.alias("gram"), longest(g)["w"].alias("word"),
-            (F.char_length(g) * F.size(F.filter("grams", lambda x: x == g))).alias("weight"),
-        ),
+def _anchors(counted: DataFrame, similarity: float) -> DataFrame:
+    """Shingles that weigh more than `1 - similarity` of an item together, those
+    with the longest words first."""
+    order = Window.partitionBy("item").orderBy(F.desc("word_chars"), "gram")
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = counted.withColumn("before", before).withColumn("total", F.sum("weight").over(Window.partitionBy("item")))
+    return taken.filter(F.col("before") <= F.lit(1 - similarity + 1e-9) * F.col("total")).select("k", "length", "h", F.xxhash64("word").alias("word")).distinct()
+
+
+def _index(counted: DataFrame, within: int) -> DataFrame:
+    """The multi-index of the items that repeat no shingle: `length, block, value,
+    item, own`, a row for each block and value within so many bits of it."""
+    prints = counted.groupBy("item", "length").agg(*_votes(F.col("h"), _vote(F.col("chars"))), F.sum(_vote(F.col("chars"))).alias("total"), F.max("n").alias("most"))
+    prints = prints.filter("most = 1").select("item", "length", _majority(F.col("total")).alias("own")).withColumn("b", F.explode(_blocks(F.col("own"))))
+    near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.value"))) <= within)
+    return prints.select("length", F.col("b.block").alias("block"), F.explode(near).alias("value"), "item", "own")
+
+
+def _windows(spots: DataFrame, width: int, tasks: int) -> DataFrame:
+    """`doc, length, start, print` of every window that holds a spot, from
+    `doc, words, length, k, shingles (of a window), cells`; a cell is the number of a
+    spot over that of a window's shingles. Some windows beside these may come, too."""
+    m, last = F.col("shingles"), F.size("words") - F.col("k")
+    around = F.transform("cells", lambda c: F.sequence(F.greatest((c - 1) * m + 1, F.lit(0)), F.least((c + 2) * m - 2, last)))
+
+    def told(p: Column) -> Column:
+        gram = _shingle(F.col("words"), p, F.col("k"), width)
+        return F.struct(p.alias("p"), F.xxhash64(gram).alias("h"), _vote(F.char_length(gram)).alias("vote"))
+
+    at = spots.repartition(tasks, "doc", "length").select("doc", "length", "shingles", F.explode(F.transform(F.array_sort(F.array_distinct(F.flatten(around))), told)).alias("x"))
+    at = at.select("doc", "length", "shingles", "x.*").withColumn("last", F.lag("p").over(Window.partitionBy("doc", "length", "h").orderBy("p")))
+    # From which start on a shingle is in a window and is the first of its copies
+    # there; from where on it is in one; from where on it is in none.
+    begins = F.greatest(F.col("p") - F.col("shingles") + 1, F.lit(0))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    steps = F.array(
+        F.struct(F.greatest(begins, F.coalesce(F.col("last") + 1, F.lit(0))).alias("start"), F.col("vote").alias("vote"), zero.alias("n")),
+        F.struct(begins.alias("start"), zero.alias("vote"), one.alias("n")),
+        F.struct((F.col("p") + 1).alias("start"), (-F.col("vote")).alias("vote"), (-one).alias("n")),
+    )
+    changes = at.select("doc", "length", "shingles", "h", F.explode(steps).alias("s")).groupBy("doc", "length", "shingles", F.col("s.start").alias("start")).agg(
+        *_votes(F.col("h"), F.col("s.vote")), F.sum("s.vote").alias("total"), F.sum("s.n").alias("n")
     )
-    total = F.aggregate("grams", F.lit(0), lambda a, g: a + F.char_length(g))
-    ordered = items.withColumn("ordered", F.array_sort(grams)).withColumn("total", total)
-    # How many come before the weight is passed.
-    taken = F.aggregate(
-        "ordered", F.struct(F.lit(0).alias("weight"), F.lit(0).alias("n")),
-        lambda a, g: F.when(a["weight"] > F.lit(1 - similarity + 1e-9) * F.col("total"), a).otherwise(
-            F.struct((a["weight"] + g["weight"]).alias("weight"), (a["n"] + 1).alias("n"))
-        ),
-    )["n"]
-    rows = ordered.select("item", "k", F.explode(F.slice("ordered", F.lit(1), taken)).alias("a"))
-    return rows.select("item", "k", F.col("a.gram").alias("gram"), F.col("a.word").alias("word"), F.xxhash64("a.gram").alias("gram_hash"))
+    upto = Window.partitionBy("doc", "length").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    sums = changes.select("doc", "length", "shingles", "start", *[F.sum(c).over(upto).alias(c) for c in (*[f"v{i}" for i in range(32)], "total", "n")])
+    return sums.filter(F.col("n") == F.col("shingles")).select("doc", "length", "start", _majority(F.col("total")).alias("print"))
 
 
 def _similarity(own: Column, other: Column) -> Column:
@@ -145,18 +199,24 @@ def _similarity(own: Column, other: Column) -> Column:
     return shared / (weight(own) + weight(other) - shared)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = 23) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int | None = None) -> DataFrame:
     """`doc_id, text_key, item_id, start, similarity`: for each document and item
     with a similar window the most similar one (the first of these); `start` in
     words, `text_key` a hash of the document's text."""
+    radius = radius_for(similarity) if radius is None else radius
     items = checkpointed(_items(benchmark, item_col, item_text_col, width))
-    anchors = checkpointed(_anchors(items, similarity))
+    counted = checkpointed(_counted(items))
+    anchors = checkpointed(_anchors(counted, similarity))
+    n_items, n_grams = items.count(), counted.count()
+    # A small benchmark goes to where the texts are: at most 2,048 items (296
+    # entries of the index each at radius 23) and 2**17 shingles.
+    small = F.broadcast if n_items <= 2048 and n_grams <= 1 << 17 else lambda df: df
     ks = sorted(r["k"] for r in anchors.select("k").distinct().collect())  # numbers up to `width`
-    word_map, gram_map = _bitmap(anchors.select(F.xxhash64("word").alias("h"))), _bitmap(anchors.select(F.col("gram_hash").alias("h")))
+    word_map, gram_map = _bitmap(anchors.select(F.col("word").alias("h"))), _bitmap(anchors.select("h"))
 
     def near(i: Column) -> Column:
         """Places and hashes of shingles with word i that may be anchors."""
-        tried = [F.struct((i - o).alias("at"), F.when((i - o >= 0) & (i - o + k <= F.size("words")), F.xxhash64(F.concat_ws(" ", F.slice("words", F.greatest(i - o, F.lit(0)) + 1, F.lit(k))))).alias("h")) for k in ks for o in range(k)]
+        tried = [F.struct((i - o).alias("at"), F.when((i - o >= 0) & (i - o + k <= F.size("words")), F.xxhash64(_shingle(F.col("words"), i - o, F.lit(k), k))).alias("h")) for k in ks for o in range(k)]
         return F.filter(F.array(*tried), lambda t: t["h"].isNotNull() & F.coalesce(_in(gram_map, t["h"]), F.lit(False)))
 
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), words_of(F.col(text_col)).alias("words"))
@@ -165,38 +225,31 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     hits = F.array_distinct(F.flatten(F.transform("spots", near))) if ks else F.array().cast("array<struct<at:int,h:bigint>>")
     # No filter before the checkpoint: it would be pushed below, and there the
     # words would be made anew for each word.
-    held = checkpointed(spots.withColumn("hits", hits).select("doc_id", "text_key", F.when(F.size("hits") > 0, F.struct("words", "hits")).alias("x")))
-    held = held.filter(F.col("x").isNotNull()).select("doc_id", "text_key", "x.words", "x.hits")
-    pairs = checkpointed(
-        held.select("doc_id", "text_key", F.explode("hits").alias("x"))
-        .join(anchors.select("item", F.col("gram_hash").alias("h")), F.col("x.h") == F.col("h"))
-        .groupBy("doc_id", "text_key", "item").agg(F.collect_set("x.at").alias("ats"))
+    held = checkpointed(spots.withColumn("hits", hits).select("doc_id", "text_key", F.when(F.size("hits") > 0, F.struct(F.monotonically_increasing_id().alias("doc"), "words", "hits")).alias("x")))
+    held = held.filter(F.col("x").isNotNull()).select("doc_id", "text_key", "x.*")
+    cells = checkpointed(
+        held.select("doc", F.size("words").alias("n"), F.explode("hits").alias("x")).select("doc", "n", "x.at", "x.h")
+        .join(small(anchors.select("k", "length", "h")), "h")
+        .withColumn("shingles", F.least("length", "n") - F.col("k") + 1)
+        .groupBy("doc", "length", "k", "shingles").agg(F.collect_set(F.floor(F.col("at") / F.col("shingles")).cast("int")).alias("cells"))
     )
-    texts = held.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("words").alias("said"))
-    both = pairs.join(items, "item").join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    # The comparison is the work, so pairs are dealt to many tasks whatever their bytes.
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, parts_for(pairs.count(), 128))
-    both = both.repartition(tasks, "doc_id", "text_key", "item")
-    n = F.size("said")
-    size = F.least("length", n)
-    starts = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(F.greatest(p + F.col("k") - size, F.lit(0)), F.least(p, n - size)))))
-    both = both.withColumn("own", shingles_of(F.col("said"), F.col("k"))).withColumn("hashes", F.transform("own", lambda g: F.xxhash64(g)))
-    windows = F.transform(starts, lambda s: F.struct(s.alias("start"), simhash(F.slice("hashes", s + 1, size - F.col("k") + 1)).alias("print")))
-    both = both.withColumn("windows", windows)
-
-    def close(w: Column) -> Column:
-        differ = w["print"].bitwiseXOR(F.col("print"))
-        blocks = None
-        for b in range(8):
-            block = F.bit_count(F.shiftrightunsigned(differ, 8 * b).bitwiseAND(255)) <= radius // 8
-            blocks = block if blocks is None else blocks | block
-        return blocks & (F.bit_count(differ) <= radius)
-
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    # The hashing and the comparison are the work, so rows are dealt to many tasks whatever their bytes.
+    windows = checkpointed(_windows(cells.join(held.select("doc", "words"), "doc"), width, max(parallel, parts_for(cells.count(), 512))))
+    asked = windows.select("doc", "length", "start", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("doc", "length", "start", "print", "b.block", "b.value")
+    close = asked.join(small(_index(counted, radius // BLOCKS)), ["length", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= radius)
+    repeating = counted.groupBy("item", "length").agg(F.max("n").alias("most")).filter("most > 1").select("item", "length")
+    close = close.select("doc", "item", "start").unionByName(windows.join(small(repeating), "length").select("doc", "item", "start"))
+    pairs = checkpointed(close.groupBy("doc", "item").agg(F.collect_set("start").alias("starts")))
+    both = pairs.join(small(items), "item").join(held.select("doc", "doc_id", "text_key", F.col("words").alias("said")), "doc")
+    both = both.repartition(max(parallel, parts_for(pairs.count(), 128)), "doc", "item")
+    shingles = F.least(F.col("length"), F.size("said")) - F.col("k") + 1
+    both = both.withColumn("shingles", shingles).withColumn("own", shingles_of(F.col("said"), F.col("k"), width))
     exact = F.transform(
-        F.filter("windows", close),
-        lambda w: F.struct(_similarity(F.slice("own", w["start"] + 1, size - F.col("k") + 1), F.col("grams")).alias("similarity"), (-w["start"]).alias("back")),
+        "starts",
+        lambda s: F.struct(_similarity(F.transform(F.sequence(s, s + F.col("shingles") - 1), lambda p: F.get("own", p)), F.col("grams")).alias("similarity"), (-s).alias("back")),
     )
-    best = checkpointed(both.select("doc_id", "text_key", "item_id", F.array_max(exact).alias("best")))
+    best = checkpointed(both.select("doc_id", "text_key", "item_id", "shingles", F.size("own").alias("n"), F.array_max(exact).alias("best")))
     return best.filter(F.col("best.similarity") >= similarity - 1e-12).select("doc_id", "text_key", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
 
 

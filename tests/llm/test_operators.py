@@ -413,6 +413,44 @@ def test_decontamination(spark, nothing):
     assert decontam.find(nothing, bench).count() == 0 and decontam.find(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_uneven_shingles(spark):
+    """Words of very different lengths, shared and not, and items that repeat
+    themselves: what the exact similarity counts, the fingerprints must let through."""
+    dice = np.random.default_rng(3)
+    vocabulary = ["".join(dice.choice(list("abcdefghij"), int(n))) for n in dice.choice([1, 2, 3, 5, 8, 13, 30, 90], 2000)]
+    say = lambda k: list(dice.choice(vocabulary, k))
+    long = "q" * 4000
+    items = [say(30) for _ in range(20)] + [say(12) + [long] + say(12) for _ in range(6)] + [(say(4) * 9)[: 30 + k] for k in range(6)] + [["again"] * 25 + say(15)]
+    rows = []
+    for i in range(200):
+        item = list(items[i % len(items)])
+        for _ in range(i // 66):  # up to three changes
+            at = int(dice.integers(0, len(item)))
+            if item[at] != long:
+                item[at : at + 1] = [] if dice.random() < 0.5 else say(1)
+        rows.append((i, " ".join(say(20) + item + say(20))))
+    # Only what surrounds one long word is shared.
+    rows.append((900, " ".join(say(30) + items[20][8:18] + say(30))))
+    bench = [(j, " ".join(item)) for j, item in enumerate(items)]
+    df, known = spark.createDataFrame(rows, DOC).repartition(4), spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 9)) for r in decontam.find(df, known).collect()}
+    want = brute_contaminated(rows, bench)
+    assert found == want and (900, 20) in want and len(want) > 60
+
+
+def test_windows_are_hashed_as_their_shingles_say(spark):
+    """The running sums against fingerprints made from each window alone."""
+    text = "a b a b a b c d e f a b a b a c c c c c c c d e".split()
+    spots = spark.createDataFrame([(1, text, 8, 3, 6, [0, 1, 2])], "doc long, words array<string>, length int, k int, shingles int, cells array<int>")
+    got = {r["start"]: r["print"] for r in decontam._windows(spots, 3, 2).collect()}
+    sets = [(s, sorted({" ".join(text[p : p + 3]) for p in range(s, s + 6)})) for s in range(len(text) - 7)]
+    rows = spark.createDataFrame(sets, "start long, grams array<string>").select("start", F.explode("grams").alias("g"))
+    vote = decontam._vote(F.char_length("g"))
+    want = rows.groupBy("start").agg(*decontam._votes(F.xxhash64("g"), vote), F.sum(vote).alias("total")).select("start", decontam._majority(F.col("total")).alias("print"))
+    want = {r["start"]: r["print"] for r in want.collect()}
+    assert got.items() <= want.items() and len(got) == len(want)
+
+
 # --- 8 ------------------------------------------------------------------------
 
 
