@@ -6,14 +6,20 @@ shorter. Whole-length pieces are sequences of their own. All other pieces are
 dealt to islands of bounded size by a hash, and each island evolves a small
 population of packings:
 
-* a packing is a list of bins; its fitness rewards full bins (the sum of
-  squared fills), and so few of them;
+* the first packing is plain best fit; a packing is a list of bins, and fewer bins
+  are fitter, then fuller ones (the sum of squared fills);
 * crossover injects whole well-filled bins of one parent into a copy of the
-  other, removes the bins that hold duplicates of what was injected, and packs
-  the pieces displaced by this by best fit;
+  other, removes the bins that hold duplicates of what was injected and some of
+  the least filled ones, and packs the pieces displaced by this anew, each bin by
+  the one or two pieces that fit best in what room is left;
 * after some generations the best bins of each island migrate to the next one,
   as patterns of lengths: a bin is a multiset of lengths, and an island that has
-  pieces of these lengths takes the bin over and evolves on.
+  pieces of these lengths takes the bin over and evolves on;
+* at the end islands meet: the least filled bins of `fan` islands make a new
+  island, which evolves in the same way, until one is left. So what the islands
+  cannot fill is some bins for the whole table and not for each of them.
+
+An island whose bins are as few as the sum of its lengths allows stops at once.
 
 Only lengths and ids take part, so a row is some bytes; texts are never
 shuffled.
@@ -156,23 +162,68 @@ class Packing:
                 rooms[left].append(b)
         return self
 
+    def best_fill(self, items: list[int], dice: random.Random) -> Packing:
+        """Put each item into new bins that are filled as well as one item or two
+        can fill what room is left; first, items that fill an open bin just go there."""
+        of: dict[int, list[int]] = {}
+        for i in items:
+            of.setdefault(self.lengths[i], []).append(i)
+        for b, f in enumerate(self.fill):
+            if f < self.limit and of.get(self.limit - f):
+                self.bins[b] = [*self.bins[b], of[self.limit - f].pop()]
+                self.fill[b] = self.limit
+        free = sorted(n for n, some in of.items() if some)
+
+        def take(n: int) -> None:
+            bin_.append(of[n].pop())
+            if not of[n]:
+                del free[bisect.bisect_left(free, n)]
+
+        while free:
+            bin_: list[int] = []
+            room = self.limit - free[-1]
+            take(free[-1])
+            while free and free[0] <= room:
+                if of.get(room):
+                    take(room)
+                    room = 0
+                    break
+                half = free[: bisect.bisect_right(free, room // 2)]
+                pair = next((x for x in (half if dice.random() < 0.5 else reversed(half)) if len(of.get(room - x, ())) > (2 * x == room)), None)
+                if pair is not None:
+                    take(pair)
+                    take(room - pair)
+                    room = 0
+                    break
+                upto = bisect.bisect_right(free, room)
+                n = free[upto - 1 if dice.random() < 0.6 else dice.randrange(upto)]
+                take(n)
+                room -= n
+            self.bins.append(bin_)
+            self.fill.append(self.limit - room)
+        return self
+
     def fitness(self) -> tuple[int, int]:
         return -len(self.bins), sum(f * f for f in self.fill)
 
 
 def _crossover(a: Packing, b: Packing, dice: random.Random) -> Packing:
-    """A child of `a` with well-filled bins of `b`."""
+    """A child of `a` with well-filled bins of `b`: those it injects displace bins
+    of `a` that hold the same items, the least filled bins go as well, with some of
+    the others, and what is displaced by all this is packed anew."""
     order = sorted(range(len(b.bins)), key=lambda k: -b.fill[k])
     good = order[: max(1, len(order) // 2)]
-    take = [k for k in good if dice.random() < 0.3] or good[:1]
+    own = set(map(frozenset, a.bins))
+    take = [k for k in dice.sample(good, min(len(good), 8)) if frozenset(b.bins[k]) not in own]
     taken = {i for k in take for i in b.bins[k]}
-    worst = sorted(range(len(a.bins)), key=a.fill.__getitem__)[: max(1, len(a.bins) // 50)]
-    drop = set(worst) | {k for k, items in enumerate(a.bins) if any(i in taken for i in items)}
+    poor = sorted(range(len(a.bins)), key=a.fill.__getitem__)[: dice.randrange(2, 12)]
+    drop = set(poor) | set(dice.sample(range(len(a.bins)), min(len(a.bins), dice.randrange(1, 24))))
+    drop |= {k for k, items in enumerate(a.bins) if not taken.isdisjoint(items)}
     displaced = [i for k in drop for i in a.bins[k] if i not in taken]
     child = a.copy_of([k for k in range(len(a.bins)) if k not in drop])
     for k in take:
         child.inject(b.bins[k])
-    return child.best_fit(displaced)
+    return child.best_fill(displaced, dice)
 
 
 def _adopt(a: Packing, patterns: list[tuple[int, ...]]) -> Packing:
@@ -253,7 +304,7 @@ def _islands(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch
         yield work(pa.Table.from_batches(held))
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_col: str = "doc_id", text_col: str = "text", island_items: int = 8192, rounds: int = 2, generations: int = 6, elite_bins: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_col: str = "doc_id", text_col: str = "text", island_items: int = 8192, rounds: int = 2, generations: int = 100, elite_bins: int = 64, merge_bins: int = 32, fan: int = 32) -> DataFrame:
     """`doc_id, piece, start, length, ids_crc32, sequence_id, offset` of every piece."""
     ship(docs.sparkSession)
     cut = checkpointed(pieces(docs, tokenizer, limit, id_col=id_col, text_col=text_col))
@@ -264,9 +315,9 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_col: str = "d
         F.pmod(F.xxhash64("row", "piece"), F.lit(islands)).cast("int").alias("island"), "row", "doc_id", "piece", "start", "length", "ids_crc32"
     )
     fields = f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    state = small.withColumn("bin", F.lit(-1)).withColumn("elites", F.lit(None).cast("binary"))
+    state = small.withColumn("bin", F.lit(-1).cast("long")).withColumn("elites", F.lit(None).cast("binary"))
 
-    def turn(last: bool, seed: int):
+    def turn(sends: bool, seed: int, islands: int):
         def work(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             news = [x for x in t.column("elites").to_pylist() if x is not None]
@@ -281,11 +332,12 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_col: str = "d
                 start = [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)]
             patterns = [tuple(map(int, p.split())) for x in news for p in x.decode().split(",") if p]
             best = evolve(lengths, limit, seed * 1_000_003 + island, generations, elites=patterns, start=start)
-            number, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+            number, offset, poor = (np.zeros(len(lengths), dtype=np.int64) for _ in range(3))
+            least = set(sorted((k for k, n in enumerate(best.fill) if n < limit), key=best.fill.__getitem__)[:merge_bins])
             for k, items in enumerate(best.bins):
                 at = 0
                 for i in items:
-                    number[i], offset[i] = k, at
+                    number[i], offset[i], poor[i] = k, at, k in least
                     at += lengths[i]
             own = own.to_batches()[0] if own.num_rows else own
             columns = [own.column(c) for c in ("row", "doc_id", "piece", "start", "length", "ids_crc32")]
@@ -293,35 +345,40 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_col: str = "d
             names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
             elite: list = [None] * len(lengths)
             to = [island] * len(lengths)
-            if not last and len(lengths):
+            if sends and len(lengths):
                 # The best bins go to the next island of the ring, in a row of their own.
                 top = sorted(range(len(best.bins)), key=lambda k: (-best.fill[k], k))[:elite_bins]
                 sent = ",".join(" ".join(str(lengths[i]) for i in best.bins[k]) for k in top).encode()
                 columns = [pa.concat_arrays([c, pa.nulls(1, c.type)]) for c in columns]
-                number, offset = np.append(number, -1), np.append(offset, 0)
+                number, offset, poor = np.append(number, -1), np.append(offset, 0), np.append(poor, 0)
                 elite.append(sent)
                 to.append((island + 1) % islands)
             return pa.RecordBatch.from_arrays(
-                [pa.array(to, pa.int32()), *columns, pa.array(number.astype(np.int32)), pa.array(offset), pa.array(elite, pa.binary())],
-                names=["island", *names, "bin", "offset", "elites"],
+                [pa.array(to, pa.int32()), *columns, pa.array(number), pa.array(offset), pa.array(poor.astype(bool)), pa.array(elite, pa.binary())],
+                names=["island", *names, "bin", "offset", "poor", "elites"],
             )
 
         return lambda batches: _islands(batches, work)
 
+    def evolved(state: DataFrame, sends: bool, seed: int, islands: int) -> DataFrame:
+        dealt = state.select("island", "row", "doc_id", "piece", "start", "length", "ids_crc32", "bin", "elites").repartition("island").sortWithinPartitions("island")
+        return checkpointed(dealt.mapInArrow(turn(sends, seed, islands), f"island int, {fields}, bin long, offset long, poor boolean, elites binary"))
+
     for k in range(rounds):
-        state = (
-            state.drop("offset")
-            .repartition("island")
-            .sortWithinPartitions("island")
-            .mapInArrow(turn(k == rounds - 1, k + 1), f"island int, {fields}, bin int, offset long, elites binary")
-        )
-        state = checkpointed(state)
-    # Numbers: an island's bins follow one another under a number of the island,
-    # whole pieces have numbers below zero; neither needs a sort over all rows.
-    packed = state.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("island").cast("long") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"), "offset",
-    )
+        state = evolved(state, k < rounds - 1, k + 1, islands)
+    # An island's bins have numbers that tell the level and the island, whole
+    # pieces have numbers below zero; neither needs a sort over all rows.
+    packed, level = None, 0
+    while True:
+        done = state if islands == 1 else state.filter(~F.col("poor"))
+        number = F.lit(level << 58) + F.col("island").cast("long") * F.lit(1 << 32) + F.col("bin")
+        done = done.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
+        packed = done if packed is None else packed.unionByName(done)
+        if islands == 1:
+            break
+        state = state.filter("poor").withColumn("bin", F.pmod("island", F.lit(fan)) * F.lit(1 << 32) + F.col("bin")).withColumn("island", F.floor(F.col("island") / fan).cast("int"))
+        islands, level = parts_for(islands, fan), level + 1
+        state = evolved(state, False, rounds + level, islands)
     whole = cut.filter(~partial).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

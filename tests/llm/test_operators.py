@@ -256,10 +256,38 @@ def test_genetic_steps_keep_every_item():
     plain = packing.Packing(lengths, 100).best_fit(list(range(300)))
     best = packing.evolve(lengths, 100, 1, 20)
     assert sorted(i for b in best.bins for i in b) == list(range(300)) and max(best.fill) <= 100 and len(best.bins) <= len(plain.bins)
+    # Lengths that fill 60 bins; best fit alone takes 70.
+    parts = [x for _ in range(60) for a in [int(dice.integers(380, 499))] for b in [int(dice.integers(250, (1000 - a) // 2))] for x in (a, b, 1000 - a - b)]
+    fit = len(packing.Packing(parts, 1000).best_fit(list(range(180))).bins)
+    found = packing.evolve(parts, 1000, 1, 100)
+    assert fit >= 67 and len(found.bins) <= 63 and sorted(i for b in found.bins for i in b) == list(range(180)) and max(found.fill) <= 1000
+    assert len(packing.evolve(parts, 1000, 1, 0).bins) == fit
     adopted = packing._adopt(plain, [(50, 50), (99, 1), (1000,)])
     assert sorted(i for b in adopted.bins for i in b) == list(range(300)) and max(adopted.fill) <= 100
 
 
+def test_packing_beats_best_fit_and_islands_meet(spark, tokenizer):
+    """Documents whose lengths fill 60 sequences exactly; best fit needs more, and
+    islands by themselves do. Fails if crossover does nothing."""
+    dice = np.random.default_rng(5)
+    parts = [x for _ in range(60) for a in [int(dice.integers(380, 499))] for b in [int(dice.integers(250, (1000 - a) // 2))] for x in (a, b, 1000 - a - b)]
+    encode = packing._encoder(tokenizer)
+    texts = [(i, " a" * (n - 1)) for i, n in enumerate(parts)]
+    assert all(len(encode(t)) + 1 == n for (_, t), n in zip(texts[:20], parts))
+    df = spark.createDataFrame(texts, DOC)
+    used = lambda **o: packing.pack(df, tokenizer, 1000, **o).select("sequence_id").distinct().count()
+    plain = used(generations=0)
+    assert plain >= 67 and used() <= 63
+    assert used(island_items=20, fan=3, merge_bins=8) <= 66
+    found = packing.pack(df, tokenizer, 1000, island_items=20, fan=3, merge_bins=8).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(180))
+    fill = collections.Counter()
+    for r in sorted(found, key=lambda r: r["offset"]):
+        assert fill[r["sequence_id"]] == r["offset"]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 1000
+
+
 # --- 5 ------------------------------------------------------------------------
 
 
