@@ -331,7 +331,8 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, *, id_col: str = "d
                 order = np.argsort(bins, kind="stable")
                 start = [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)]
             patterns = [tuple(map(int, p.split())) for x in news for p in x.decode().split(",") if p]
-            best = evolve(lengths, limit, seed * 1_000_003 + island, generations, elites=patterns, start=start)
+            steps = generations * min(20, max(1, island_items // max(1, len(lengths))))  # as much work for small islands
+            best = evolve(lengths, limit, seed * 1_000_003 + island, steps, elites=patterns, start=start)
             number, offset, poor = (np.zeros(len(lengths), dtype=np.int64) for _ in range(3))
             least = set(sorted((k for k, n in enumerate(best.fill) if n < limit), key=best.fill.__getitem__)[:merge_bins])
             for k, items in enumerate(best.bins):
