@@ -5,12 +5,14 @@ similarity of their sets is `similarity` or more. Documents with the same set
 are one class, whatever their number.
 
 1. Each class has a MinHash sketch, whose places stand for tokens of its set.
-   In each of `runs` runs the classes are split recursively: a node of the tree
+   In each of some runs the classes are split recursively: a node of the tree
    chooses places by its own dice, 1 / similarity of them on average, and a class
    goes to the child that its value at the place names. So a pair of similar
    classes stays together with a chance that repeated runs raise to the recall
-   wanted: with ten runs, and so about 12 first splits, a pair at 0.8 is missed by
-   all of them once in 10**8.
+   wanted: the children that a pair of this similarity shares are a branching
+   process, so the chance that a run of so many splits misses it is known
+   (0.16 after one split, 0.36 after three), and runs are repeated until all of
+   them miss it with a chance of `1 - recall` at most.
 2. Nodes of at most `bucket` classes are compared by brute force on short
    sketches, with a margin far below the similarity. Larger nodes split again,
    but for those that are dense: that hold a share of `dense` of the node above
@@ -31,6 +33,7 @@ another; an empty table gives no rows. Extra columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,10 +166,21 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def candidate_links(classes: DataFrame, similarity: float, *, runs: int, bucket: int, depth: int, margin: float, dense: float) -> DataFrame:
-    """Links a, b between classes that span every pair that may be similar."""
+def missed(similarity: float, splits: int) -> float:
+    """The chance that a pair of this similarity shares no node after so many
+    splits of one run: extinction of a branching process."""
+    second, q = min(1.0, 1 / similarity - 1), 0.0
+    for _ in range(splits):
+        apart = 1 - similarity + similarity * q
+        q = (1 - second) * apart + second * apart * apart
+    return q
+
+
+def candidate_links(classes: DataFrame, similarity: float, *, first: int, runs: int, bucket: int, depth: int, margin: float, dense: float) -> tuple[DataFrame, int]:
+    """Links a, b between classes that span every pair that may be similar and
+    that a run from number `first` on has in one node; and how often was split."""
     least = int(np.floor(PLACES * (similarity - margin)))
-    roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r, F.lit("run")))).alias("path")
+    roots = F.explode(F.transform(F.sequence(F.lit(first), F.lit(first + runs - 1)), lambda r: F.xxhash64(r, F.lit("run")))).alias("path")
     nodes = _split(classes.select(roots, "c", "sketch", F.lit(None).cast("long").alias("n")), similarity)
     links = None
     for level in range(1, depth + 1):
@@ -182,7 +196,7 @@ def candidate_links(classes: DataFrame, similarity: float, *, runs: int, bucket:
         if many.isEmpty():
             break
         nodes = _split(many.join(classes.select("c", "sketch"), "c"), similarity)
-    return links
+    return links, level
 
 
 def _intersections(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -270,7 +284,7 @@ def _exact(width: int, similarity: float):
     return work
 
 
-def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: str = "doc_id", text_col: str = "text", runs: int = 10, bucket: int = 1000, depth: int = 16, margin: float = 0.3, dense: float = 0.7, block: int = 128) -> DataFrame:
+def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.999, runs: int = 10, bucket: int = 1000, depth: int = 16, margin: float = 0.3, dense: float = 0.7, block: int = 128) -> DataFrame:
     """A row for each document: `doc_id`; `text_key`, a hash of its text;
     `group_key`, a name that all that links connect share and no others do, null
     without words; `class_id`, the least id of these, which other groups may have
@@ -285,7 +299,12 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
         rows.filter(F.col("c").isNotNull()).groupBy("c")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief"))
     )
-    links = candidate_links(classes, similarity, runs=runs, bucket=bucket, depth=depth, margin=margin, dense=dense)
+    # `runs` at once; then as many as the splits that were needed make necessary.
+    links, splits = candidate_links(classes, similarity, first=1, runs=runs, bucket=bucket, depth=depth, margin=margin, dense=dense)
+    while (miss := missed(similarity, splits)) ** runs > 1 - recall:
+        more = max(1, math.ceil(math.log(max(1 - recall, 1e-12)) / math.log(miss)) - runs)
+        again, deeper = candidate_links(classes, similarity, first=runs + 1, runs=more, bucket=bucket, depth=depth, margin=margin, dense=dense)
+        links, splits, runs = links.unionByName(again), max(splits, deeper), runs + more
     groups = components(links).withColumnRenamed("node", "c")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = groups.join(sizes, "component").join(classes.select("c", "rep", "copies"), "c")

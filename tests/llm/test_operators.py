@@ -95,6 +95,23 @@ def brute_links(rows):
     return sorted(((i, least[root(s)], counts[s], sum(counts[o] for o in links[s]) + counts[s] - 1, len(links[s])) if s else (i, i, 1, 0, 0) for i, s in sets), key=repr)
 
 
+def test_jaccard_runs_reach_the_recall(spark):
+    """Pairs at 0.8 and a little above, in small nodes after several splits and
+    with one run to begin with: repeated runs find all that the recall promises."""
+    assert jaccard.missed(0.8, 1) == pytest.approx(0.16) and jaccard.missed(0.8, 3) == pytest.approx(0.3576, abs=1e-3)
+    dice = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        w = [f"p{i}w{k}" for k in range(100)]
+        rows.append((2 * i, " ".join(w)))
+        w[20], w[60] = "x", "y"  # 86 of 106 shingles stay common
+        rows.append((2 * i + 1, " ".join(w)))
+    dice.shuffle(rows)
+    df = spark.createDataFrame([(int(i), str(t)) for i, t in rows], DOC).repartition(4)
+    found = jaccard.join(df, bucket=20, runs=1, recall=0.9999).filter("n_links = 1 and class_id = 2 * floor(doc_id / 2)").count()
+    assert found == 800
+
+
 @pytest.mark.parametrize("options", [{}, {"bucket": 2, "depth": 2, "block": 2}])
 def test_jaccard_join(docs, rows, options):
     found = jaccard.join(docs, **options).select("doc_id", "class_id", "n_copies", "n_links", "n_linked_sets")
