@@ -49,14 +49,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def released(df: DataFrame) -> None:
-    """Delete the files of a checkpoint that nothing will read again. A frame
-    that is no checkpoint is left alone."""
+    """Delete the files of a checkpoint that nothing will read again (a frame that
+    is no checkpoint is left alone), and have the driver forget what led to it:
+    Spark removes the shuffle files of plans that its driver no longer holds."""
     plan = df._jdf.queryExecution().logical()
     if plan.getClass().getSimpleName() == "LogicalRDD":
         file = plan.rdd().getCheckpointFile()
         if file.isDefined():
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    df.sparkSession._jvm.System.gc()
 
 
 def redealt(df: DataFrame, *columns: str) -> DataFrame:

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from origo.llm.common import checkpointed, redealt, released
+from origo.llm.common import checkpointed, parts_for, redealt, released
+
+_PART = 1 << 16
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -36,11 +38,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """`node, component` of every node with a link; a component's name is its
     least node. `links`: columns a, b."""
     links = checkpointed(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
-    before = None
+    before, parts = None, parts_for(links.count(), _PART)
     for _ in range(most_rounds):
-        links, old = checkpointed(_small_star(_large_star(links).distinct()).distinct()), links
+        # As many partitions as the links need: rounds read them several times.
+        links, old = checkpointed(_small_star(_large_star(links).distinct()).distinct().coalesce(parts)), links
         released(old)
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        parts = parts_for(now[0], _PART)
         if now == before:
             break
         before = now

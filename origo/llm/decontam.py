@@ -205,9 +205,11 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     words, `text_key` a hash of the document's text."""
     radius = radius_for(similarity) if radius is None else radius
     items = checkpointed(_items(benchmark, item_col, item_text_col, width))
-    counted = checkpointed(_counted(items))
-    anchors = checkpointed(_anchors(counted, similarity))
-    n_items, n_grams = items.count(), counted.count()
+    n_items = items.count()
+    few = parts_for(n_items, 256)  # items in a partition, as these tables are read several times
+    counted = checkpointed(_counted(items).coalesce(few))
+    anchors = checkpointed(_anchors(counted, similarity).coalesce(few))
+    n_grams = counted.count()
     # A small benchmark goes to where the texts are: at most 2,048 items (296
     # entries of the index each at radius 23) and 2**17 shingles.
     small = F.broadcast if n_items <= 2048 and n_grams <= 1 << 17 else lambda df: df
