@@ -54,7 +54,7 @@ def rolling_origin_backtest(panel: DataFrame, windows: list[Window], feature_col
         scored = predict(fit(_at(panel, mature), feature_cols, seed=seed, **model), _at(panel, [test]), feature_cols)
         predictions = scored if predictions is None else predictions.unionByName(scored)
     predictions = _empty(panel) if predictions is None else predictions
-    return metrics.score(predictions, "churned", "p", ["as_of"]), predictions
+    return metrics.score(predictions, "churned", "p", ["as_of"], checked=True), predictions
 
 
 def fit_at_origin(panel: DataFrame, windows: list[Window], target: int, feature_cols: list[str], *, seed: int = SEED, **model) -> tuple[Model, list[Window]]:
@@ -76,7 +76,7 @@ def frozen_model_backtest(panel: DataFrame, windows: list[Window], feature_cols:
     fitted, _ = fit_at_origin(panel, ordered, first, feature_cols, seed=seed, **model)
     predictions = predict(fitted, _at(panel, ordered[first:]), feature_cols)
     ages = F.broadcast(origins_frame(panel.sparkSession, ordered).select("as_of", (F.col("idx") - first).alias("origins_since_training")))  # a row for each origin
-    return metrics.score(predictions, "churned", "p", ["as_of"]).join(ages, "as_of"), predictions
+    return metrics.score(predictions, "churned", "p", ["as_of"], checked=True).join(ages, "as_of"), predictions
 
 
 def hazard_curve(model: Model, rows: DataFrame, feature_cols: list[str], periods: int) -> DataFrame:
@@ -90,18 +90,34 @@ def predict_survival(model: Model, rows: DataFrame, feature_cols: list[str], per
     return hazard.survival(hazard_curve(model, rows, feature_cols, periods), key=key)
 
 
+def holdout_after(panel: DataFrame, windows: list[Window], *, purge: bool = True) -> tuple[DataFrame, DataFrame]:
+    """`(train, test)`: the last origin, and the earlier ones whose labels are final
+    there; without the purge all earlier ones, whose labels look forward past it."""
+    ordered = sorted(windows, key=lambda w: w.as_of)
+    return _at(panel, mature_origins(ordered, ordered[-1], purge=purge)), _at(panel, ordered[-1:])
+
+
+def fit_hazard_at_origin(panel: DataFrame, tx: DataFrame, windows: list[Window], target: int, feature_cols: list[str], *, time_col: str, key: str = "customer_id", period_days: int = hazard.PERIOD_DAYS, seed: int = SEED, **model) -> tuple[Model, list[Window]]:
+    """The hazard model that the backtest fits for one origin, and its mature
+    origins."""
+    ordered = sorted(windows, key=lambda w: w.as_of)
+    mature = mature_origins(ordered, ordered[target])
+    if not mature:
+        raise ValueError("no origin is mature")
+    rows = hazard.person_periods(tx, mature, _at(panel, mature), feature_cols, time_col=time_col, key=key, period_days=period_days)
+    return fit(rows, [*feature_cols, "period"], "event", seed=seed, **model), mature
+
+
 def hazard_rolling_origin_backtest(panel: DataFrame, tx: DataFrame, windows: list[Window], feature_cols: list[str], *, time_col: str, key: str = "customer_id", period_days: int = hazard.PERIOD_DAYS, min_training_origins: int = 1, seed: int = SEED, **model) -> tuple[DataFrame, DataFrame]:
     """As `rolling_origin_backtest`, by hazards of person-periods; survival is
     scored against `churned`."""
     ordered, predictions, periods = sorted(windows, key=lambda w: w.as_of), None, hazard.n_periods(windows, period_days)
     for i, test in enumerate(ordered):
-        mature = mature_origins(ordered, test)
-        if i < min_training_origins or not mature:
+        if i < min_training_origins or not mature_origins(ordered, test):
             continue
-        rows = hazard.person_periods(tx, mature, _at(panel, mature), feature_cols, time_col=time_col, key=key, period_days=period_days)
-        fitted = fit(rows, [*feature_cols, "period"], "event", seed=seed, **model)
+        fitted, _ = fit_hazard_at_origin(panel, tx, ordered, i, feature_cols, time_col=time_col, key=key, period_days=period_days, seed=seed, **model)
         target = _at(panel, [test])
         scored = target.join(predict_survival(fitted, target, feature_cols, periods, key=key), ["as_of", key]).withColumnRenamed("survival", "p")
         predictions = scored if predictions is None else predictions.unionByName(scored)
     predictions = _empty(panel) if predictions is None else predictions
-    return metrics.score(predictions, "churned", "p", ["as_of"]), predictions
+    return metrics.score(predictions, "churned", "p", ["as_of"], checked=True), predictions

@@ -50,6 +50,18 @@ def bin_sensitivity(df: DataFrame, bins: tuple[int, ...] = (5, 10, 15, 20, 30),
     return out
 
 
+def winner_by_bins(df: DataFrame, variant: str, bins: tuple[int, ...] = (5, 10, 15, 20, 30), y_col: str = "y", p_col: str = "p") -> DataFrame:
+    """`n_bins, winner, reliability`: for each number of bins the variant with the
+    least reliability term, of equal ones the first by name."""
+    out = None
+    for n in bins:
+        cells = reliability_table(df, y_col, p_col, n, [variant])
+        part = cells.groupBy(variant).agg((F.sum(F.col("n") * F.pow(F.col("mean_predicted") - F.col("observed_rate"), 2)) / F.sum("n")).alias("reliability")).withColumn("n_bins", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    best = out.groupBy("n_bins").agg(F.min(F.struct("reliability", variant)).alias("_best"))
+    return best.select("n_bins", F.col("_best")[variant].alias("winner"), F.col("_best.reliability").alias("reliability"))
+
+
 class Platt:
     """A logistic map of scores with the usual ridge of strength 1 on its slope."""
 

@@ -107,3 +107,14 @@ def ablation_stability(df: DataFrame, feature_cols: list[str], id_cols: list[str
         rows += leakage.ablation_auc(split.filter("not is_test"), split.filter("is_test"), feature_cols, y_col, seed=seed).items()
     table = df.sparkSession.createDataFrame(rows, "variant string, auc double")
     return table.groupBy("variant").agg(F.avg("auc").alias("mean"), F.stddev_samp("auc").alias("std"), F.min("auc").alias("low"), F.max("auc").alias("high"))
+
+
+def pivoted(df: DataFrame, index: str, column: str, values: list, *, prefix: str) -> DataFrame:
+    """Counts of `column` by `index`, a column for each of the values, and `total`."""
+    counts = df.groupBy(index).agg(*[F.count_if(F.col(column) == v).alias(f"{prefix}{v}") for v in values], F.count(F.lit(1)).alias("total"))
+    return counts
+
+
+def origins_seen(panel: DataFrame, *, key: str = "customer_id") -> DataFrame:
+    """`customer_id, origins`: the set of origins that a customer is in, in order."""
+    return panel.groupBy(key).agg(F.array_sort(F.collect_set("as_of")).alias("origins"))

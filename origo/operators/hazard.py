@@ -43,6 +43,12 @@ def person_periods(tx: DataFrame, windows: list[Window], panel: DataFrame, featu
     return rows.select(key, "as_of", "period", F.coalesce((F.col("period") == F.col("_event")).cast("int"), F.lit(0)).alias("event"), *feature_cols)
 
 
+def renewals(tx: DataFrame) -> DataFrame:
+    """The rows that count as events for hazards: a cancellation is none. Labels
+    leave it out as well, so an event occurs just where a label is 0."""
+    return tx.filter("is_cancel = 0")
+
+
 def survival(hazards: DataFrame, *, key: str = "customer_id", hazard_col: str = "hazard") -> DataFrame:
     """`as_of, customer_id, survival`: the product of 1 - hazard."""
     by = [c for c in ("as_of", key) if c in hazards.columns]

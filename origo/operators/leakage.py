@@ -9,6 +9,9 @@ from pyspark.sql.window import Window as W
 from origo.operators import metrics
 
 
+RANGES = 128
+
+
 def long_features(df: DataFrame, feature_cols: list[str], keep: list[str]) -> DataFrame:
     """`keep`, `feature`, `value`: a row for each feature of each row."""
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in feature_cols]).unpivot(keep, feature_cols, "feature", "value")
@@ -18,8 +21,14 @@ def single_feature_auc(df: DataFrame, feature_cols: list[str], y_col: str = "chu
     """`feature, auc`: how well each feature alone ranks, in either direction."""
     rows = long_features(df, feature_cols, [y_col]).filter(F.col("value").isNotNull())
     counts = rows.groupBy("feature", "value").agg(F.sum(F.col(y_col).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    above = W.partitionBy("feature").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("tp_above", F.coalesce(F.sum("tp").over(above), F.lit(0)))
+    # Two levels: sums of ranges of values, then running sums within each range,
+    # so no task orders all values of a feature.
+    cuts = rows.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), "feature").withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")  # a row for each feature
+    above = W.partitionBy("feature").orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
+    sums = counts.groupBy("feature", "r").agg(F.sum("tp").alias("tp")).select("feature", "r", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("base"))
+    inside = W.partitionBy("feature", "r").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.join(sums, ["feature", "r"]).withColumn("tp_above", F.col("base") + F.coalesce(F.sum("tp").over(inside), F.lit(0)))
     fp = F.col("n") - F.col("tp")
     sums = counts.groupBy("feature").agg(F.sum(fp * (F.col("tp_above") + F.col("tp") / 2)).alias("pairs"), F.sum("tp").alias("pos"), F.sum(fp).alias("neg"))
     auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("pairs") / (F.col("pos") * F.col("neg")))
@@ -41,6 +50,13 @@ def feature_delta(naive: DataFrame, asof: DataFrame, feature_cols: list[str], ke
     return delta.groupBy("feature").agg(F.avg((F.col("d") != 0).cast("int")).alias("pct_differing"), F.median("d").alias("median_delta"), F.avg("d").alias("mean_delta"))
 
 
+def correlation(df: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """`a, b, correlation` of each pair of features (Pearson)."""
+    pairs = [(a, b) for i, a in enumerate(feature_cols) for b in feature_cols[i + 1 :]]
+    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
 def customer_overlap(train: DataFrame, test: DataFrame, key: str = "customer_id") -> DataFrame:
     """One row: `n_train, n_test, n_both, share_seen` of distinct customers."""
     a = train.select(key).distinct().withColumn("_a", F.lit(1))

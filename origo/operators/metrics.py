@@ -43,13 +43,30 @@ def curve(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | Non
     )
 
 
-def score(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | None = None) -> DataFrame:
+def points(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | None = None) -> DataFrame:
+    """`threshold, fpr, tpr, precision` at each distinct score: the points of the
+    ROC and the precision-recall curve; a rate of no rows is null."""
+    by = by or []
+    upto = curve(df, y_col, p_col, by).select(*by, F.col("score").alias("threshold"), "n", "tp", (F.col("n_above") + F.col("n")).alias("_n"), (F.col("tp_above") + F.col("tp")).alias("_tp"))
+    totals = upto.groupBy(*by).agg(F.sum("n").alias("_all"), F.sum("tp").alias("_pos"))
+    both = upto.join(F.broadcast(totals), by) if by else upto.join(F.broadcast(totals))  # a row for each group
+    rate = lambda a, b: F.try_divide(a.cast("double"), b)
+    return both.select(
+        *by, "threshold", rate(F.col("_n") - F.col("_tp"), F.col("_all") - F.col("_pos")).alias("fpr"), rate(F.col("_tp"), F.col("_pos")).alias("tpr"),
+        rate(F.col("_tp"), F.col("_n")).alias("precision"),
+    )
+
+
+def score(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | None = None, *, checked: bool = False) -> DataFrame:
     """`n, prevalence, roc_auc, pr_auc, brier` of each group, or of all rows.
 
     ROC AUC counts ties as half; PR AUC is average precision. Both are null if
-    only one class occurs.
+    only one class occurs. Scores outside of [0, 1] raise a ValueError, which is
+    a pass of its own; `checked` leaves it out for scores that a model gives.
     """
     by = by or []
+    if not checked:
+        check_probabilities(df, p_col)
     points = curve(df, y_col, p_col, by)
     fp, fp_above = F.col("n") - F.col("tp"), F.col("n_above") - F.col("tp_above")
     # A pair counts if the positive's score is higher, and half if equal.
@@ -96,6 +113,22 @@ def expected_value(df: DataFrame, threshold: float, **options) -> float:
     return row["expected_value"] if row else 0.0
 
 
+def peeked_optimum(df: DataFrame, thresholds: list[float], *, by: list[str] | None = None, **options) -> DataFrame:
+    """The row of the sweep with the highest value in each group, of equal ones the
+    lowest threshold: what choosing on the labels themselves would give, to compare
+    the break-even threshold with."""
+    by = by or []
+    sweep = sweep_expected_value(df, thresholds, by=by, **options)
+    best = sweep.groupBy(*by).agg(F.max(F.struct("expected_value", (-F.col("threshold")).alias("_t"), "threshold", "n_targeted")).alias("_best"))
+    return best.select(*by, "_best.threshold", "_best.n_targeted", "_best.expected_value")
+
+
+def mean_against_prevalence(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | None = None) -> DataFrame:
+    """`mean_predicted, prevalence, difference`: whether scores are right on average."""
+    means = df.groupBy(*(by or [])).agg(F.avg(p_col).alias("mean_predicted"), F.avg(y_col).alias("prevalence"))
+    return means.withColumn("difference", F.col("mean_predicted") - F.col("prevalence"))
+
+
 def break_even_threshold(offer_cost: float, saved_margin: float, save_rate: float) -> float:
     """Where an offer pays for itself on average; never chosen on labels."""
     return offer_cost / (save_rate * saved_margin)

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED = 20260825
+SEED = 2718
 
 
 @dataclass(frozen=True)

@@ -450,6 +450,53 @@ def confusion_matrix(spark, d):
     return metrics.confusion(_scored(spark, d))
 
 
+@query(SCORED + """, k AS (SELECT p, sum(y) AS tp, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT p, sum(tp) OVER w AS tp, sum(n) OVER w AS n, sum(tp) OVER () AS pos, sum(n) OVER () AS total FROM k WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
+SELECT CAST(p AS DOUBLE) AS threshold, round(CAST((n - tp) / (total - pos) AS DOUBLE), 9) AS fpr, round(CAST(tp / pos AS DOUBLE), 9) AS tpr, round(CAST(tp / n AS DOUBLE), 9) AS precision FROM c""")
+def roc_points(spark, d):
+    return _rounded(metrics.points(_scored(spark, d)), "fpr", "tpr", "precision")
+
+
+@query(SCORED + """, th AS (SELECT i / 20.0 AS threshold FROM range(1, 20) t(i)), e AS (SELECT threshold, count(*) FILTER (p >= threshold) AS n_targeted,
+  CAST(4.0 * coalesce(sum(y) FILTER (p >= threshold), 0) - 2.5 * count(*) FILTER (p >= threshold) AS DOUBLE) AS expected_value FROM th, s GROUP BY 1)
+SELECT CAST(threshold AS DOUBLE) AS threshold, n_targeted, expected_value FROM e ORDER BY expected_value DESC, threshold LIMIT 1""")
+def peeked_optimum(spark, d):
+    return metrics.peeked_optimum(_scored(spark, d), THRESHOLDS, **OFFER)
+
+
+@query(SCORED + f""" SELECT {t.DAY.replace("panel.as_of", "s.as_of")}, round(avg(p), 9) AS mean_predicted, round(avg(y), 9) AS prevalence, round(avg(p) - avg(y), 9) AS difference FROM s GROUP BY as_of""")
+def mean_against_prevalence(spark, d):
+    found = _rounded(metrics.mean_against_prevalence(_scored(spark, d), by=["as_of"]), "mean_predicted", "prevalence", "difference")
+    return found.select(t.day(), "mean_predicted", "prevalence", "difference")
+
+
+@query(PANEL_SQL + """ SELECT 'recency_days' AS a, 'frequency' AS b, round(corr(recency_days, frequency), 9) AS correlation FROM panel
+UNION ALL SELECT 'recency_days', 'monetary', round(corr(recency_days, monetary), 9) FROM panel UNION ALL SELECT 'frequency', 'monetary', round(corr(frequency, monetary), 9) FROM panel""")
+def feature_correlation(spark, d):
+    return _rounded(leakage.correlation(_panel(spark, d), RFM), "correlation")
+
+
+@query(PANEL_SQL + f""" SELECT {t.DAY.replace("panel.as_of", "as_of")}, count(*) FILTER (churned = 0) AS churned_0, count(*) FILTER (churned = 1) AS churned_1, count(*) AS total FROM panel GROUP BY as_of""")
+def labels_pivoted(spark, d):
+    return compare.pivoted(_panel(spark, d), "as_of", "churned", [0, 1], prefix="churned_").select(t.day(), "churned_0", "churned_1", "total")
+
+
+@query(PANEL_SQL + """ SELECT customer_id, count(DISTINCT as_of) AS n_origins, array_to_string(list_sort(list(DISTINCT strftime(as_of, '%Y-%m-%d'))), ',') AS origins FROM panel GROUP BY 1""")
+def origins_seen(spark, d):
+    found = compare.origins_seen(_panel(spark, d))
+    days = F.array_join(F.transform("origins", lambda x: F.date_format(x, "yyyy-MM-dd")), ",")
+    return found.select("customer_id", F.size("origins").cast("long").alias("n_origins"), days.alias("origins"))
+
+
+@query(SUB_SQL + " SELECT churned, 1 - churned AS has_event, count(*) AS n FROM panel GROUP BY 1")
+def renewals_and_labels(spark, d):
+    """Events of hazards against labels: one occurs just where the label is 0."""
+    tx = t.subscription(spark, d)
+    events = hazard.first_event_period(hazard.renewals(tx), t.windows(*SUBW), time_col="transaction_date", period_days=10)
+    both = _sub_panel(spark, d).join(events.select("as_of", "customer_id", F.lit(1).alias("e")), ["as_of", "customer_id"], "left")
+    return both.groupBy("churned", F.coalesce("e", F.lit(0)).alias("has_event")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- with a model in the loop: no SQL -----------------------------------------
 
 SMALL = (datetime(1999, 1, 1), 5, 90, 7, 30)
@@ -529,7 +576,6 @@ def serving_skew(spark, d):
 
 
 
-
 # --- samples and comparisons --------------------------------------------------
 
 
@@ -556,10 +602,10 @@ def rank_differences(spark, d):
     return compare.rank_differences(rows, "p", "q", "customer_id", 200)
 
 
-@query(PANEL_SQL + " SELECT count(*) AS n, round(avg(CAST(churned = customer_id % 2 AS INTEGER)), 9) AS agreement FROM panel WHERE as_of = '1996-01-01' AND customer_id % 3 <> 0")
+@query(PANEL_SQL + " SELECT count(*) AS n, round(avg(CAST(churned = customer_id % 2 AS INTEGER)), 9) AS agreement FROM panel JOIN customer ON c_custkey = customer_id WHERE as_of = '1996-01-01' AND c_mktsegment <> 'BUILDING'")
 def official_label_agreement(spark, d):
     panel = _panel(spark, d).filter(F.col("as_of") == F.lit(ACT[0]))
-    official = t.read(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("customer_id"), (F.col("c_custkey") % 2).alias("is_churn"))
+    official = t.read(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("customer_id"), (F.col("c_custkey") % 2).alias("is_churn"))
     return _rounded(compare.label_agreement(panel, official), "agreement")
 
 

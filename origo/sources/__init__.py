@@ -78,6 +78,35 @@ def headline_numbers(naive: dict, honest: dict) -> dict:
     return {"auc_gap": naive["roc_auc"] - honest["roc_auc"], "brier_worse": honest["brier"] / naive["brier"] - 1}
 
 
+RESULTS = ("naive", "no_gap", "honest", "calibration")
+
+
+def load_headline(folder: str) -> dict:
+    """The headline of the four result files of a folder, `<name>.json` each. A
+    missing file raises FileNotFoundError with its name, a missing number KeyError."""
+    lost = [n for n in RESULTS if not (Path(folder) / f"{n}.json").exists()]
+    if lost:
+        raise FileNotFoundError(f"no results of {', '.join(lost)} in {folder}")
+    found = {n: read_result(str(Path(folder) / f"{n}.json")) for n in RESULTS}
+    arms = {n: {k: found[n][k] for k in ("roc_auc", "pr_auc", "brier")} for n in RESULTS[:3]}
+    gaps = {f"{n}_{k}": v for n in RESULTS[:2] for k, v in headline_numbers(found[n], found["honest"]).items()}
+    return {"arms": arms, **gaps, "calibration": found["calibration"]}
+
+
+def sql_view(df: DataFrame, name: str, sql: str) -> DataFrame:
+    """What a query says of `df`, which it reads under a name."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.sql(sql)
+
+
+def sql_scalar(df: DataFrame, name: str, sql: str):
+    """The one value of a query; more or fewer rows or columns raise."""
+    rows = sql_view(df, name, sql).limit(2).collect()
+    if len(rows) != 1 or len(rows[0]) != 1:
+        raise ValueError("the query must give one value")
+    return rows[0][0]
+
+
 def members_quality(members: DataFrame) -> DataFrame:
     """One row: shares of ages outside of 1 to 100 and of missing genders."""
     odd = ~F.coalesce(F.col("bd").between(1, 100), F.lit(False))
