@@ -297,7 +297,8 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
     rows = checkpointed(texts.mapInArrow(_sketched(width), "doc_id long, text_key long, c long, sketch binary, brief binary"))
     classes = checkpointed(
         rows.filter(F.col("c").isNotNull()).groupBy("c")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief"))
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief"))
+        .select("c", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "copies", "sketch", "brief")
     )
     # `runs` at once; then as many as the splits that were needed make necessary.
     links, splits = candidate_links(classes, similarity, first=1, runs=runs, bucket=bucket, depth=depth, margin=margin, dense=dense)
@@ -307,7 +308,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
         links, splits, runs = links.unionByName(again), max(splits, deeper), runs + more
     groups = components(links).withColumnRenamed("node", "c")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(sizes, "component").join(classes.select("c", "rep", "copies"), "c")
+    members = groups.join(sizes, "component").join(classes.select("c", "rep", "text_key", "copies"), "c")
     # Groups of more than a block: a class meets every block, pairs of blocks
     # are parts of their own. side: 0 in one block, else 1 or 2.
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -318,10 +319,10 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
         .select(
             F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"),
             F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-            "c", "rep", "copies", (F.col("blocks") > 1).alias("split"),
+            "c", "rep", "text_key", "copies", (F.col("blocks") > 1).alias("split"),
         )
     )
-    together = parts.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("part", "side", "c", "copies", "text")
+    together = parts.join(texts.select(F.col("doc_id").alias("rep"), "text_key", "text"), ["rep", "text_key"]).select("part", "side", "c", "copies", "text")
     tasks = max(parts.sparkSession.sparkContext.defaultParallelism, parts_for(parts.count(), 256))  # a count, so that small groups don't share few tasks
     found = checkpointed(
         together.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_exact(width, similarity), "c long, links long, linked long, root long")
