@@ -673,6 +673,7 @@ def test_nearest_of_repeated_ids(spark):
     dice = np.random.default_rng(8)
     x = dice.normal(size=(61, 8))
     x[7] = x[0] + 1e-3
+    x[50] = x[30]  # the least vector of id 50, so the one that asks
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(7, x[7].tolist()), (7, (x[0] - 2e-3).tolist()), (0, x[20].tolist()), (0, x[0].tolist())]  # equal and different vectors of an id
     rows += [(50, x[30].tolist())] * 9 + [(51, x[30].tolist()), (52, x[30].tolist())] * 2  # an id that asks fills the front of its group
