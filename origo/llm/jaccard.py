@@ -308,7 +308,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
         links, splits, runs = links.unionByName(again), max(splits, deeper), runs + more
     groups = components(links).withColumnRenamed("node", "c")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(sizes, "component").join(classes.select("c", "rep", "text_key", "copies"), "c")
+    members = groups.join(redealt(sizes, "component"), "component").join(classes.select("c", "rep", "text_key", "copies"), "c")
     # Groups of more than a block: a class meets every block, pairs of blocks
     # are parts of their own. side: 0 in one block, else 1 or 2.
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -334,7 +334,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
     connected = whole.unionByName(components(spanning).withColumnRenamed("node", "c"))
     named = classes.select("c", "rep", "copies").join(counted, "c", "left").join(connected, "c", "left").withColumn("component", F.coalesce("component", "c"))
     heads = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(heads, "component").select("c", "rep", "copies", "links", "linked", "component", "class_id")
+    named = named.join(redealt(heads, "component"), "component").select("c", "rep", "copies", "links", "linked", "component", "class_id")
 
     def known(least: Column) -> Column:
         return F.when(least != LAST_ID, least)
