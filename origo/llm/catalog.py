@@ -86,6 +86,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), 5)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.periods import find
+
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000L * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -98,6 +112,7 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
@@ -132,6 +147,24 @@ n AS (SELECT doc_id, count(*) AS n_lines FROM f GROUP BY 1), m AS (SELECT doc_id
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NULL THEN NULL WHEN n_removed > 0 THEN coalesce(kept, '') ELSE text END AS text
 FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
+# A run of period q and length L >= q + 5 has a row for each of its words i but the last q + 4: the five words from i
+# occur again at i + q. Consecutive such rows of one q are a maximal stretch with period q; its least q is its period.
+CRC_SQL = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: list_reduce(list_prepend(xor(h, c), range(8)), lambda b, k: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+PERIODS_SQL = f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  xor({CRC_SQL.format("doc_id::VARCHAR")}, 4294967295) AS h FROM documents),
+b AS (SELECT *, len(ws) AS n, h // 10 AS g FROM t), c AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM b),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END + 1]) ELSE ws END AS ws FROM c),
+f AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 5], ' ')) AS x FROM (SELECT doc_id, ws, unnest(range(0, n - 4)) AS i FROM d)),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.x = y.x AND x.i < y.i),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM p),
+m AS (SELECT doc_id, q, min(i) AS start, max(i) + 5 + q - min(i) AS length FROM s GROUP BY doc_id, q, k),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM m WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+o AS (SELECT doc_id, count(*) AS n_runs, max(ROW(length, -start, -period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(0, n)) AS i FROM d) w LEFT JOIN g USING (doc_id, i) WHERE g.i IS NULL GROUP BY 1),
+z AS (SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best[2] AS start, best[1] AS length, -best[3] AS period, lines, kept FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM z"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": SUBSTRING_SQL, "op6_chat_formatting": CHAT_SQL, "op8_line_dedup": LINES_SQL}
+    return {"op11_periodic_runs": PERIODS_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op6_chat_formatting": CHAT_SQL, "op8_line_dedup": LINES_SQL}

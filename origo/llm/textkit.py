@@ -160,3 +160,40 @@ def binaries(parts: np.ndarray, bounds: np.ndarray) -> pa.Array:
     offsets = (np.asarray(bounds, dtype=np.int64) * parts.dtype.itemsize).astype(np.int64)
     whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
     return whole.cast(pa.binary())
+
+
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of data[start:end] for each pair, one after another, and their bounds."""
+    bounds = np.concatenate(([0], np.cumsum(end - start)))
+    return data[np.repeat(start - bounds[:-1], end - start) + np.arange(bounds[-1])], bounds
+
+
+def same_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> bool:
+    """Whether every slice has the bytes of the slice that `first` names for it."""
+    size = end - start
+    if (size != size[first]).any():
+        return False
+    own, _ = gathered(data, start, end)
+    other, _ = gathered(data, start[first], end[first])
+    return bool((own == other).all())
+
+
+def grouped(data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal slices: the first slice of each, and the group of each slice.
+
+    `keys` are hashes (equal slices have equal ones). Every slice is compared with
+    the first of its key; if any differs, slices are grouped by their bytes instead.
+    """
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+    if same_slices(data, start, end, first[group]):
+        return first, group
+    raw, seen = data.tobytes(), {}
+    pairs = zip(keys.tolist(), start.tolist(), end.tolist())
+    group = np.fromiter((seen.setdefault((k, raw[a:b]), len(seen)) for k, a, b in pairs), dtype=np.int64, count=len(keys))
+    return np.unique(group, return_index=True)[1], group
+
+
+def strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A string column of UTF-8 bytes that lie one after another."""
+    raw, offsets = np.ascontiguousarray(data), np.asarray(bounds, dtype=np.int64)
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)).cast(pa.string())
