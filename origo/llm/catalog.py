@@ -100,6 +100,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -113,6 +119,7 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
@@ -165,6 +172,22 @@ k AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM (SELECT do
 z AS (SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best[2] AS start, best[1] AS length, -best[3] AS period, lines, kept FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id))
 SELECT doc_id, n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM z"""
 
+DIVERGENCE_SQL = r"""WITH t AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT id, lang, source, unnest(ws) AS term FROM t),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT lang, source FROM t), v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+x AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n FROM s JOIN k ON s.lang = k.lang LEFT JOIN c ON s.lang = c.lang AND s.source = c.source AND k.term = c.term),
+g AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM x JOIN v USING (lang)),
+y AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY 1, 2),
+l AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM y JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 4),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM g JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_periodic_runs": PERIODS_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op6_chat_formatting": CHAT_SQL, "op8_line_dedup": LINES_SQL}
+    return {"op12_source_divergence": DIVERGENCE_SQL, "op11_periodic_runs": PERIODS_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op6_chat_formatting": CHAT_SQL, "op8_line_dedup": LINES_SQL}
