@@ -106,6 +106,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from origo.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def queries() -> dict:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -120,6 +126,7 @@ def queries() -> dict:
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_source_divergence": op12_source_divergence,
+        "op13_language_id": op13_language_id,
     }
 
 
