@@ -12,20 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from origo.functions import add_days, elapsed_days
-from origo.operators.windows import Window, in_lookback, is_label_event, origins_frame
+from origo.operators.windows import Window, in_label, in_past
 
 ELIGIBILITY_DAYS = 365
 
 
-def _origins(df: DataFrame, windows: list[Window]) -> DataFrame:
-    return F.broadcast(origins_frame(df.sparkSession, windows))  # a row for each origin
-
-
 def eligible_customers(tx: DataFrame, windows: list[Window], lookback_days: int = ELIGIBILITY_DAYS, *, key: str = "customer_id", time_col: str = "invoice_date") -> DataFrame:
     """`as_of, customer_id`: customers with an event in [as_of - lookback, as_of)."""
-    rows = tx.select(key, time_col).distinct()
-    o = _origins(tx, windows)
-    return rows.join(o, in_lookback(F.col(time_col), F.col("as_of"), lookback_days)).select("as_of", key).distinct()
+    return in_past(tx.select(key, time_col).distinct(), windows, time_col, lookback_days).select("as_of", key).distinct()
 
 
 def asof_features(tx: DataFrame, windows: list[Window], *, key: str = "customer_id", time_col: str = "invoice_date", invoice_col: str = "invoice", revenue_col: str = "revenue", max_recency_days: int | None = None) -> DataFrame:
@@ -57,10 +51,21 @@ def asof_features(tx: DataFrame, windows: list[Window], *, key: str = "customer_
 asof_recency_frequency_monetary = asof_features
 
 
+def counts_before(tx: DataFrame, windows: list[Window], out: str, *, key: str = "customer_id", time_col: str = "invoice_date") -> DataFrame:
+    """`as_of, customer_id, <out>`: how many events lie strictly before as_of, for
+    customers with any."""
+    ordered = sorted(w.as_of for w in windows)
+    instants = F.array(*[F.lit(t).cast("timestamp_ntz") for t in ordered])
+    seen = tx.select(key, time_col).withColumn("at", F.size(F.filter(instants, lambda a: a <= F.col(time_col)))).filter(F.col("at") < len(ordered))
+    steps = seen.groupBy(key, "at").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy(key).orderBy("at")
+    held = steps.select(key, "at", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)).alias(out), F.lead("at", 1, len(ordered)).over(order).alias("until"))
+    return held.select(key, out, F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("_i")).select(F.get(instants, F.col("_i")).alias("as_of"), key, out)
+
+
 def purchasers(tx: DataFrame, windows: list[Window], *, key: str = "customer_id", time_col: str = "invoice_date") -> DataFrame:
     """`as_of, customer_id` of those with an event in the label window."""
-    rows = tx.select(key, time_col).distinct()
-    return rows.join(_origins(tx, windows), is_label_event(F.col(time_col), F.col("label_start"), F.col("label_end"))).select("as_of", key).distinct()
+    return in_label(tx.select(key, time_col).distinct(), windows, time_col).select("as_of", key).distinct()
 
 
 def with_churn(panel: DataFrame, tx: DataFrame, windows: list[Window], *, key: str = "customer_id", time_col: str = "invoice_date") -> DataFrame:

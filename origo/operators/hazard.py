@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from origo.functions import elapsed_days
-from origo.operators.windows import Window, is_label_event, origins_frame
+from origo.operators.windows import Window, in_label
 
 PERIOD_DAYS = 30
 
@@ -28,8 +28,7 @@ def first_event_period(tx: DataFrame, windows: list[Window], *, time_col: str, k
     n_periods(windows, period_days)
     if time_col not in tx.columns:
         raise ValueError(f"no column {time_col}")
-    origins = F.broadcast(origins_frame(tx.sparkSession, windows))  # a row for each origin
-    rows = tx.select(key, time_col).distinct().join(origins, is_label_event(F.col(time_col), F.col("label_start"), F.col("label_end")))
+    rows = in_label(tx.select(key, time_col).distinct(), windows, time_col)
     first = rows.groupBy("as_of", "label_start", key).agg(F.min(time_col).alias("_first"))
     return first.select("as_of", key, (F.floor(elapsed_days(F.col("_first"), F.col("label_start")) / period_days) + 1).cast("int").alias("period"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from origo.functions import add_days
+from origo.operators.intervals import interval_join, width_for
 
 GAP_DAYS, HORIZON_DAYS, STEP_DAYS = 7, 30, 30
 ORIGINS_SCHEMA = "idx int, as_of timestamp_ntz, gap_days int, eligibility_gap_days int, label_start timestamp_ntz, label_end timestamp_ntz"
@@ -98,6 +99,28 @@ def in_lookback(ts: Column, as_of: Column, days: int) -> Column:
     return (ts >= add_days(as_of, -days)) & (ts < as_of)
 
 
+def during(rows: DataFrame, windows: list[Window], time_col: str, start: Column, end: Column, span: list[timedelta], eligibility_gap_days: int | None = None) -> DataFrame:
+    """`rows` with the columns of every origin whose interval [start, end), columns
+    of the origin, holds their instant. Origins are few, and known to the driver."""
+    origins = origins_frame(rows.sparkSession, windows, eligibility_gap_days).withColumns({"_start": start, "_end": end})
+    return interval_join(rows, origins, time_col, "_start", "_end", width_for(span), small=origins).drop("_start", "_end")
+
+
+def in_past(rows: DataFrame, windows: list[Window], time_col: str, days: int) -> DataFrame:
+    """`rows` with every origin in whose lookback [as_of - days, as_of) they lie."""
+    return during(rows, windows, time_col, add_days(F.col("as_of"), -days), F.col("as_of"), [timedelta(days=days)])
+
+
+def in_label(rows: DataFrame, windows: list[Window], time_col: str) -> DataFrame:
+    """`rows` with every origin in whose label window they lie."""
+    return during(rows, windows, time_col, F.col("label_start"), F.col("label_end"), [w.label_end - w.label_start for w in windows])
+
+
+def in_gap(rows: DataFrame, windows: list[Window], time_col: str) -> DataFrame:
+    """`rows` with every origin in whose gap [as_of, label_start) they lie."""
+    return during(rows, windows, time_col, F.col("as_of"), F.col("label_start"), [w.label_start - w.as_of for w in windows])
+
+
 def validate_reference_date(features: DataFrame, anchor_col: str, as_of_col: str = "as_of") -> None:
     """Raise if a feature was anchored after its as-of instant."""
     late = features.filter(F.col(anchor_col) > F.col(as_of_col)).count()

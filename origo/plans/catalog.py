@@ -305,9 +305,7 @@ pn AS (SELECT as_of, customer_id, count(*) AS n_before FROM o JOIN ev ON event_d
 
 def _hazard_panel(spark, d):
     ev, w = t.purchases(spark, d), t.windows(*HAZ)
-    origins = F.broadcast(origins_frame(spark, w))  # a row for each origin
-    seen = ev.join(origins, F.col("event_date") < F.col("as_of")).groupBy("as_of", "customer_id").agg(F.count(F.lit(1)).alias("n_before"))
-    return ev, w, seen
+    return ev, w, activity.counts_before(ev, w, "n_before", time_col="event_date")
 
 
 @query(HAZ_PANEL + f" SELECT {t.DAY}, customer_id, period FROM fp")
