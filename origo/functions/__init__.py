@@ -1,8 +1,12 @@
-"""Column builders shared by the operators."""
+"""What the operators share: column builders, and the package for the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +28,21 @@ def add_days(ts: Column, days: Column | int) -> Column:
 def positive(number: Column) -> Column:
     """Whether a number is above zero; NaN and null are not."""
     return F.coalesce(~F.isnan(number.cast("double")) & (number > 0), F.lit(False))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package, once an application; they
+    need not find the driver's folders."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="origo-ship-")) / "origo-src.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(to))
+        _SHIPPED.add(sc.applicationId)
+    return spark

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from origo.operators import cleaning
+from origo.sources.sheets import read_workbook
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -24,26 +25,61 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
     return rows.select(*columns) if columns else rows
 
 
-def read_sheets(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Several files of one table, exported from the sheets of a workbook."""
+def read_sheets(spark: SparkSession, paths: list[str], schema: str, sheets: list[str] | None = None) -> DataFrame:
+    """Several files of one table: workbooks, of which all sheets or the named ones
+    are read, or CSV or Parquet files exported from sheets."""
     out = None
     for path in paths:
-        part = read_csv(spark, path, schema) if path.lower().endswith(".csv") else spark.read.schema(schema).parquet(path)
+        kind = path.lower().rsplit(".", 1)[-1]
+        part = read_workbook(spark, path, schema, sheets) if kind == "xlsx" else read_csv(spark, path, schema) if kind == "csv" else spark.read.schema(schema).parquet(path)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def committed(spark: SparkSession, cache: str) -> str | None:
+    """The folder of the cache's last whole table, or None. A table is whole once the
+    file that names it is there; folders without one are what failed writers left."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(p):
+        return None
+    marks = [x.getPath().getName() for x in store.listStatus(p) if x.getPath().getName().startswith("_mark-")]
+    return f"{cache}/{max(marks).removeprefix('_mark-')}" if marks else None
+
+
+def commit(df: DataFrame, cache: str) -> str:
+    """Write `df` as the cache's next table: into a folder of its own, then, as the
+    last step, its mark. Readers see the table before or this one, never a part.
+    All older tables but the last before go; who reads that one can finish."""
+    spark = df.sparkSession
+    old = committed(spark, cache)
+    number = int(old.rsplit("-", 1)[1]) + 1 if old else 0
+    at = f"table-{number:09d}"
+    df.write.mode("overwrite").parquet(f"{cache}/{at}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(cache).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.create(path(f"{cache}/_mark-{at}"), False).close()  # fails if another writer was first
+    for entry in store.listStatus(path(cache)):
+        name = entry.getPath().getName()
+        if name.removeprefix("_mark-").startswith("table-") and int(name.rsplit("-", 1)[1]) < number - 1:
+            store.delete(entry.getPath(), True)
+    return f"{cache}/{at}"
+
+
 def read_through(spark: SparkSession, cache: str, raw: str, clean: Callable[[], DataFrame], *, force_reload: bool = False) -> DataFrame:
-    """The cached table; where there is none, the raw one is cleaned into it."""
-    if force_reload or not exists(spark, cache):
+    """The cached table; where no whole one is, the raw one is cleaned into it. With
+    `force_reload` it is cleaned anew; readers keep the old table until then."""
+    at = None if force_reload else committed(spark, cache)
+    if at is None:
         if not exists(spark, raw):
             raise FileNotFoundError(raw)
-        clean().write.mode("overwrite").parquet(cache)
-    return spark.read.parquet(cache)
+        at = commit(clean(), cache)
+    return spark.read.parquet(at)
 
 
 def load_retail(spark: SparkSession, raw: str, cache: str, *, force_reload: bool = False) -> DataFrame:
-    return read_through(spark, cache, raw, lambda: cleaning.clean_retail(read_csv(spark, raw, cleaning.RETAIL_RAW)), force_reload=force_reload)
+    """Cleaned rows of a workbook's sheets, or of one CSV or Parquet file."""
+    return read_through(spark, cache, raw, lambda: cleaning.clean_retail(read_sheets(spark, [raw], cleaning.RETAIL_RAW)), force_reload=force_reload)
 
 
 def load_subscriptions(spark: SparkSession, raw: str, cache: str, *, force_reload: bool = False) -> DataFrame:
@@ -94,9 +130,18 @@ def load_headline(folder: str) -> dict:
 
 
 def sql_view(df: DataFrame, name: str, sql: str) -> DataFrame:
-    """What a query says of `df`, which it reads under a name."""
+    """What a query says of `df`, which it reads under a name. The name is taken only
+    while the query is analysed: a view of the caller's by that name stays."""
+    spark = df.sparkSession
+    own = spark.table(name) if any(x.name == name and x.isTemporary for x in spark.catalog.listTables()) else None
     df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        if own is None:
+            spark.catalog.dropTempView(name)
+        else:
+            own.createOrReplaceTempView(name)
 
 
 def sql_scalar(df: DataFrame, name: str, sql: str):
