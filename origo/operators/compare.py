@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from origo.operators import backtest, leakage, metrics
+from origo.operators import backtest, leakage, metrics, selection
 from origo.operators.windows import Window
 
 
@@ -43,17 +43,16 @@ def cohort_split(tx: DataFrame, share: float = 0.8, *, key: str = "customer_id",
     first events."""
     first = tx.groupBy(key).agg(F.min(time_col).alias("_first"))
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("_first"))
-    cut = F.broadcast(first.agg(F.percentile(seconds, F.lit(share)).alias("_cut")))  # one row
-    return first.join(cut).select(key, (seconds < F.col("_cut")).alias("is_train"))
+    cut = selection.quantiles(first.select(seconds.alias("_s")), "_s", {"_cut": share})
+    return first.join(F.broadcast(cut.select("_cut"))).select(key, (seconds < F.col("_cut")).alias("is_train"))
 
 
 def rank_differences(df: DataFrame, p_col: str, q_col: str, id_col: str, top: int) -> DataFrame:
     """One row: how many rows change their rank between two scores, and how many
     of the top rows of one aren't among those of the other."""
-    ranked = df.select(
-        F.row_number().over(W.partitionBy().orderBy(F.desc(p_col), id_col)).alias("_p"), F.row_number().over(W.partitionBy().orderBy(F.desc(q_col), id_col)).alias("_q")
-    )
-    return ranked.agg(F.count_if(F.col("_p") != F.col("_q")).alias("moved"), F.count_if((F.col("_p") <= top) & (F.col("_q") > top)).alias("left_top"))
+    rows = df.select(F.col(p_col).alias("_a"), F.col(q_col).alias("_b"), F.col(id_col).alias("_id"))
+    both = selection.ranked(selection.ranked(rows, [-F.col("_a"), F.col("_id")], "_p"), [-F.col("_b"), F.col("_id")], "_q")
+    return both.agg(F.count_if(F.col("_p") != F.col("_q")).alias("moved"), F.count_if((F.col("_p") <= top) & (F.col("_q") > top)).alias("left_top"))
 
 
 def label_agreement(panel: DataFrame, official: DataFrame, *, key: str = "customer_id", y_col: str = "churned", official_col: str = "is_churn") -> DataFrame:
@@ -71,7 +70,7 @@ def label_shift(a: DataFrame, b: DataFrame, keys: list[str], y_col: str = "churn
 def delta_by_class(naive: DataFrame, asof: DataFrame, feature: str, keys: list[str], y_col: str = "churned") -> DataFrame:
     """`churned, n, median_delta` of a feature, naive minus as-of."""
     both = naive.select(*keys, F.col(feature).alias("_a")).join(asof.select(*keys, y_col, F.col(feature).alias("_b")), keys)
-    return both.groupBy(y_col).agg(F.count(F.lit(1)).alias("n"), F.median(F.col("_a") - F.col("_b")).alias("median_delta"))
+    return selection.medians(both.withColumn("_d", F.col("_a") - F.col("_b")), "_d", [y_col], "median_delta")
 
 
 def frozen_minus_retrained(frozen: DataFrame, retrained: DataFrame) -> DataFrame:

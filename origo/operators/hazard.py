@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from origo.functions import elapsed_days
+from origo.operators import selection
 from origo.operators.windows import Window, in_label
 
 PERIOD_DAYS = 30
@@ -81,5 +82,6 @@ def late_returners(tx: DataFrame, panel: DataFrame, window: Window, *, key: str
     back = tx.filter(F.col(time_col) >= end).join(churned, key, "left_semi").groupBy(key).agg(elapsed_days(F.min(time_col), end).alias("d"))
     tail = F.broadcast(tx.agg(elapsed_days(F.max(time_col), end).alias("tail_days")))  # one row
     n = F.broadcast(churned.agg(F.count(F.lit(1)).alias("n_churned")))  # one row
-    told = back.agg(F.count(F.lit(1)).alias("n_returned"), F.count_if(F.col("d") <= 14).alias("within_14"), F.count_if(F.col("d") > 90).alias("beyond_90"), F.median("d").alias("median_days"))
-    return told.join(n).join(tail).select("n_churned", "n_returned", "within_14", "beyond_90", "median_days", "tail_days")
+    told = back.agg(F.count(F.lit(1)).alias("n_returned"), F.count_if(F.col("d") <= 14).alias("within_14"), F.count_if(F.col("d") > 90).alias("beyond_90"))
+    middle = F.broadcast(selection.medians(back, "d", name="median_days").select("median_days"))  # one row
+    return told.join(n).join(tail).join(middle, how="left").select("n_churned", "n_returned", "within_14", "beyond_90", "median_days", "tail_days")

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from origo.operators import metrics
-
-
-RANGES = 128
+from origo.operators import metrics, selection
 
 
 def long_features(df: DataFrame, feature_cols: list[str], keep: list[str]) -> DataFrame:
@@ -23,12 +20,10 @@ def single_feature_auc(df: DataFrame, feature_cols: list[str], y_col: str = "chu
     counts = rows.groupBy("feature", "value").agg(F.sum(F.col(y_col).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
     # Two levels: sums of ranges of values, then running sums within each range,
     # so no task orders all values of a feature.
-    cuts = rows.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts), "feature").withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")  # a row for each feature
-    above = W.partitionBy("feature").orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
-    sums = counts.groupBy("feature", "r").agg(F.sum("tp").alias("tp")).select("feature", "r", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("base"))
+    counts = selection.ranged(counts, F.col("value"), ["feature"], "r")
+    sums = selection.sums_before(counts, ["feature"], {"base": "tp"}, "r", descending=True)
     inside = W.partitionBy("feature", "r").orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.join(sums, ["feature", "r"]).withColumn("tp_above", F.col("base") + F.coalesce(F.sum("tp").over(inside), F.lit(0)))
+    counts = counts.join(F.broadcast(sums), ["feature", "r"]).withColumn("tp_above", F.col("base") + F.coalesce(F.sum("tp").over(inside), F.lit(0)))  # a row for each range
     fp = F.col("n") - F.col("tp")
     sums = counts.groupBy("feature").agg(F.sum(fp * (F.col("tp_above") + F.col("tp") / 2)).alias("pairs"), F.sum("tp").alias("pos"), F.sum(fp).alias("neg"))
     auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("pairs") / (F.col("pos") * F.col("neg")))
@@ -47,7 +42,9 @@ def feature_delta(naive: DataFrame, asof: DataFrame, feature_cols: list[str], ke
     a = long_features(naive, feature_cols, keys).withColumnRenamed("value", "_a")
     b = long_features(asof, feature_cols, keys).withColumnRenamed("value", "_b")
     delta = a.join(b, [*keys, "feature"]).withColumn("d", F.col("_a") - F.col("_b"))
-    return delta.groupBy("feature").agg(F.avg((F.col("d") != 0).cast("int")).alias("pct_differing"), F.median("d").alias("median_delta"), F.avg("d").alias("mean_delta"))
+    means = delta.groupBy("feature").agg(F.avg((F.col("d") != 0).cast("int")).alias("pct_differing"), F.avg("d").alias("mean_delta"))
+    middle = selection.medians(delta, "d", ["feature"], "median_delta")
+    return means.join(F.broadcast(middle), "feature", "left").select("feature", "pct_differing", "median_delta", "mean_delta")  # a row for each feature
 
 
 def correlation(df: DataFrame, feature_cols: list[str]) -> DataFrame:
@@ -82,10 +79,21 @@ def dealt(key: Column, seed: int, share: float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
 
 
+def drawn(id_cols: list[str], seed: int) -> Column:
+    """A number of 60 bits that puts rows in an order that looks random, the same in
+    any engine: the first 15 hexadecimal digits of an MD5 of the ids and the seed."""
+    said = F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
+
+
 def stratified_split(df: DataFrame, y_col: str, id_cols: list[str], share: float, seed: int) -> DataFrame:
-    """`df` with `is_test`: the same share of each class, row by row."""
-    place = F.percent_rank().over(W.partitionBy(y_col).orderBy(F.xxhash64(*id_cols, F.lit(seed)), *id_cols))
-    return df.withColumn("is_test", place < share)
+    """`df` with `is_test`: of each class the floor(share * n) rows that are drawn
+    first. The class's threshold is selected from its draws, and the split is a
+    filter; rows with the same ids stay on one side."""
+    rows = df.withColumn("_drawn", drawn(id_cols, seed))
+    last = selection.selected(rows, "_drawn", [y_col], {"_last": lambda n: F.floor(n * F.lit(float(share))) - 1}).select(F.col(y_col).alias("_class"), "_last")
+    both = rows.join(F.broadcast(last), F.col(y_col).eqNullSafe(F.col("_class")), "left")  # a row for each class
+    return both.withColumn("is_test", F.coalesce(F.col("_drawn") <= F.col("_last"), F.lit(False))).drop("_drawn", "_last", "_class")
 
 
 def adversarial_auc(a: DataFrame, b: DataFrame, feature_cols: list[str], *, seed: int, test_share: float = 0.3, group_col: str | None = None) -> tuple[float, dict[str, float]]:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from origo.operators import selection
+
 
 def check_probabilities(df: DataFrame, p_col: str) -> None:
     """Raise if a score lies outside of [0, 1]."""
@@ -24,19 +26,17 @@ def _by_score(df: DataFrame, y_col: str, p_col: str, by: list[str]) -> DataFrame
     return df.groupBy(*by, F.col(p_col).alias("_p")).agg(F.sum(F.col(y_col).cast("long")).alias("_tp"), F.count(F.lit(1)).alias("_n"))
 
 
-def curve(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | None = None, ranges: int = 256) -> DataFrame:
+def curve(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | None = None) -> DataFrame:
     """For each distinct score: rows and positives of it (`n`, `tp`) and of all
     higher ones (`n_above`, `tp_above`). The points of a ROC or
     precision-recall curve."""
     by = by or []
     scores = _by_score(df, y_col, p_col, by)
-    # Scores are probabilities, so equal ranges of them are the first level.
-    scores = scores.withColumn("_r", F.least(F.floor(F.col("_p") * ranges), F.lit(ranges - 1)).cast("int"))
-    above = W.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
-    sums = scores.groupBy(*by, "_r").agg(F.sum("_tp").alias("_rt"), F.sum("_n").alias("_rn"))  # at most `ranges` rows a group
-    sums = sums.select(*by, "_r", F.coalesce(F.sum("_rt").over(above), F.lit(0)).alias("_bt"), F.coalesce(F.sum("_rn").over(above), F.lit(0)).alias("_bn"))
+    # Ranges of about as many distinct scores each, wherever these bunch.
+    scores = selection.ranged(scores, F.col("_p"), by)
+    sums = selection.sums_before(scores, by, {"_bt": "_tp", "_bn": "_n"}, descending=True)
     inside = W.partitionBy(*by, "_r").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
-    joined = scores.join(sums, [*by, "_r"])
+    joined = scores.join(F.broadcast(sums), [*by, "_r"])  # a row for each range
     return joined.select(
         *by, F.col("_p").alias("score"), F.col("_n").alias("n"), F.col("_tp").alias("tp"),
         (F.col("_bn") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("n_above"), (F.col("_bt") + F.coalesce(F.sum("_tp").over(inside), F.lit(0))).alias("tp_above"),

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from origo.operators import activity, backtest, calibration, cleaning, compare, hazard, leakage, metrics, model, subscription
+from origo.operators import activity, backtest, calibration, cleaning, compare, hazard, leakage, metrics, model, selection, subscription
 from origo.operators.windows import origins_frame
 from origo.plans import tables as t
 
@@ -176,7 +176,7 @@ SELECT CAST(round(quantile_cont(epoch(d), 0.8)) AS BIGINT) AS q80, count(*) AS n
 def first_purchase_quantile(spark, d):
     first = t.activity(spark, d).groupBy("customer_id").agg(F.min("invoice_date").alias("d"))
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("d"))
-    return first.agg(F.round(F.percentile(seconds, F.lit(0.8))).cast("long").alias("q80"), F.count(F.lit(1)).alias("n"))
+    return selection.quantiles(first.select(seconds.alias("s")), "s", {"q80": 0.8}).select(F.round("q80").cast("long").alias("q80"), "n")
 
 
 # --- panels by subscription ---------------------------------------------------
