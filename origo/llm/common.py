@@ -3,29 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors' Python workers this package, once an application;
-    they need not find the driver's folders."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="origo-ship-")) / "origo-src.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        sc.addPyFile(str(to))
-        _SHIPPED.add(sc.applicationId)
-    return spark
+from origo.functions import ship as ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,8 +50,8 @@ from origo.llm import textkit
 from origo.llm.common import checkpointed, parts_for, ship
 
 SCALE_STEPS = 3  # 10**9 in steps of 1000, so that no product leaves 64 bits
-SLICE_BYTES = 8 << 20
-MOST_CELLS = 1 << 20  # that a task holds before it hands them on
+SLICE_BYTES = 2 << 20
+MOST_CELLS = 1 << 19  # that a task holds before it hands them on
 MOST_GROUPS = 100_000  # (language, source) groups of some dozen bytes, that a broadcast may hold
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True

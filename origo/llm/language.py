@@ -189,10 +189,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), held_out(F.col(id_col)).alias("_out"))
     rows = rows.filter("_id is not null and _lang is not null and not _out")
-    # Of each language those with the least hashes (Spark keeps so many within each
-    # task before it shuffles any), and of these the first by their turn.
-    turn = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    known = rows.select("_id", "_lang").withColumn("_turn", turn).filter(F.col("_turn") <= fit_rows).orderBy("_turn", F.xxhash64("_id"), "_id", "_lang").limit(fit_rows)
+    # Of each language the rows whose hash falls under a share that leaves some
+    # 2 * fit_rows of them, so that no language is sorted whole; of these the first.
+    n = rows.groupBy(F.col("_lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / (1 << 40)
+    near = rows.select("_id", "_lang", place.alias("_place")).join(n, F.col("_lang") == F.col("_of")).filter(F.col("_place") * F.col("_n") < 2 * fit_rows)
+    turn = F.row_number().over(W.partitionBy("_lang").orderBy("_place", "_id"))
+    known = near.withColumn("_turn", turn).filter(F.col("_turn") <= fit_rows).orderBy("_turn", "_place", "_id", "_lang").limit(fit_rows)
     known = known.select(F.col("_id").alias("_k"), F.col("_lang").alias("_l")).distinct()
     taken = rows.join(F.broadcast(known), (F.col("_id") == F.col("_k")) & (F.col("_lang") == F.col("_l"))).select("_id", "_lang", "_text")  # `fit_rows` rows of two short strings
 
