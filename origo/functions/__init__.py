@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import zipfile
 from pathlib import Path
@@ -30,6 +31,32 @@ def positive(number: Column) -> Column:
     return F.coalesce(~F.isnan(number.cast("double")) & (number > 0), F.lit(False))
 
 
+def said(column: Column) -> Column:
+    """A value as text, that no other value of its column shares: null, NaN and the
+    text `null` are told apart; both zeros are one."""
+    text = column.cast("string")
+    return F.when(column.isNull(), "n").otherwise(F.concat(F.lit("v"), F.length(text).cast("string"), F.lit(":"), text))
+
+
+def _digits(seed: int, ids: tuple[Column | str, ...], start: int, n: int) -> Column:
+    columns = [F.col(c) if isinstance(c, str) else c for c in ids]
+    text = F.concat_ws(":", *[c.cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), start, n), 16, 10).cast("long")
+
+
+def uniform(seed: int, *ids: Column | str) -> Column:
+    """A number in [0, 1) for a row: 52 bits of the MD5 of its ids and the seed. It
+    counts nothing and keeps no state, so it is the same for any partitioning, in any
+    order, after any retry, and in SQL."""
+    return _digits(seed, ids, 1, 13) / F.lit(1 << 52)
+
+
+def normal(seed: int, *ids: Column | str) -> Column:
+    """A standard normal number for a row, of two independent uniform ones."""
+    radius = F.sqrt(-2 * F.ln(1 - uniform(seed, *ids)))
+    return radius * F.cos(2 * math.pi * (_digits(seed, ids, 14, 13) / F.lit(1 << 52)))
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -4,16 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from origo.functions import said
 from origo.operators import backtest, leakage, metrics, selection
 from origo.operators.windows import Window
 
 
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row: `n, fingerprint` of a table as a bag of rows, in one pass that
+    shuffles a row for each task.
+
+    A row is the text of its columns, ordered by name; its MD5 is four numbers of 32
+    bits, which are summed over all rows. The order of rows and columns counts for
+    nothing, repeated rows count each time. Two tables that differ have the same
+    fingerprint with a chance of 2**-128 or so. Columns must have different names;
+    nested ones are taken as JSON, bytes as hexadecimal digits.
+    """
+    def plain(name: str):
+        kind, column = df.schema[name].dataType, F.col(f"`{name}`")
+        if isinstance(kind, T.ArrayType | T.StructType | T.MapType):
+            return F.to_json(column, {"ignoreNullFields": "false"})
+        if isinstance(kind, T.BinaryType):
+            return F.hex(column)
+        return F.when(column == 0, F.lit(0).cast(kind)).otherwise(column) if isinstance(kind, T.DoubleType | T.FloatType) else column
+
+    text = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), said(plain(c))) for c in sorted(df.columns)])
+    rows = df.select(F.md5(text).alias("_h"))
+    parts = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"s{i}") for i, x in enumerate(parts)])
+    digits = F.concat(*[F.lpad(F.lower(F.hex((F.col(f"s{i}") % (1 << 32)).cast("long"))), 8, "0") for i in range(4)])
+    return sums.select("n", digits.alias("fingerprint"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two frames hold the same rows as often."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """Whether two frames hold the same rows as often, by their fingerprints."""
+    return fingerprint(a).first() == fingerprint(b.select(*a.columns)).first()
+
+
+def assert_reproduced(again: DataFrame, saved: dict) -> None:
+    """Raise unless a table has the fingerprint that an earlier run wrote down."""
+    found = fingerprint(again).first().asDict()
+    if found != {k: saved[k] for k in found}:
+        raise ValueError(f"recomputed {found}, saved {saved}")
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
@@ -104,8 +138,13 @@ def ablation_stability(df: DataFrame, feature_cols: list[str], id_cols: list[str
     for seed in seeds:
         split = leakage.stratified_split(df, y_col, id_cols, share, seed)
         rows += leakage.ablation_auc(split.filter("not is_test"), split.filter("is_test"), feature_cols, y_col, seed=seed).items()
-    table = df.sparkSession.createDataFrame(rows, "variant string, auc double")
-    return table.groupBy("variant").agg(F.avg("auc").alias("mean"), F.stddev_samp("auc").alias("std"), F.min("auc").alias("low"), F.max("auc").alias("high"))
+    return summary(df.sparkSession.createDataFrame(rows, "variant string, auc double"), "auc", ["variant"])
+
+
+def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """`mean, std, low, high` of a value in each group; std is of a sample, and null
+    for one row."""
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def pivoted(df: DataFrame, index: str, column: str, values: list, *, prefix: str) -> DataFrame:
@@ -114,6 +153,29 @@ def pivoted(df: DataFrame, index: str, column: str, values: list, *, prefix: str
     return counts
 
 
+def pivoted_means(df: DataFrame, index: str, column: str, values: list, value: str, *, prefix: str = "") -> DataFrame:
+    """Means of `value` by `index`, a column for each of the given values of `column`;
+    one that has no rows there is null."""
+    return df.groupBy(index).agg(*[F.avg(F.when(F.col(column) == v, F.col(value))).alias(f"{prefix}{v}") for v in values])
+
+
+def transposed(df: DataFrame, index: str, columns: list[str], values: list, *, name: str = "name", total: str | None = None) -> DataFrame:
+    """Rows become columns: a row for each of `columns`, with its value at each of the
+    given values of `index`, and their sum if `total` names it. Where an index value
+    is repeated, its values are summed; where it is missing, the cell is null."""
+    long = df.select(index, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(index, columns, name, "_value")
+    sums = [F.sum(F.when(F.col(index) == v, F.col("_value"))).alias(str(v)) for v in values]
+    return long.groupBy(name).agg(*sums, *([F.sum("_value").alias(total)] if total else []))
+
+
+def looked_up(df: DataFrame, column: str, names: dict, out: str, default=None) -> DataFrame:
+    """`df` with what a small map says of a column; values that it lacks get the
+    default. The map is part of the expression: no join, no shuffle."""
+    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    found = F.element_at(pairs, F.col(column)) if pairs is not None else F.lit(None)
+    return df.withColumn(out, F.coalesce(found, F.lit(default)) if default is not None else found)
+
+
 def origins_seen(panel: DataFrame, *, key: str = "customer_id") -> DataFrame:
     """`customer_id, origins`: the set of origins that a customer is in, in order."""
     return panel.groupBy(key).agg(F.array_sort(F.collect_set("as_of")).alias("origins"))

@@ -8,8 +8,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from origo import sources
+from origo.functions import normal, uniform
 from origo.operators import activity, backtest, calibration, cleaning, compare, hazard, leakage, metrics, model, selection, subscription
-from origo.operators.windows import origins_frame
+from origo.operators.windows import first_origin, origins_frame
+from origo.operators.windows import rolling_origins as make_origins
 from origo.plans import tables as t
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,6 +498,150 @@ def renewals_and_labels(spark, d):
     return both.groupBy("churned", F.coalesce("e", F.lit(0)).alias("has_event")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- reproducible draws, fingerprints, maps -------------------------------------
+
+
+def _draw_sql(ids: str, start: int = 1, n: int = 13) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {ids})), {start}, {n}) AS BIGINT)"
+
+
+ROW_ID = "customer_id, strftime(panel.as_of, '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"""SELECT c_custkey AS customer_id, round({_draw_sql("c_custkey, 'day', '42'")} / 4503599627370496.0 * 402, 9) AS event_day,
+  {_draw_sql("c_custkey, 'split', '42'")} / 4503599627370496.0 >= 0.2 AS is_train,
+  round(sqrt(-2 * ln(1 - {_draw_sql("c_custkey, 'jitter', '42'")} / 4503599627370496.0)) * cos(2 * pi() * ({_draw_sql("c_custkey, 'jitter', '42'", 14)} / 4503599627370496.0)), 6) AS jitter FROM customer""")
+def seeded_noise(spark, d):
+    """Points scattered over a span, a random split of them, and jitter."""
+    key = F.col("c_custkey")
+    return t.read(spark, d, "customer").select(
+        key.alias("customer_id"), F.round(uniform(42, key, F.lit("day")) * 402, 9).alias("event_day"), (uniform(42, key, F.lit("split")) >= 0.2).alias("is_train"),
+        F.round(normal(42, key, F.lit("jitter")), 6).alias("jitter"),
+    )
+
+
+@query(PANEL_SQL + f""", n AS (SELECT churned, count(*) AS n FROM panel GROUP BY 1)
+SELECT customer_id, {t.DAY.replace("as_of,", "panel.as_of,")}, churned, row_number() OVER (PARTITION BY churned ORDER BY {_draw_sql(ROW_ID + ", '7'", 1, 15)}) <= floor(0.2 * n) AS is_test FROM panel JOIN n USING (churned)""")
+def stratified_split(spark, d):
+    return leakage.stratified_split(_panel(spark, d), "churned", ["customer_id", "as_of"], 0.2, 7).select("customer_id", t.day(), "churned", "is_test")
+
+
+FINGERPRINT = "||".join(f"printf('%08x', CAST(sum({_draw_sql('r', 8 * i + 1, 8)}) % 4294967296 AS BIGINT))" for i in range(4))
+
+
+@query(PANEL_SQL + f""", v AS (SELECT {t.DAY.replace("as_of,", "panel.as_of,")}, CAST(churned AS VARCHAR) AS churned, CAST(customer_id AS VARCHAR) AS customer_id, CAST(frequency AS VARCHAR) AS frequency, CAST(recency_days AS VARCHAR) AS recency_days FROM panel),
+r AS (SELECT {" || '|' || ".join(f"'{c}=v' || length({c}) || ':' || {c}" for c in ("as_of", "churned", "customer_id", "frequency", "recency_days"))} AS r FROM v)
+SELECT count(*) AS n, {FINGERPRINT} AS fingerprint, true AS reproduced FROM r""")
+def panel_fingerprint(spark, d):
+    """A panel and the same one made again from rows in another order."""
+    columns = ["customer_id", t.day(), "recency_days", "frequency", "churned"]
+    again = activity.build_asof_panel(t.activity(spark, d).repartition(7, "invoice"), t.windows(*ACT))
+    one, two = (compare.fingerprint(x.select(*columns)) for x in (_panel(spark, d), again))
+    return one.join(F.broadcast(two.select(F.col("fingerprint").alias("f"), F.col("n").alias("m")))).select("n", "fingerprint", ((F.col("n") == F.col("m")) & (F.col("fingerprint") == F.col("f"))).alias("reproduced"))
+
+
+@query(SCORED + """, k AS (SELECT p, sum(y) AS s, count(*) AS w, row_number() OVER (ORDER BY p) AS i FROM s GROUP BY 1),
+c AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM k),
+m AS (SELECT a.i AS j, b.i, min((b.cs - a.cs + a.s) / CAST(b.cw - a.cw + a.w AS DOUBLE)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m FROM c a JOIN c b ON b.i >= a.i),
+g AS (SELECT i, max(m) AS v FROM m GROUP BY 1) SELECT CAST(p AS DOUBLE) AS score, w AS n, round(v, 9) AS calibrated FROM k JOIN g USING (i)""")
+def isotonic_map(spark, d):
+    """The isotonic map at every score it was fitted on."""
+    rows = _scored(spark, d)
+    each = rows.groupBy(F.col("p").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(calibration.Isotonic.fit(rows).transform(each, "score"), "calibrated").select("score", "n", "calibrated")
+
+
+# --- origins, holdouts, members, tables of results ------------------------------
+
+
+@query(f"""WITH {t.TX}, e AS (SELECT min(invoice_date) AS a, max(invoice_date) AS b FROM tx),
+g AS (SELECT date_trunc('day', a) + INTERVAL 365 DAY + to_days(CAST(i * 45 AS INTEGER)) AS as_of, b FROM e, range(1000) r(i))
+SELECT {t.DAY}, strftime(as_of + INTERVAL 7 DAY, '%Y-%m-%d') AS label_start, strftime(as_of + INTERVAL 37 DAY, '%Y-%m-%d') AS label_end FROM g WHERE as_of + INTERVAL 37 DAY <= b""")
+def rolling_origins(spark, d):
+    """Every origin from the first one with a whole lookback to the last one with a
+    whole label window."""
+    tx = t.activity(spark, d)
+    first, last = first_origin(tx, "invoice_date", 365), tx.agg(F.max("invoice_date")).first()[0]
+    found = origins_frame(spark, make_origins(first, last, gap_days=7, horizon_days=30, step_days=45))
+    return found.select(t.day(), *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("label_start", "label_end")])
+
+
+@query(PANEL_SQL + """, l AS (SELECT max(as_of) AS last FROM o), x AS (SELECT CASE WHEN panel.as_of = last THEN 'test' WHEN o.label_end <= last THEN 'train' END AS side, churned, 'purged' AS arm FROM panel JOIN o ON panel.as_of = o.as_of, l
+UNION ALL SELECT CASE WHEN panel.as_of = last THEN 'test' ELSE 'train' END, churned, 'unpurged' FROM panel, l)
+SELECT arm, side, count(*) AS n, round(avg(churned), 9) AS churn_rate FROM x WHERE side IS NOT NULL GROUP BY ALL""")
+def holdout(spark, d):
+    panel, w, out = _panel(spark, d), t.windows(*ACT), None
+    for arm, purge in (("purged", True), ("unpurged", False)):
+        for side, rows in zip(("train", "test"), backtest.holdout_after(panel, w, purge=purge)):
+            part = rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("churned"), 9).alias("churn_rate")).select(F.lit(arm).alias("arm"), F.lit(side).alias("side"), "n", "churn_rate")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT round(avg(CAST(coalesce(bd NOT BETWEEN 1 AND 100, true) AS INTEGER)), 9) AS odd_age, round(avg(CAST(gender IS NULL AS INTEGER)), 9) AS no_gender
+FROM (SELECT CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 127 - 9 END AS bd, CASE WHEN c_nationkey % 3 > 0 THEN 'x' END AS gender FROM customer)""")
+def members_quality(spark, d):
+    key = F.col("c_custkey")
+    members = t.read(spark, d, "customer").select(F.when(key % 11 > 0, key % 127 - 9).alias("bd"), F.when(F.col("c_nationkey") % 3 > 0, "x").alias("gender"))
+    return _rounded(sources.members_quality(members), "odd_age", "no_gender")
+
+
+@query(PANEL_SQL + f" SELECT {t.DAY}, round(avg(monetary), 6) AS mean, round(stddev_samp(monetary), 6) AS std, round(min(monetary), 6) AS low, round(max(monetary), 6) AS high FROM panel GROUP BY as_of")
+def monetary_summary(spark, d):
+    found = compare.summary(_panel(spark, d), "monetary", ["as_of"])
+    return found.select(t.day(), *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")])
+
+
+BUDGETS = [100, 200, 300]
+ARMS_SQL = SCORED + ", v AS (SELECT customer_id, as_of, y, 'a' AS variant, CAST(p AS DOUBLE) AS p FROM s UNION ALL SELECT customer_id, as_of, y, 'b', ((customer_id * 31) % 97) / 97.0 FROM s)"
+
+
+def _arms(spark, d):
+    """Two scores of the same rows."""
+    rows = _scored(spark, d)
+    return rows.withColumn("variant", F.lit("a")).unionByName(rows.withColumn("p", (F.col("customer_id") * 31 % 97) / 97).withColumn("variant", F.lit("b")))
+
+
+@query(ARMS_SQL + """, r AS (SELECT variant, as_of, y, row_number() OVER (PARTITION BY variant, as_of ORDER BY p DESC, customer_id) AS r FROM v), k AS (SELECT unnest([100, 200, 300]) AS budget),
+e AS (SELECT budget, variant, as_of, 4.0 * coalesce(sum(y) FILTER (r <= budget), 0) - 2.5 * count(*) FILTER (r <= budget) AS ev FROM k, r GROUP BY ALL)
+SELECT budget, CAST(round(avg(ev) FILTER (variant = 'a'), 6) AS DOUBLE) AS variant_a, CAST(round(avg(ev) FILTER (variant = 'b'), 6) AS DOUBLE) AS variant_b FROM e GROUP BY 1""")
+def budget_by_variant(spark, d):
+    """Mean value over origins, a row for each budget and a column for each variant."""
+    found = metrics.budget_value(_arms(spark, d), BUDGETS, "customer_id", by=["variant", "as_of"], **OFFER)
+    wide = compare.pivoted_means(found, "budget", "variant", ["a", "b"], "expected_value", prefix="variant_")
+    return wide.select("budget", *[F.round(c, 6).alias(c) for c in ("variant_a", "variant_b")])
+
+
+def _reliability_by(n: int) -> str:
+    return f"""SELECT {n} AS n_bins, variant, sum(n * (mp - obs) ** 2) / sum(n) AS rel FROM (SELECT variant, count(*) AS n, avg(p) AS mp, avg(y) AS obs FROM v
+  GROUP BY variant, greatest(len(list_filter([CAST(i AS DOUBLE) / {n} for i in range({n})], lambda e: e < p)) - 1, 0)) GROUP BY 2"""
+
+
+@query(ARMS_SQL + ", e AS (" + " UNION ALL ".join(map(_reliability_by, (5, 10, 15, 20, 30))) + """), w AS (SELECT n_bins, variant, rel, row_number() OVER (PARTITION BY n_bins ORDER BY rel, variant) AS k FROM e)
+SELECT n_bins, variant AS winner, round(rel, 9) AS reliability FROM w WHERE k = 1""")
+def winner_by_bins(spark, d):
+    return _rounded(calibration.winner_by_bins(_arms(spark, d), "variant"), "reliability").select("n_bins", "winner", "reliability")
+
+
+PARTS = ("reliability", "resolution", "uncertainty")
+
+
+@query(SCORED + ", b AS (" + " UNION ALL ".join(map(_brier_sql, (5, 10))) + """), u AS (UNPIVOT b ON reliability, resolution, uncertainty INTO NAME part VALUE x)
+SELECT part, round(sum(x) FILTER (n_bins = 5), 9) AS bins_5, round(sum(x) FILTER (n_bins = 10), 9) AS bins_10, round(sum(x), 9) AS both FROM u GROUP BY 1""")
+def brier_transposed(spark, d):
+    """Parts of the score as rows, numbers of bins as columns, with their sum."""
+    found = _rounded(calibration.bin_sensitivity(_scored(spark, d), (5, 10)), *PARTS)
+    wide = compare.transposed(found, "n_bins", list(PARTS), [5, 10], name="part", total="both")
+    return wide.select("part", F.round("5", 9).alias("bins_5"), F.round("10", 9).alias("bins_10"), F.round("both", 9).alias("both"))
+
+
+@query(PANEL_SQL + f" SELECT customer_id, {t.DAY.replace('as_of,', 'panel.as_of,')}, CASE WHEN idx < 10 THEN idx ELSE -1 END AS as_of_rank FROM panel JOIN o ON panel.as_of = o.as_of")
+def origin_ranks(spark, d):
+    """Each row's origin as its number, by a map of the first ten origins."""
+    ranks = {w.as_of.strftime("%Y-%m-%d"): i for i, w in enumerate(t.windows(*ACT)[:10])}
+    return compare.looked_up(_panel(spark, d).select("customer_id", t.day()), "as_of", ranks, "as_of_rank", -1)
+
+
 # --- with a model in the loop: no SQL -----------------------------------------
 
 SMALL = (datetime(1999, 1, 1), 5, 90, 7, 30)
