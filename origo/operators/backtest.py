@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from origo.operators import hazard, metrics
-from origo.operators.model import SEED, Model, fit, predict
+from origo.operators.model import SEED, Model, cut_points, fit, fit_windows, predict, predict_windows
 from origo.operators.windows import Window, origins_frame
 
 
@@ -39,21 +41,25 @@ def _at(panel: DataFrame, windows: list[Window]) -> DataFrame:
     return panel.filter(F.col("as_of").isin([F.lit(w.as_of).cast("timestamp_ntz") for w in windows]))
 
 
-def _empty(panel: DataFrame) -> DataFrame:
-    return panel.limit(0).withColumn("p", F.lit(0.0))
+def training_plan(windows: list[Window], *, min_training_origins: int = 1, purge: bool = True, max_lookback_days: int | None = None) -> dict[datetime, list[datetime]]:
+    """For each origin that can be tested, the mature origins that train its model."""
+    ordered = sorted(windows, key=lambda w: w.as_of)
+    mature = {w.as_of: [x.as_of for x in mature_origins(ordered, w, purge=purge, max_lookback_days=max_lookback_days)] for w in ordered[min_training_origins:]}
+    return {target: train for target, train in mature.items() if train}
+
+
+def _edges(panel: DataFrame, windows: list[Window], feature_cols: list[str]) -> tuple:
+    """Cut points of the first origin's rows, which lie in every model's past."""
+    return cut_points(_at(panel, [min(windows, key=lambda w: w.as_of)]), feature_cols)
 
 
 def rolling_origin_backtest(panel: DataFrame, windows: list[Window], feature_cols: list[str], *, min_training_origins: int = 1, seed: int = SEED, max_lookback_days: int | None = None, purge: bool = True, **model) -> tuple[DataFrame, DataFrame]:
     """`(per_origin, predictions)`: each origin from the given number on, scored
-    by a model of its mature origins; those without any are skipped."""
-    ordered, predictions = sorted(windows, key=lambda w: w.as_of), None
-    for i, test in enumerate(ordered):
-        mature = mature_origins(ordered, test, purge=purge, max_lookback_days=max_lookback_days)
-        if i < min_training_origins or not mature:
-            continue
-        scored = predict(fit(_at(panel, mature), feature_cols, seed=seed, **model), _at(panel, [test]), feature_cols)
-        predictions = scored if predictions is None else predictions.unionByName(scored)
-    predictions = _empty(panel) if predictions is None else predictions
+    by a model of its mature origins; those without any are skipped. All models are
+    fitted in one pass over the panel."""
+    plan = training_plan(windows, min_training_origins=min_training_origins, purge=purge, max_lookback_days=max_lookback_days)
+    models = fit_windows(panel, plan, feature_cols, edges=_edges(panel, windows, feature_cols), **model) if plan else {}
+    predictions = predict_windows(models, panel, feature_cols)
     return metrics.score(predictions, "churned", "p", ["as_of"], checked=True), predictions
 
 
@@ -63,7 +69,7 @@ def fit_at_origin(panel: DataFrame, windows: list[Window], target: int, feature_
     mature = mature_origins(ordered, ordered[target])
     if not mature:
         raise ValueError("no origin is mature")
-    return fit(_at(panel, mature), feature_cols, seed=seed, **model), mature
+    return fit(_at(panel, mature), feature_cols, edges=_edges(panel, ordered, feature_cols), **model), mature
 
 
 def frozen_model_backtest(panel: DataFrame, windows: list[Window], feature_cols: list[str], *, min_training_origins: int = 1, seed: int = SEED, **model) -> tuple[DataFrame, DataFrame]:
@@ -104,20 +110,24 @@ def fit_hazard_at_origin(panel: DataFrame, tx: DataFrame, windows: list[Window],
     mature = mature_origins(ordered, ordered[target])
     if not mature:
         raise ValueError("no origin is mature")
-    rows = hazard.person_periods(tx, mature, _at(panel, mature), feature_cols, time_col=time_col, key=key, period_days=period_days)
-    return fit(rows, [*feature_cols, "period"], "event", seed=seed, **model), mature
+    edges = _edges(_hazard_rows(panel, tx, ordered[:1], feature_cols, time_col, key, period_days), ordered, [*feature_cols, "period"])
+    rows = _hazard_rows(panel, tx, mature, feature_cols, time_col, key, period_days)
+    return fit(rows, [*feature_cols, "period"], "event", edges=edges, **model), mature
+
+
+def _hazard_rows(panel: DataFrame, tx: DataFrame, windows: list[Window], feature_cols: list[str], time_col: str, key: str, period_days: int) -> DataFrame:
+    return hazard.person_periods(tx, windows, _at(panel, windows), feature_cols, time_col=time_col, key=key, period_days=period_days)
 
 
 def hazard_rolling_origin_backtest(panel: DataFrame, tx: DataFrame, windows: list[Window], feature_cols: list[str], *, time_col: str, key: str = "customer_id", period_days: int = hazard.PERIOD_DAYS, min_training_origins: int = 1, seed: int = SEED, **model) -> tuple[DataFrame, DataFrame]:
     """As `rolling_origin_backtest`, by hazards of person-periods; survival is
     scored against `churned`."""
-    ordered, predictions, periods = sorted(windows, key=lambda w: w.as_of), None, hazard.n_periods(windows, period_days)
-    for i, test in enumerate(ordered):
-        if i < min_training_origins or not mature_origins(ordered, test):
-            continue
-        fitted, _ = fit_hazard_at_origin(panel, tx, ordered, i, feature_cols, time_col=time_col, key=key, period_days=period_days, seed=seed, **model)
-        target = _at(panel, [test])
-        scored = target.join(predict_survival(fitted, target, feature_cols, periods, key=key), ["as_of", key]).withColumnRenamed("survival", "p")
-        predictions = scored if predictions is None else predictions.unionByName(scored)
-    predictions = _empty(panel) if predictions is None else predictions
+    periods, columns = hazard.n_periods(windows, period_days), [*feature_cols, "period"]
+    plan = training_plan(windows, min_training_origins=min_training_origins)
+    models = {}
+    if plan:
+        rows = _hazard_rows(panel, tx, windows, feature_cols, time_col, key, period_days)
+        models = fit_windows(rows, plan, columns, "event", edges=_edges(rows, windows, columns), **model)
+    hazards = predict_windows(models, hazard.expand_periods(panel, periods), columns, "hazard")
+    predictions = panel.join(hazard.survival(hazards, key=key), ["as_of", key]).withColumnRenamed("survival", "p")
     return metrics.score(predictions, "churned", "p", ["as_of"], checked=True), predictions

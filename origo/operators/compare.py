@@ -136,8 +136,9 @@ def ablation_stability(df: DataFrame, feature_cols: list[str], id_cols: list[str
     """`variant, mean, std, low, high` of the ablation's AUC over several splits."""
     rows = []
     for seed in seeds:
-        split = leakage.stratified_split(df, y_col, id_cols, share, seed)
+        split = leakage.stratified_split(df, y_col, id_cols, share, seed).persist()
         rows += leakage.ablation_auc(split.filter("not is_test"), split.filter("is_test"), feature_cols, y_col, seed=seed).items()
+        split.unpersist()
     return summary(df.sparkSession.createDataFrame(rows, "variant string, auc double"), "auc", ["variant"])
 
 

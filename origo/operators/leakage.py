@@ -114,9 +114,17 @@ def adversarial_auc(a: DataFrame, b: DataFrame, feature_cols: list[str], *, seed
 
 def ablation_auc(train: DataFrame, test: DataFrame, feature_cols: list[str], y_col: str = "churned", *, seed: int) -> dict[str, float]:
     """AUC with all features and without each."""
-    from origo.operators.model import fit, predict
+    from origo.operators.model import cut_points, fit_groups, predict_groups
+
+    names = ["all features", *[f"drop {c}" for c in feature_cols]]
+
+    def variants(df: DataFrame) -> DataFrame:
+        """Each row once for all features, and once without each: a feature that says
+        the same of every row is none."""
+        each = df.select(*feature_cols, y_col).withColumn("_variant", F.explode(F.sequence(F.lit(0), F.lit(len(feature_cols)))))
+        return each.withColumns({c: F.when(F.col("_variant") != i, F.col(c).cast("double")).otherwise(0.0) for i, c in enumerate(feature_cols, 1)})
 
-    out = {}
-    for name, cols in [("all features", feature_cols), *[(f"drop {c}", [x for x in feature_cols if x != c]) for c in feature_cols]]:
-        out[name] = metrics.score(predict(fit(train, cols, y_col, seed=seed), test, cols), y_col, "p").first()["roc_auc"]
-    return out
+    models = fit_groups(variants(train), "_variant", feature_cols, y_col, edges=cut_points(train, feature_cols))
+    scored = predict_groups(models, variants(test), "_variant", feature_cols) if models else variants(test).limit(0).withColumn("p", F.lit(0.0))
+    found = {r["_variant"]: r["roc_auc"] for r in metrics.score(scored, y_col, "p", ["_variant"], checked=True).collect()}
+    return {name: found.get(i) for i, name in enumerate(names)}

@@ -14,17 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SIDE = 32  # splitters are looked up in two steps of so many
+SIDE = 16  # splitters are looked up in two steps of so many
 RANGES = SIDE * SIDE
-SAMPLE = 8 * RANGES
+SAMPLE = 16 * RANGES
 
 
-def range_of(splitters: Column, value: Column) -> Column:
+def _steps(splitters: Column) -> Column:
+    """Every SIDE-th splitter, for the first step."""
+    return F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.element_at(splitters, i * SIDE))
+
+
+def _range_of(steps: Column, splitters: Column, value: Column) -> Column:
     """How many of RANGES - 1 sorted splitters lie below a value."""
-    steps = F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.element_at(splitters, i * SIDE))
     step = F.size(F.filter(steps, lambda c: c < value))
-    inner = F.slice(splitters, step * SIDE + 1, F.lit(SIDE))
-    return (step * SIDE + F.size(F.filter(inner, lambda c: c < value))).cast("int")
+    return (step * SIDE + F.size(F.filter(F.slice(splitters, step * SIDE + 1, F.lit(SIDE)), lambda c: c < value))).cast("int")
 
 
 def _joined(df: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
@@ -35,24 +38,31 @@ def _joined(df: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
 def ranged(df: DataFrame, value: Column, by: list[str], name: str = "_r") -> DataFrame:
     """`df` with the range of its group that a number falls into. Equal values share
     a range, so reduce rows to distinct values first where one may be frequent."""
-    at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, at, RANGES * 4).alias("_cuts"))
-    return _joined(df, cuts, by).withColumn(name, range_of(F.col("_cuts"), value)).drop("_cuts")
+    at = F.expr(f"array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))})")
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, at, RANGES * 8).alias("_cuts")).withColumn("_steps", _steps(F.col("_cuts")))
+    return _joined(df, cuts, by).withColumn(name, _range_of(F.col("_steps"), F.col("_cuts"), value)).drop("_cuts", "_steps")
 
 
-def sums_before(df: DataFrame, by: list[str], sums: dict[str, str], name: str = "_r", *, descending: bool = False) -> DataFrame:
-    """`by, <name>, <sum>...`: for each range the sums of columns over the ranges of
-    its group before it. One small row for a group holds the sums of its ranges."""
+def _running(df: DataFrame, by: list[str], sums: dict[str, str], name: str, descending: bool) -> DataFrame:
+    """`by, _all`: one row for a group, an array of its ranges in order with the sums
+    over those before each (`<out>`), and over it alone (`own_<out>`)."""
     each = df.groupBy(*by, name).agg(*[F.sum(c).alias(out) for out, c in sums.items()])
-    rows = each.groupBy(*by).agg(F.collect_list(F.struct(name, *sums)).alias("_all"))
-    before = lambda y, x: (y[name] > x[name]) if descending else (y[name] < x[name])
+    kind = {out: each.schema[out].dataType.simpleString() for out in sums}
+    entry = "array<struct<" + ",".join([f"{name}:int", *[f"{o}:{kind[o]}" for o in sums], *[f"own_{o}:{kind[o]}" for o in sums]]) + ">>"
+    ordered = F.sort_array(F.collect_list(F.struct(name, *sums)), asc=not descending)
+    start = F.struct(*[F.lit(0).cast(kind[o]).alias(o) for o in sums], F.array().cast(entry).alias("seen"))
 
-    def base(x: Column, out: str) -> Column:
-        kind = each.schema[out].dataType
-        return F.aggregate(F.filter("_all", lambda y: before(y, x)), F.lit(0).cast(kind), lambda a, y: (a + y[out]).cast(kind)).alias(out)
+    def add(held: Column, x: Column) -> Column:
+        told = F.struct(x[name].cast("int").alias(name), *[held[o].alias(o) for o in sums], *[x[o].alias(f"own_{o}") for o in sums])
+        return F.struct(*[(held[o] + x[o]).cast(kind[o]).alias(o) for o in sums], F.concat(held["seen"], F.array(told)).cast(entry).alias("seen"))
 
-    told = F.transform("_all", lambda x: F.struct(x[name].alias(name), *[base(x, out) for out in sums]))
-    return rows.select(*by, F.explode(told).alias("_x")).select(*by, "_x.*")
+    return each.groupBy(*by).agg(ordered.alias("_o")).select(*by, F.aggregate("_o", start, add)["seen"].alias("_all"))
+
+
+def sums_before(df: DataFrame, by: list[str], sums: dict[str, str], name: str = "_r", *, descending: bool = False) -> DataFrame:
+    """`by, <name>, <sum>...`: for each range the sums of columns over the ranges of
+    its group before it."""
+    return _running(df, by, sums, name, descending).select(*by, F.explode("_all").alias("_x")).select(*by, f"_x.{name}", *[f"_x.{o}" for o in sums])
 
 
 def selected(df: DataFrame, value_col: str, by: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -62,19 +72,22 @@ def selected(df: DataFrame, value_col: str, by: list[str], ranks: dict[str, Call
     splitters for each is broadcast."""
     counts = df.filter(F.col(value_col).isNotNull()).groupBy(*by, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     counts = ranged(counts, F.col("_v"), by)
-    sums = counts.groupBy(*by, "_r").agg(F.sum("_n").alias("_n"))
-    totals = sums.groupBy(*by).agg(F.sum("_n").alias("n"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(rank(F.col("n"))).cast("long").alias("rank")) for name, rank in ranks.items()])
-    asked = totals.withColumn("_w", F.explode(wanted)).select(*by, "n", "_w.name", "_w.rank")
-    # The range that each wanted rank lies in; only these are looked at again.
-    spans = sums_before(sums, by, {"_before": "_n"}).join(sums, [*by, "_r"]).join(asked.drop("n"), by) if by else sums_before(sums, by, {"_before": "_n"}).join(sums, "_r").join(F.broadcast(asked.drop("n")))
-    spans = spans.filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))).select(*by, "_r", "name", "rank", "_before")
+    # One row for a group: its ranges, its number of values, and the range that each
+    # wanted rank lies in. Only these ranges are looked at again.
+    groups = _running(counts, by, {"before": "_n"}, "_r", False).select(*by, "_all", F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + x["own_before"]).alias("n"))
+    names = list(ranks)
+    asked = F.array(*[F.floor(f(F.col("n"))).cast("long") for f in ranks.values()])
+    groups = groups.select(*by, "n", "_all", F.transform(asked, lambda rank, i: F.struct(i.alias("i"), rank.alias("rank"))).alias("_w"))
+    spans = groups.select(*by, F.explode("_w").alias("_w"), "_all").select(*by, "_w.i", "_w.rank", F.get(F.filter("_all", lambda x: (x["before"] <= F.col("_w.rank")) & (F.col("_w.rank") < x["before"] + x["own_before"])), F.lit(0)).alias("_x"))
+    spans = spans.filter("_x is not null").select(*by, "i", "rank", F.col("_x._r").alias("_r"), F.col("_x.before").alias("_before"))
     near = counts.join(F.broadcast(spans), [*by, "_r"])  # a row for each group and rank
-    order = W.partitionBy(*by, "_r", "name").orderBy("_v")
+    order = W.partitionBy(*by, "_r", "i").orderBy("_v")
     upto = F.col("_before") + F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0))
     found = near.withColumn("_upto", upto).filter((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
-    values = found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
-    return totals.join(values, by, "left") if by else totals.join(F.broadcast(values), how="left")
+    values = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "_v"))).alias("_values"))
+    told = groups.select(*by, "n")
+    told = told.join(F.broadcast(values), by, "left") if by else told.join(F.broadcast(values), how="left")  # a row for each group
+    return told.select(*by, "n", *[F.try_element_at("_values", F.lit(i)).alias(name) for i, name in enumerate(names)])
 
 
 def quantiles(df: DataFrame, value_col: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -108,8 +121,8 @@ def ranked(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     sample = rows.select("_key").orderBy(F.xxhash64("_key")).limit(SAMPLE).agg(F.sort_array(F.collect_list("_key")).alias("_s"))
     # Of fewer rows than RANGES some splitters are equal, and some ranges empty.
     places = F.sequence(F.lit(1), F.lit(RANGES - 1))
-    cuts = sample.select(F.when(F.size("_s") > 0, F.transform(places, lambda i: F.element_at("_s", (i * F.size("_s") / RANGES).cast("int") + 1))).alias("_cuts"))
-    cut = rows.join(F.broadcast(cuts)).withColumn("_r", range_of(F.col("_cuts"), F.col("_key"))).drop("_cuts")  # one row
+    cuts = sample.select(F.when(F.size("_s") > 0, F.transform(places, lambda i: F.element_at("_s", (i * F.size("_s") / RANGES).cast("int") + 1))).alias("_cuts")).withColumn("_steps", _steps(F.col("_cuts")))
+    cut = rows.join(F.broadcast(cuts)).withColumn("_r", _range_of(F.col("_steps"), F.col("_cuts"), F.col("_key"))).drop("_cuts", "_steps")  # one row
     base = sums_before(cut.select("_r", F.lit(1).cast("long").alias("_one")), [], {"_before": "_one"})
     place = F.row_number().over(W.partitionBy("_r").orderBy("_key"))
     return cut.join(F.broadcast(base), "_r").withColumn(name, F.col("_before") + place).drop("_r", "_key", "_before")  # RANGES rows at most

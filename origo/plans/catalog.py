@@ -644,41 +644,72 @@ def origin_ranks(spark, d):
 
 # --- with a model in the loop: no SQL -----------------------------------------
 
-SMALL = (datetime(1999, 1, 1), 5, 90, 7, 30)
-
-
-def _small(spark, d):
-    tx, w = t.activity(spark, d), t.windows(*SMALL)
-    panel = activity.build_asof_panel(tx, w).withColumn("monetary", F.col("monetary").cast("double")).cache()
-    return tx, w, panel
+def _modelled(spark, d):
+    """The panel over all origins, kept while a query's models are fitted on it."""
+    tx, w = t.activity(spark, d), t.windows(*ACT)
+    return tx, w, _panel(spark, d).persist()
+
+
+BINS_8 = ", ".join(f"quantile_cont({{c}}, {i / 8}) AS q{i}" for i in range(1, 8))
+ONE_SPLIT = PANEL_SQL + """, q AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {j} AS f, {BINS_8.format(c=c)} FROM panel WHERE as_of = '1996-01-01'" for j, c in enumerate(RFM)) + """),
+l AS (SELECT panel.as_of, idx, label_end, churned, u.f, u.v FROM panel JOIN o ON panel.as_of = o.as_of, unnest([{'f': 0, 'v': CAST(recency_days AS DOUBLE)}, {'f': 1, 'v': CAST(frequency AS DOUBLE)}, {'f': 2, 'v': monetary}]) t(u)),
+b AS (SELECT as_of, idx, label_end, churned, l.f, (q1 < v)::INT + (q2 < v)::INT + (q3 < v)::INT + (q4 < v)::INT + (q5 < v)::INT + (q6 < v)::INT + (q7 < v)::INT AS b FROM l JOIN q ON l.f = q.f),
+c AS (SELECT as_of, idx, label_end, f, b, count(*) AS n, sum(churned) AS s FROM b GROUP BY ALL),
+m AS (SELECT o.as_of, f, b, sum(n) AS n, sum(s) AS s FROM c JOIN o ON c.idx < o.idx AND c.label_end <= o.as_of WHERE o.idx >= 2 GROUP BY ALL),
+g AS (SELECT as_of, f, k.b AS cut, sum(n) FILTER (m.b <= k.b) AS nl, sum(s) FILTER (m.b <= k.b) AS sl, sum(n) AS n, sum(s) AS s FROM m, range(7) k(b) GROUP BY ALL),
+x AS (SELECT *, CAST(s AS DOUBLE) / n AS p FROM g WHERE nl >= 20 AND n - nl >= 20),
+y AS (SELECT *, (sl - nl * p) ** 2 / (nl * p * (1 - p)) + (s - sl - (n - nl) * p) ** 2 / ((n - nl) * p * (1 - p)) AS gain FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY round(gain, 6) DESC, f, cut) AS k FROM y)"""
+SPLIT_P = "1 / (1 + exp(-(ln(p / (1 - p)) + 0.1 * ({s} - {n} * p) / ({n} * p * (1 - p)))))"
+
+
+@query(ONE_SPLIT + f"""SELECT {t.DAY}, q.feature, CAST(cut AS INTEGER) AS cut, CAST(n AS BIGINT) AS n_train, round({SPLIT_P.format(s="sl", n="nl")}, 9) AS p_below, round({SPLIT_P.format(s="(s - sl)", n="(n - nl)")}, 9) AS p_above FROM z JOIN q USING (f) WHERE k = 1""")
+def one_split_backtest(spark, d):
+    """The model of each of all origins that a backtest would test, with a single
+    split: which feature, where, and what it says on both sides."""
+    _, w, panel = _modelled(spark, d)
+    plan = backtest.training_plan(w, min_training_origins=2)
+    first = panel.filter(F.col("as_of") == F.lit(w[0].as_of))
+    models = model.fit_windows(panel, plan, RFM, edges=model.cut_points(first, RFM, 8), trees=1, depth=1)
+    n = {r["as_of"]: r["n"] for r in panel.groupBy("as_of").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for at, fitted in models.items():
+        tree = fitted.trees
+        below, above = (float(x) for x in model._sigmoid(tree.base + tree.leaf[0]))
+        rows.append((at.strftime("%Y-%m-%d"), RFM[tree.feature[0][0]], int(tree.cut[0][0]), sum(n[x] for x in plan[at]), round(below, 9), round(above, 9)))
+    panel.unpersist()
+    return spark.createDataFrame(rows, "as_of string, feature string, cut int, n_train long, p_below double, p_above double")
+
+
+BOOST = {"trees": 10, "depth": 3}
 
 
 @query()
 def rolling_backtest(spark, d):
-    _, w, panel = _small(spark, d)
-    per_origin, _ = backtest.rolling_origin_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
+    _, w, panel = _modelled(spark, d)
+    per_origin, _ = backtest.rolling_origin_backtest(panel, w, RFM, min_training_origins=2, **BOOST)
     return per_origin
 
 
 @query()
 def frozen_backtest(spark, d):
-    _, w, panel = _small(spark, d)
-    per_origin, _ = backtest.frozen_model_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
+    _, w, panel = _modelled(spark, d)
+    per_origin, _ = backtest.frozen_model_backtest(panel, w, RFM, min_training_origins=2, **BOOST)
     return per_origin
 
 
 @query()
 def hazard_backtest(spark, d):
-    tx, w, panel = _small(spark, d)
-    per_origin, _ = backtest.hazard_rolling_origin_backtest(panel, tx, w, RFM, time_col="invoice_date", period_days=10, min_training_origins=3, trees=5, depth=3)
+    tx, w, panel = _modelled(spark, d)
+    per_origin, _ = backtest.hazard_rolling_origin_backtest(panel, tx, w, RFM, time_col="invoice_date", period_days=10, min_training_origins=3, **BOOST)
     return per_origin
 
 
 @query()
 def calibration_compare(spark, d):
     """Scores of the last origin raw and calibrated on the one before."""
-    _, w, panel = _small(spark, d)
-    fitted, _ = backtest.fit_at_origin(panel, w, len(w) - 2, RFM, trees=5, depth=3)
+    _, w, panel = _modelled(spark, d)
+    fitted, _ = backtest.fit_at_origin(panel, w, len(w) - 2, RFM, **BOOST)
     at = lambda i: model.predict(fitted, panel.filter(F.col("as_of") == F.lit(w[i].as_of)), RFM)
     known, new = at(-2), at(-1)
     scored = calibration.Isotonic.fit(known, "churned").transform(calibration.Platt.fit(known, "churned").transform(new, out_col="platt"), out_col="isotonic")
@@ -688,7 +719,7 @@ def calibration_compare(spark, d):
 
 @query()
 def adversarial_validation(spark, d):
-    _, w, panel = _small(spark, d)
+    _, w, panel = _modelled(spark, d)
     naive = activity.build_naive_panel(t.activity(spark, d), w)
     auc, names = leakage.adversarial_auc(panel, naive, RFM, seed=model.SEED, group_col="customer_id")
     return spark.createDataFrame([(auc, *[names[c] for c in RFM])], "auc double, recency_days double, frequency double, monetary double")
@@ -696,7 +727,7 @@ def adversarial_validation(spark, d):
 
 @query()
 def ablation(spark, d):
-    _, w, panel = _small(spark, d)
+    _, w, panel = _modelled(spark, d)
     last = F.lit(w[-1].as_of)
     found = leakage.ablation_auc(panel.filter(F.col("as_of") < last), panel.filter(F.col("as_of") == last), RFM, seed=model.SEED)
     return spark.createDataFrame(list(found.items()), "variant string, auc double")
@@ -706,12 +737,12 @@ def ablation(spark, d):
 def serving_skew(spark, d):
     """One origin, one population: a naive model on naive and on as-of features,
     and the as-of model."""
-    tx, w, panel = _small(spark, d)
+    tx, w, panel = _modelled(spark, d)
     naive = activity.build_naive_panel(tx, w).withColumn("monetary", F.col("monetary").cast("double")).cache()
     last = F.lit(w[-1].as_of)
     mature = [F.lit(x.as_of).cast("timestamp_ntz") for x in backtest.mature_origins(w, w[-1])]
     train, test = (lambda p: p.filter(F.col("as_of").isin(mature))), (lambda p: p.filter(F.col("as_of") == last))
-    wrong, right = model.fit(train(naive), RFM, trees=5, depth=3), model.fit(train(panel), RFM, trees=5, depth=3)
+    wrong, right = model.fit(train(naive), RFM, **BOOST), model.fit(train(panel), RFM, **BOOST)
     arms = {"naive on naive": (wrong, naive), "naive on as-of": (wrong, panel), "as-of on as-of": (right, panel)}
     out = None
     for name, (fitted, rows) in arms.items():
@@ -720,6 +751,21 @@ def serving_skew(spark, d):
     return metrics.score(out, "churned", "p", ["arm"])
 
 
+@query()
+def ablation_stability(spark, d):
+    """How far the ablation depends on which fifth of the rows is the test."""
+    panel = _naive(spark, d).persist()
+    return compare.ablation_stability(panel, RFM, ["customer_id", "as_of"], [model.SEED + i for i in range(5)])
+
+
+@query()
+def hazard_at_origin(spark, d):
+    """Chances to churn at the last origin, by the hazard model that is fitted there."""
+    tx, w, panel = _modelled(spark, d)
+    fitted, _ = backtest.fit_hazard_at_origin(panel, tx, w, len(w) - 1, RFM, time_col="invoice_date", period_days=10, **BOOST)
+    last = panel.filter(F.col("as_of") == F.lit(w[-1].as_of))
+    return backtest.predict_survival(fitted, last, RFM, 3).select("customer_id", t.day(), F.round("survival", 9).alias("survival"))
+
 
 # --- samples and comparisons --------------------------------------------------
 
@@ -772,20 +818,20 @@ def recency_delta_by_class(spark, d):
 
 @query()
 def frozen_minus_retrained(spark, d):
-    _, w, panel = _small(spark, d)
-    frozen, _ = backtest.frozen_model_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
-    retrained, _ = backtest.rolling_origin_backtest(panel, w, RFM, min_training_origins=2, trees=5, depth=3)
+    _, w, panel = _modelled(spark, d)
+    frozen, _ = backtest.frozen_model_backtest(panel, w, RFM, min_training_origins=2, **BOOST)
+    retrained, _ = backtest.rolling_origin_backtest(panel, w, RFM, min_training_origins=2, **BOOST)
     return compare.frozen_minus_retrained(frozen, retrained)
 
 
 @query()
 def sliding_sweep(spark, d):
-    _, w, panel = _small(spark, d)
-    return compare.sliding_sweep(panel, w, RFM, [120, 200, 400], min_training_origins=3, trees=3, depth=3)
+    _, w, panel = _modelled(spark, d)
+    return compare.sliding_sweep(panel, w, RFM, [200, 400, 800], min_training_origins=3, **BOOST)
 
 
 @query()
 def leakage_table(spark, d):
-    tx, w, panel = _small(spark, d)
+    tx, w, panel = _modelled(spark, d)
     naive, last = activity.build_naive_panel(tx, w).withColumn("monetary", F.col("monetary").cast("double")), F.lit(w[-1].as_of)
     return compare.leakage_table(naive, panel, naive.filter(F.col("as_of") < last), naive.filter(F.col("as_of") == last), RFM, ["customer_id", "as_of"], seed=model.SEED)
