@@ -16,16 +16,19 @@ weighs its characters as often as it occurs.
 2. Every other window of the size of an item has a 64-bit SimHash of its
    different shingles. A shingle votes with the square root of its weight, so the
    cosine of two sets is 2 * similarity / (1 + similarity) at least, whatever the
-   weights, and the radius follows from that angle: the mean of the distance and
-   4.6 standard deviations (23 bits at 0.8). Votes are running sums over the
-   starts of windows (a shingle counts from behind its last copy on), so the work
-   is in proportion to the words.
+   weights. For each bit its vote is multiplied by one of 16 evenly spaced numbers
+   around zero, by a hash of shingle and bit: so even two heavy shingles hardly ever
+   cancel, and light ones decide a bit as seldom as the angle says (with plain signs,
+   an even number of heavy shingles leaves half of all bits to the light ones). The
+   radius is the mean distance at that angle and 4.6 standard deviations (23 bits at
+   0.8). Votes are running sums over the starts of windows (a shingle counts from
+   behind its last copy on), so the work is in proportion to the words.
 3. A multi-index finds the candidates: fingerprints are eight blocks; an item is
    entered under each block and all its values within radius / 8 bits, a window
    looks up its eight blocks. Two fingerprints within the radius agree so in one
    block at least, so the index misses none; then the whole distance is tested.
-   Only an item that repeats shingles, whose weighted similarity a set does not
-   bound, is compared with all windows of its size that step 1 leaves.
+   An item that repeats shingles, whose weighted similarity a set does not bound,
+   is compared with the windows of its size that hold one of its own anchors.
 4. Candidates are compared exactly.
 
 Each pair of a document and an item is one row, whatever the number of windows.
@@ -48,7 +51,7 @@ from origo.llm.common import checkpointed, parts_for
 
 BITS = 1 << 20
 BLOCKS = 8
-LANES = 0x100000001  # bits i and i + 32 of a hash, in the two halves of a number
+LEVELS = 16  # numbers that a vote is multiplied by
 
 
 def words_of(text: Column) -> Column:
@@ -77,17 +80,32 @@ def _vote(weight: Column) -> Column:
     return F.round(F.sqrt(weight) * 4).cast("long")
 
 
-def _votes(h: Column, vote: Column) -> list[Column]:
-    """Sums of votes for ones of the 64 bits, two bits in a sum."""
-    return [F.sum(vote * F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANES))).alias(f"v{i}") for i in range(32)]
+def _levels(h: Column) -> list[Column]:
+    """Four hashes of a shingle: a level from 0 to 15 for each of 64 bits."""
+    return [F.xxhash64(h, F.lit(j)).alias(f"g{j}") for j in range(4)]
+
+
+def _votes(h: Column, vote: Column, levels: list[Column] | None = None) -> list[Column]:
+    """Sums of votes times levels for the 64 bits, bits i and i + 32 in the two halves
+    of a sum. `levels` are those of `h`, where columns hold them."""
+    levels = _levels(h) if levels is None else levels
+
+    def level(j: int, i: int) -> Column:
+        return F.shiftrightunsigned(levels[j], 4 * (i % 16)).bitwiseAND(F.lit(LEVELS - 1))
+
+    return [F.sum(vote * (level(i // 16, i) + F.shiftleft(level(i // 16 + 2, i), 32))).alias(f"v{i}") for i in range(32)]
+
+
+def _held() -> list[Column]:
+    return [F.col(f"g{j}") for j in range(4)]
 
 
 def _majority(total: Column) -> Column:
-    """The fingerprint of the sums v0 to v31."""
+    """The fingerprint of the sums v0 to v31: where levels lie above their middle."""
     bits = F.lit(0).cast("long")
     for i in range(32):
         for value, votes in ((1 << i, F.col(f"v{i}").bitwiseAND((1 << 32) - 1)), (1 << i + 32, F.shiftrightunsigned(f"v{i}", 32))):
-            bits = bits.bitwiseOR(F.when(votes * 2 > total, F.lit(value - (1 << 64) if value >> 63 else value)).otherwise(F.lit(0).cast("long")))
+            bits = bits.bitwiseOR(F.when(votes * 2 > total * (LEVELS - 1), F.lit(value - (1 << 64) if value >> 63 else value)).otherwise(F.lit(0).cast("long")))
     return bits
 
 
@@ -146,13 +164,13 @@ def _anchors(counted: DataFrame, similarity: float) -> DataFrame:
     order = Window.partitionBy("item").orderBy(F.desc("word_chars"), "gram")
     before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = counted.withColumn("before", before).withColumn("total", F.sum("weight").over(Window.partitionBy("item")))
-    return taken.filter(F.col("before") <= F.lit(1 - similarity + 1e-9) * F.col("total")).select("k", "length", "h", F.xxhash64("word").alias("word")).distinct()
+    return taken.filter(F.col("before") <= F.lit(1 - similarity + 1e-9) * F.col("total")).select("item", "k", "length", "h", F.xxhash64("word").alias("word"))
 
 
 def _index(counted: DataFrame, within: int) -> DataFrame:
     """The multi-index of the items that repeat no shingle: `length, block, value,
     item, own`, a row for each block and value within so many bits of it."""
-    prints = counted.groupBy("item", "length").agg(*_votes(F.col("h"), _vote(F.col("chars"))), F.sum(_vote(F.col("chars"))).alias("total"), F.max("n").alias("most"))
+    prints = counted.select("item", "length", "chars", "n", *_levels(F.col("h"))).groupBy("item", "length").agg(*_votes(F.col("h"), _vote(F.col("chars")), _held()), F.sum(_vote(F.col("chars"))).alias("total"), F.max("n").alias("most"))
     prints = prints.filter("most = 1").select("item", "length", _majority(F.col("total")).alias("own")).withColumn("b", F.explode(_blocks(F.col("own"))))
     near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(v.bitwiseXOR(F.col("b.value"))) <= within)
     return prints.select("length", F.col("b.block").alias("block"), F.explode(near).alias("value"), "item", "own")
@@ -180,12 +198,12 @@ def _windows(spots: DataFrame, width: int, tasks: int) -> DataFrame:
         F.struct(begins.alias("start"), zero.alias("vote"), one.alias("n")),
         F.struct((F.col("p") + 1).alias("start"), (-F.col("vote")).alias("vote"), (-one).alias("n")),
     )
-    changes = at.select("doc", "length", "shingles", "h", F.explode(steps).alias("s")).groupBy("doc", "length", "shingles", F.col("s.start").alias("start")).agg(
-        *_votes(F.col("h"), F.col("s.vote")), F.sum("s.vote").alias("total"), F.sum("s.n").alias("n")
+    changes = at.select("doc", "length", "shingles", *_levels(F.col("h")), F.explode(steps).alias("s")).groupBy("doc", "length", "shingles", F.col("s.start").alias("start")).agg(
+        *_votes(F.col("h"), F.col("s.vote"), _held()), F.sum("s.vote").alias("total"), F.sum("s.n").alias("n")
     )
     upto = Window.partitionBy("doc", "length").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     sums = changes.select("doc", "length", "shingles", "start", *[F.sum(c).over(upto).alias(c) for c in (*[f"v{i}" for i in range(32)], "total", "n")])
-    return sums.filter(F.col("n") == F.col("shingles")).select("doc", "length", "start", _majority(F.col("total")).alias("print"))
+    return sums.filter(F.col("n") == F.col("shingles")).select("doc", "length", "shingles", "start", _majority(F.col("total")).alias("print"))
 
 
 def _similarity(own: Column, other: Column) -> Column:
@@ -229,9 +247,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     # words would be made anew for each word.
     held = checkpointed(spots.withColumn("hits", hits).select("doc_id", "text_key", F.when(F.size("hits") > 0, F.struct(F.monotonically_increasing_id().alias("doc"), "words", "hits")).alias("x")))
     held = held.filter(F.col("x").isNotNull()).select("doc_id", "text_key", "x.*")
+    met = held.select("doc", F.size("words").alias("n"), F.explode("hits").alias("x")).select("doc", "n", "x.at", "x.h")
     cells = checkpointed(
-        held.select("doc", F.size("words").alias("n"), F.explode("hits").alias("x")).select("doc", "n", "x.at", "x.h")
-        .join(small(anchors.select("k", "length", "h")), "h")
+        met.join(small(anchors.select("k", "length", "h").distinct()), "h")
         .withColumn("shingles", F.least("length", "n") - F.col("k") + 1)
         .groupBy("doc", "length", "k", "shingles").agg(F.collect_set(F.floor(F.col("at") / F.col("shingles")).cast("int")).alias("cells"))
     )
@@ -240,8 +258,14 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, width:
     windows = checkpointed(_windows(cells.join(held.select("doc", "words"), "doc"), width, max(parallel, parts_for(cells.count(), 512))))
     asked = windows.select("doc", "length", "start", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("doc", "length", "start", "print", "b.block", "b.value")
     close = asked.join(small(_index(counted, radius // BLOCKS)), ["length", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= radius)
-    repeating = counted.groupBy("item", "length").agg(F.max("n").alias("most")).filter("most > 1").select("item", "length")
-    close = close.select("doc", "item", "start").unionByName(windows.join(small(repeating), "length").select("doc", "item", "start"))
+    # Items that repeat shingles: windows that hold an anchor of theirs, found by the
+    # stretches of starts that these windows lie in.
+    repeating = anchors.join(counted.groupBy("item").agg(F.max("n").alias("most")).filter("most > 1").select("item"), "item", "left_semi").select("item", "k", "length", "h")
+    spans = met.join(small(repeating), "h").withColumn("shingles", F.least("length", "n") - F.col("k") + 1).withColumn("low", F.greatest(F.col("at") - F.col("shingles") + 1, F.lit(0)))
+    stretch = lambda c: F.floor(F.col(c) / F.col("shingles"))
+    spans = spans.select("doc", "length", "item", "low", "at", F.explode(F.sequence(stretch("low"), stretch("at"))).alias("stretch"))
+    held_by = windows.withColumn("stretch", stretch("start")).join(spans, ["doc", "length", "stretch"]).filter((F.col("start") >= F.col("low")) & (F.col("start") <= F.col("at")))
+    close = close.select("doc", "item", "start").unionByName(held_by.select("doc", "item", "start"))
     pairs = checkpointed(close.groupBy("doc", "item").agg(F.collect_set("start").alias("starts")))
     both = pairs.join(small(items), "item").join(held.select("doc", "doc_id", "text_key", F.col("words").alias("said")), "doc")
     both = both.repartition(max(parallel, parts_for(pairs.count(), 128)), "doc", "item")

@@ -514,6 +514,35 @@ def test_decontamination_of_uneven_shingles(spark):
     assert found == want and (900, 20) in want and len(want) > 60
 
 
+@pytest.mark.parametrize("heavy", [2, 4, 6])
+def test_decontamination_of_few_heavy_shingles(spark, heavy):
+    """An even number of heavy shingles, and light ones that differ: plain signs would
+    cancel in half of all bits and leave these to the light ones."""
+    items, rows = [], []
+    for i in range(500):
+        words = [f"a{i:03}x{k:02}" for k in range(heavy + 5)]
+        words[heavy - 1] = f"b{i}".ljust(160, "z")
+        items.append((i, " ".join(words)))
+        rows.append((i, " ".join(["before", *words[:-1], "other", "behind"])))
+    df, bench = spark.createDataFrame(rows, DOC).repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contaminated([rows[0]], [items[0]])[(0, 0)]
+    assert 0.8 <= want[1] < 0.97
+    found = decontam.find(df, bench).filter("doc_id = item_id and start = 1").count()
+    assert found == 500
+
+
+def test_decontamination_by_items_that_repeat(spark):
+    """Many items of one length that repeat a shingle meet only windows that hold an
+    anchor of theirs."""
+    dice = np.random.default_rng(8)
+    say = lambda k: [f"w{x}" for x in dice.integers(0, 3000, k)]
+    items = [(i, " ".join((say(6) * 2 + say(8))[:20])) for i in range(40)]
+    rows = [(i, " ".join(say(30) + items[i % 40][1].split()[: 20 - i // 40] + say(30))) for i in range(120)]
+    df, bench = spark.createDataFrame(rows, DOC).repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 9)) for r in decontam.find(df, bench).collect()}
+    assert found == brute_contaminated(rows, items) and len(found) >= 80
+
+
 def test_windows_are_hashed_as_their_shingles_say(spark):
     """The running sums against fingerprints made from each window alone."""
     text = "a b a b a b c d e f a b a b a c c c c c c c d e".split()
