@@ -11,8 +11,10 @@ are one class, whatever their number.
    classes stays together with a chance that repeated runs raise to the recall
    wanted: the children that a pair of this similarity shares are a branching
    process, so the chance that a run of so many splits misses it is known
-   (0.16 after one split, 0.36 after three), and runs are repeated until all of
-   them miss it with a chance of `1 - recall` at most.
+   (0.16 after one split, 0.36 after three, for a pair whose sketches agree in as
+   many places as its similarity says). Runs share the places of the sketch, so the
+   chance that all miss is taken as the mean over how many of these agree, and
+   runs are repeated until it is `1 - recall` at most.
 2. Nodes of at most `bucket` classes are compared by brute force on short
    sketches, with a margin far below the similarity. Larger nodes split again,
    but for those that are dense: that hold a share of `dense` of the node above
@@ -47,6 +49,7 @@ from origo.llm.common import checkpointed, parts_for, redealt, ship
 from origo.llm.components import components
 
 PLACES = 64
+MOST_RUNS = 2000  # no recall below 1 - 1e-6 asks for more after 16 splits at 0.8
 LAST_ID = (1 << 63) - 1
 _A = textkit.mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _B = textkit.mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
@@ -166,16 +169,34 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def missed(similarity: float, splits: int) -> float:
-    """The chance that a pair of this similarity shares no node after so many
-    splits of one run: extinction of a branching process."""
+def missed(similarity: float, splits: int, agreement: float | None = None) -> float:
+    """The chance that a pair shares no node after so many splits of one run:
+    extinction of a branching process. `agreement` is the share of places in which
+    the pair's sketches agree, the similarity itself if it isn't given."""
+    agreement = similarity if agreement is None else agreement
     second, q = min(1.0, 1 / similarity - 1), 0.0
     for _ in range(splits):
-        apart = 1 - similarity + similarity * q
+        apart = 1 - agreement + agreement * q
         q = (1 - second) * apart + second * apart * apart
     return q
 
 
+def lost(similarity: float, splits: int, runs: int) -> float:
+    """The chance that all of some runs miss a pair just at the similarity. All runs
+    choose among the same PLACES, so they are independent only given in how many of
+    these a pair agrees; the chance is the mean over that number."""
+    agreeing = [math.comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) for k in range(PLACES + 1)]
+    return sum(p * missed(similarity, splits, k / PLACES) ** runs for k, p in enumerate(agreeing))
+
+
+def runs_needed(similarity: float, splits: int, recall: float, least: int = 1) -> int:
+    """How many runs find a pair just at the similarity with a chance of `recall`."""
+    runs = least
+    while lost(similarity, splits, runs) > 1 - recall and runs < MOST_RUNS:
+        runs += 1
+    return runs
+
+
 def candidate_links(classes: DataFrame, similarity: float, *, first: int, runs: int, bucket: int, depth: int, margin: float, dense: float) -> tuple[DataFrame, int]:
     """Links a, b between classes that span every pair that may be similar and
     that a run from number `first` on has in one node; and how often was split."""
@@ -302,8 +323,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
     )
     # `runs` at once; then as many as the splits that were needed make necessary.
     links, splits = candidate_links(classes, similarity, first=1, runs=runs, bucket=bucket, depth=depth, margin=margin, dense=dense)
-    while (miss := missed(similarity, splits)) ** runs > 1 - recall:
-        more = max(1, math.ceil(math.log(max(1 - recall, 1e-12)) / math.log(miss)) - runs)
+    while (more := runs_needed(similarity, splits, recall, runs) - runs) > 0:
         again, deeper = candidate_links(classes, similarity, first=runs + 1, runs=more, bucket=bucket, depth=depth, margin=margin, dense=dense)
         links, splits, runs = links.unionByName(again), max(splits, deeper), runs + more
     groups = components(links).withColumnRenamed("node", "c")
