@@ -15,7 +15,8 @@ and numbers that the generators propose as well.
 The trees are fitted on a bounded sample, by kind and label; they are written out
 as one expression. A threshold for each kind, calibrated over all held-out
 proposals of the table, selects what is added: above it at least `precision` of
-the held-out proposals are verified. A proposal that has the form of a base span
+the held-out proposals are right: verified, or as many of the unlabelled as the
+distribution of verified ones says. A proposal that has the form of a base span
 but failed its check is never added, nor is one that overlaps a base span.
 
 Patterns begin only where a match can begin and never backtrack over what they
@@ -40,6 +41,8 @@ from pyspark.sql.window import Window
 
 from origo.llm.common import checkpointed
 
+LEAST_REACHED = 0.25  # share of verified proposals above a margin, from which on it tells how many unlabelled are right
+
 # Kinds in order, and for each a pattern whose leftmost
 # non-overlapping matches are the base candidates of that kind.
 KINDS = ("email", "ip", "card", "phone")
@@ -228,9 +231,9 @@ def fit(found: DataFrame, *, fit_rows: int = 4000, trees: int = 8, depth: int =
     None if the sample lacks one of the labels. At most `fit_rows` proposals, as
     many of each kind and label, are learned from; the thresholds are of all
     proposals of the held-out third of rows."""
-    rows = found.select("doc_id", F.explode(F.concat(*[F.transform(f"near_{k}", lambda x: F.struct(x["start"].alias("start"), x["verified"].alias("verified"), x["features"].alias("features"))) for k in KINDS])).alias("x"))
+    rows = found.select("doc_id", F.explode(F.concat(*[F.transform(f"near_{k}", lambda x: F.struct(x["start"].alias("start"), x["verified"].alias("verified"), x["free"].alias("free"), x["features"].alias("features"))) for k in KINDS])).alias("x"))
     order = F.xxhash64("doc_id", "x.start", F.lit(17))
-    rows = rows.select(order.alias("order"), F.col("x.verified").cast("double").alias("label"), *[F.get("x.features", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
+    rows = rows.select(order.alias("order"), F.col("x.verified").cast("double").alias("label"), F.col("x.free").cast("double").alias("free"), *[F.get("x.features", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
     rows = checkpointed(rows.withColumn("held_out", F.pmod("order", F.lit(3)) == 0))
     turn = Window.partitionBy("kind", "label").orderBy("order", *FEATURES)
     sample = rows.filter(~F.col("held_out")).withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= max(1, fit_rows // (2 * len(KINDS))))
@@ -243,13 +246,25 @@ def fit(found: DataFrame, *, fit_rows: int = 4000, trees: int = 8, depth: int =
     def margin(features: Column) -> Column:
         return F.round(sum((F.lit(float(w)) * _written_out(t, features) for w, t in zip(weights, texts)), F.lit(0.0)), 6)
 
-    # Calibration: of the held-out margins of a kind the lowest above which the
-    # wanted share is verified. Equal margins are one row; a sum of the values of
-    # eight small trees has few different ones.
-    judged = rows.filter("held_out").withColumn("features", F.array(*FEATURES)).groupBy("kind", margin(F.col("features")).alias("margin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
-    above = Window.partitionBy("kind").orderBy(F.desc("margin"))
-    share = F.sum("good").over(above) / F.sum("n").over(above)
-    kept = judged.withColumn("share", share).filter(F.col("share") >= precision).groupBy("kind").agg(F.min("margin").alias("least")).collect()  # a row for each kind
+    # Calibration, on the held-out margins of a kind. A verified span is right; what a
+    # check turned down is wrong; what may be added is unlabelled, and some of it is
+    # right. As right ones look like verified ones, as large a share of both lies
+    # above any margin: so there are at most as many of them as (those above) / (that
+    # share), whatever the margin, and the least of these bounds is their number. The
+    # threshold is the lowest margin above which the wanted share is right. Equal
+    # margins are one row; a sum of the values of eight small trees has few.
+    judged = rows.filter("held_out").withColumn("features", F.array(*FEATURES)).groupBy("kind", margin(F.col("features")).alias("margin")).agg(
+        F.sum("label").alias("good"), F.sum("free").alias("free"), F.count(F.lit(1)).alias("n")
+    )
+    above, whole = Window.partitionBy("kind").orderBy(F.desc("margin")), Window.partitionBy("kind")
+    sums = judged.select("kind", "margin", *[F.sum(c).over(above).alias(c) for c in ("good", "free", "n")])
+    sums = sums.withColumn("reached", F.try_divide("good", F.max("good").over(whole)))
+    # One standard deviation is allowed for, as a count of a few says little.
+    bound = F.when(F.col("reached") >= LEAST_REACHED, (F.col("free") + F.sqrt(F.col("free") + 1)) / F.col("reached"))
+    sums = sums.withColumn("added", F.coalesce(F.min(bound).over(whole) * F.col("reached"), F.lit(0.0)))
+    # The share is kept both of all proposals and of what is added alone.
+    whole_share, added_share = F.least(F.col("good") + F.col("added"), "n") / F.col("n"), F.coalesce(F.try_divide("added", "free"), F.lit(1.0))
+    kept = sums.filter((F.col("good") > 0) & (F.least(whole_share, added_share) >= precision)).groupBy("kind").agg(F.min("margin").alias("least")).collect()  # a row for each kind
     least = {int(r["kind"]): r["least"] for r in kept}
     return lambda kind, features: margin(features) >= F.lit(least[KINDS.index(kind)]) if KINDS.index(kind) in least else F.lit(False)
 

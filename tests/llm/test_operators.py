@@ -112,6 +112,19 @@ def test_jaccard_runs_reach_the_recall(spark):
     assert found == 800
 
 
+def test_the_recall_of_runs_that_share_a_sketch():
+    """Against drawn sketches; as few runs as needed, and more for deeper trees."""
+    dice = np.random.default_rng(1)
+    for splits, runs in ((3, 10), (8, 10)):
+        agreeing = dice.binomial(jaccard.PLACES, 0.8, 20_000) / jaccard.PLACES
+        drawn = np.mean([jaccard.missed(0.8, splits, a) ** runs for a in agreeing])
+        assert jaccard.lost(0.8, splits, runs) == pytest.approx(drawn, rel=0.1)
+    assert jaccard.lost(0.8, 8, 10) > 0.005  # what independent runs would not show
+    needed = [jaccard.runs_needed(0.8, s, 0.999) for s in (1, 3, 5, 8, 16)]
+    assert needed == sorted(needed) and needed[1] <= 10 < needed[3]
+    assert all(jaccard.lost(0.8, s, n) <= 0.001 < jaccard.lost(0.8, s, n - 1) for s, n in zip((1, 3, 5, 8, 16), needed))
+
+
 @pytest.mark.parametrize("options", [{}, {"bucket": 2, "depth": 2, "block": 2}])
 def test_jaccard_join(docs, rows, options):
     found = jaccard.join(docs, **options).select("doc_id", "class_id", "n_copies", "n_links", "n_linked_sets")
@@ -218,6 +231,23 @@ def test_private_additions(spark, nothing):
     assert private.find(df.filter("doc_id % 3 <> 0")).filter(F.size("spans") > F.size("base")).count() == 0  # nothing verified to learn from
 
 
+@pytest.mark.parametrize("planted", [40, 200, 800])
+def test_private_additions_however_many(spark, planted):
+    """Numbers without a plus, written as those with one, are found whether they are
+    few or twice as many as these; dates are left alone."""
+    dice = np.random.default_rng(planted)
+    number = lambda: f"({dice.integers(200, 999)}) 555-{dice.integers(1000, 9999)}"
+    rows = [(i, f"Please call me on +1 {number()} any day.") for i in range(400)]
+    rows += [(1000 + i, f"It was built on {dice.integers(10, 28)}.{dice.integers(10, 12)}.{dice.integers(1900, 2020)} by hand.") for i in range(300)]
+    rows += [(5000 + i, f"Please call me on {number()} any day.") for i in range(planted)]
+    df = spark.createDataFrame(rows, DOC).repartition(4)
+    found = {r["doc_id"]: [(x["kind"], x["start"]) for x in r["spans"]] for r in private.find(df).collect()}
+    right = sum(any(k == "phone" for k, _ in found[5000 + i]) for i in range(planted))
+    wrong = sum(bool(found[1000 + i]) for i in range(300))
+    assert right >= 0.95 * planted and wrong <= 0.2 * (right + wrong)
+    assert all(found[i] == [("phone", 18)] for i in range(400))
+
+
 def test_private_redaction(spark, nothing):
     good, bad = "4111111111111111", "4111111111111112"
     df = spark.createDataFrame([(i, f"call +1 555 010 {i:04d} or card {good if i % 2 else bad} at 10.0.0.{i % 300}") for i in range(400)], DOC)
