@@ -191,9 +191,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = rows.filter("_id is not null and _lang is not null and not _out")
     # Of each language the rows whose hash falls under a share that leaves some
     # 2 * fit_rows of them, so that no language is sorted whole; of these the first.
-    n = rows.groupBy(F.col("_lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    # A sample of fit_rows rows holds at most so many languages: the commonest ones.
+    n = rows.groupBy(F.col("_lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_of").limit(fit_rows)
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / (1 << 40)
-    near = rows.select("_id", "_lang", place.alias("_place")).join(n, F.col("_lang") == F.col("_of")).filter(F.col("_place") * F.col("_n") < 2 * fit_rows)
+    near = rows.select("_id", "_lang", place.alias("_place")).join(F.broadcast(n), F.col("_lang") == F.col("_of")).filter(F.col("_place") * F.col("_n") < 2 * fit_rows)
     turn = F.row_number().over(W.partitionBy("_lang").orderBy("_place", "_id"))
     known = near.withColumn("_turn", turn).filter(F.col("_turn") <= fit_rows).orderBy("_turn", "_place", "_id", "_lang").limit(fit_rows)
     known = known.select(F.col("_id").alias("_k"), F.col("_lang").alias("_l")).distinct()
