@@ -195,6 +195,20 @@ e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e
 QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10"""
 
+# Sets of shingles of five words; links at 0.8 from exact counts of what two sets share; groups by all paths of links.
+JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) > 0 THEN list_sort(list_distinct(list_transform(range(greatest(len(ws) - 4, 1)), lambda i: array_to_string(ws[i + 1:i + 5], ' ')))) END AS grams FROM w),
+k AS (SELECT doc_id, md5(array_to_string(grams, chr(10))) AS c, grams FROM s),
+c AS (SELECT c, min(doc_id) AS rep, count(*) AS copies, any_value(grams) AS grams FROM k WHERE c IS NOT NULL GROUP BY 1),
+g AS (SELECT c, len(grams) AS n, unnest(grams) AS gram FROM c),
+p AS (SELECT a.c AS a, b.c AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.c <> b.c GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE shared >= 0.8 * (n - shared)),
+r(c, other) AS (SELECT c, c FROM c UNION SELECT l.b, r.other FROM r JOIN l ON r.c = l.a),
+m AS (SELECT r.c, min(rep) AS class_id FROM r JOIN c ON r.other = c.c GROUP BY 1),
+n AS (SELECT l.a AS c, count(*) AS sets, sum(copies) AS docs FROM l JOIN c ON l.b = c.c GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(rep, doc_id) AS copy_of, coalesce(copies, 1) AS n_copies,
+  CAST(coalesce(docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, coalesce(sets, 0) AS n_linked_sets FROM k LEFT JOIN c USING (c) LEFT JOIN m USING (c) LEFT JOIN n USING (c)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_source_divergence": DIVERGENCE_SQL, "op11_periodic_runs": PERIODS_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op6_chat_formatting": CHAT_SQL, "op8_line_dedup": LINES_SQL}
+    return {"op1_jaccard_join": JACCARD_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op11_periodic_runs": PERIODS_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op6_chat_formatting": CHAT_SQL, "op8_line_dedup": LINES_SQL}

@@ -52,6 +52,7 @@ from origo.llm.common import checkpointed, parts_for
 BITS = 1 << 20
 BLOCKS = 8
 LEVELS = 16  # numbers that a vote is multiplied by
+LANES = 0xF0000000F  # two levels of a hash, 32 bits apart
 
 
 def words_of(text: Column) -> Column:
@@ -89,11 +90,8 @@ def _votes(h: Column, vote: Column, levels: list[Column] | None = None) -> list[
     """Sums of votes times levels for the 64 bits, bits i and i + 32 in the two halves
     of a sum. `levels` are those of `h`, where columns hold them."""
     levels = _levels(h) if levels is None else levels
-
-    def level(j: int, i: int) -> Column:
-        return F.shiftrightunsigned(levels[j], 4 * (i % 16)).bitwiseAND(F.lit(LEVELS - 1))
-
-    return [F.sum(vote * (level(i // 16, i) + F.shiftleft(level(i // 16 + 2, i), 32))).alias(f"v{i}") for i in range(32)]
+    # Levels k and k + 8 of a hash lie 32 bits apart: one shift takes both.
+    return [F.sum(vote * F.shiftrightunsigned(levels[i // 8], 4 * (i % 8)).bitwiseAND(F.lit(LANES))).alias(f"v{i}") for i in range(32)]
 
 
 def _held() -> list[Column]:
