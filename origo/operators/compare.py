@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from origo.functions import said
 from origo.operators import backtest, leakage, metrics, selection
+from origo.operators.model import cut_points
 from origo.operators.windows import Window
 
 
@@ -134,10 +135,10 @@ def leakage_table(naive: DataFrame, asof: DataFrame, train: DataFrame, test: Dat
 
 def ablation_stability(df: DataFrame, feature_cols: list[str], id_cols: list[str], seeds: list[int], *, share: float = 0.2, y_col: str = "churned") -> DataFrame:
     """`variant, mean, std, low, high` of the ablation's AUC over several splits."""
-    rows = []
+    rows, edges = [], cut_points(df, feature_cols)  # cut points know no labels
     for seed in seeds:
         split = leakage.stratified_split(df, y_col, id_cols, share, seed).persist()
-        rows += leakage.ablation_auc(split.filter("not is_test"), split.filter("is_test"), feature_cols, y_col, seed=seed).items()
+        rows += leakage.ablation_auc(split.filter("not is_test"), split.filter("is_test"), feature_cols, y_col, seed=seed, edges=edges).items()
         split.unpersist()
     return summary(df.sparkSession.createDataFrame(rows, "variant string, auc double"), "auc", ["variant"])
 

@@ -112,8 +112,8 @@ def adversarial_auc(a: DataFrame, b: DataFrame, feature_cols: list[str], *, seed
     return told["roc_auc"], model.importances(feature_cols)
 
 
-def ablation_auc(train: DataFrame, test: DataFrame, feature_cols: list[str], y_col: str = "churned", *, seed: int) -> dict[str, float]:
-    """AUC with all features and without each."""
+def ablation_auc(train: DataFrame, test: DataFrame, feature_cols: list[str], y_col: str = "churned", *, seed: int, edges: tuple | None = None) -> dict[str, float]:
+    """AUC with all features and without each; all models are fitted in one pass."""
     from origo.operators.model import cut_points, fit_groups, predict_groups
 
     names = ["all features", *[f"drop {c}" for c in feature_cols]]
@@ -124,7 +124,7 @@ def ablation_auc(train: DataFrame, test: DataFrame, feature_cols: list[str], y_c
         each = df.select(*feature_cols, y_col).withColumn("_variant", F.explode(F.sequence(F.lit(0), F.lit(len(feature_cols)))))
         return each.withColumns({c: F.when(F.col("_variant") != i, F.col(c).cast("double")).otherwise(0.0) for i, c in enumerate(feature_cols, 1)})
 
-    models = fit_groups(variants(train), "_variant", feature_cols, y_col, edges=cut_points(train, feature_cols))
+    models = fit_groups(variants(train), "_variant", feature_cols, y_col, edges=cut_points(train, feature_cols) if edges is None else edges)
     scored = predict_groups(models, variants(test), "_variant", feature_cols) if models else variants(test).limit(0).withColumn("p", F.lit(0.0))
     found = {r["_variant"]: r["roc_auc"] for r in metrics.score(scored, y_col, "p", ["_variant"], checked=True).collect()}
     return {name: found.get(i) for i, name in enumerate(names)}
