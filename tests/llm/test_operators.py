@@ -728,6 +728,31 @@ def test_nearest_in_a_cluster_of_near_copies(spark, options):
     assert got == [r[:3] for r in nearest.exact(df, 5)]
 
 
+def test_codes_leave_few_vectors_to_compare(spark):
+    dice = np.random.default_rng(9)
+    x = dice.normal(size=(6000, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    left = nearest.index(df, 5).left
+    assert left.filter("crowded").count() == 0 and left.count() < 0.02 * 120 * 6000
+    got = sorted(tuple(r)[:3] for r in nearest.search(df, 5).collect())
+    assert got == [r[:3] for r in nearest.exact(df, 5)]
+
+
+def test_bounds_of_codes_hold():
+    dice = np.random.default_rng(10)
+    x = nearest._unit(np.concatenate([dice.normal(size=(700, 15)), np.eye(15), -np.eye(15)]))
+    books = nearest.fit_levels(x[:300])
+    codes, errors = nearest.encoded(books, x)
+    assert (np.diff(errors.mean(axis=0)) < 0).all()
+    for i in range(0, 700, 70):
+        tables = [b.tables(x[i : i + 1])[0] for b in books]
+        near, low, high = nearest._scan(tables, codes.T.copy(), errors.T.copy(), np.arange(len(x)) != i, 5, 32, 1e-4)
+        cos = x @ x[i]
+        assert ((low - 1e-5 <= cos[near]) & (cos[near] <= high + 1e-5)).all()
+        best = [j for j in np.argsort(-cos) if j != i][:5]
+        assert set(best) <= set(near.tolist()) and len(near) < len(x) - 1
+
+
 def test_nearest_of_repeated_ids(spark):
     dice = np.random.default_rng(8)
     x = dice.normal(size=(61, 8))
