@@ -76,20 +76,23 @@ class Codebook:
         return np.concatenate(some) if some else np.empty((0, len(self.words)), dtype=np.uint8)
 
     def _encode(self, rest: np.ndarray, unit: np.ndarray, sweeps: int) -> np.ndarray:
-        x = self.split(unit)
-        m = len(self.words)
-        left = self.split(rest)[:, :, None, :] - self.words[None]
-        square = (left**2).sum(axis=3)
-        along = (left * x[:, :, None, :]).sum(axis=3)
+        # Subspaces first, so that each step below reads one block of memory.
+        x, t = (self.split(v).transpose(1, 0, 2) for v in (unit, rest))
+        by_width = self.words.transpose(0, 2, 1)
+        square = (self.words**2).sum(axis=2)[:, None, :] - 2 * (t @ by_width)  # but for |t|^2, the same for all codewords
+        along = (t * x).sum(axis=2)[:, :, None] - x @ by_width
         codes = square.argmin(axis=2)
-        rows = np.arange(len(x))
-        parallel = along[rows[:, None], np.arange(m)[None], codes].sum(axis=1)
+        rows = np.arange(len(rest))
+        mine = np.take_along_axis(along, codes[:, :, None], axis=2)[:, :, 0]
+        parallel = mine.sum(axis=0)
         for _ in range(sweeps):
-            for j in range(m):
-                others = parallel - along[rows, j, codes[:, j]]
-                loss = square[:, j] + (self.eta - 1) * (others[:, None] + along[:, j]) ** 2
-                codes[:, j] = loss.argmin(axis=1)
-                parallel = others + along[rows, j, codes[:, j]]
+            for j in range(len(self.words)):
+                others = parallel - mine[j]
+                loss = square[j] + (self.eta - 1) * (others[:, None] + along[j]) ** 2
+                codes[j] = loss.argmin(axis=1)
+                mine[j] = along[j][rows, codes[j]]
+                parallel = others + mine[j]
+        codes = codes.T
         return codes.astype(np.uint8)
 
     def left(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -113,7 +116,7 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
 
-def fit(rest: np.ndarray, unit: np.ndarray, width: int = 2, eta: float = 2.6, rounds: int = 12, seed: int = 3) -> Codebook:
+def fit(rest: np.ndarray, unit: np.ndarray, width: int = 2, eta: float = 2.6, rounds: int = 8, seed: int = 3) -> Codebook:
     """Codebooks for what is left of unit vectors, by alternating codes and
     codewords, both for the anisotropic loss; the step for codewords solves
     weighted least squares by subspace."""
@@ -141,7 +144,7 @@ def fit(rest: np.ndarray, unit: np.ndarray, width: int = 2, eta: float = 2.6, ro
     return book
 
 
-def fit_levels(unit: np.ndarray, levels: int = 3, width: int = 2, eta: float = 2.6, rounds: int = 12) -> list[Codebook]:
+def fit_levels(unit: np.ndarray, levels: int = 3, width: int = 2, eta: float = 2.6, rounds: int = 8) -> list[Codebook]:
     """A codebook for each level, fitted on what the levels before it leave."""
     books, rest = [], unit
     for level in range(levels):
@@ -253,7 +256,7 @@ class Index:
     left: DataFrame
 
 
-def index(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 8192, levels: int = 3, width: int = 2, eta: float = 2.6, rerank: int = 384, crowd: int = 128, query_block: int = 1024, code_block: int = 32768) -> Index | None:
+def index(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 4096, levels: int = 3, width: int = 2, eta: float = 2.6, rerank: int = 384, crowd: int = 128, query_block: int = 1024, code_block: int = 32768) -> Index | None:
     """Codes of all rows, scanned for all queries; None if no vector is usable.
     `left` has `query_id, q, block, crowded, vec_id, print, low, high`: an entry
     that may be among the k nearest and the bounds of its cosine, or, if more
