@@ -135,11 +135,9 @@ def leakage_table(naive: DataFrame, asof: DataFrame, train: DataFrame, test: Dat
 
 def ablation_stability(df: DataFrame, feature_cols: list[str], id_cols: list[str], seeds: list[int], *, share: float = 0.2, y_col: str = "churned") -> DataFrame:
     """`variant, mean, std, low, high` of the ablation's AUC over several splits."""
-    rows, edges = [], cut_points(df, feature_cols)  # cut points know no labels
-    for seed in seeds:
-        split = leakage.stratified_split(df, y_col, id_cols, share, seed).persist()
-        rows += leakage.ablation_auc(split.filter("not is_test"), split.filter("is_test"), feature_cols, y_col, seed=seed, edges=edges).items()
-        split.unpersist()
+    edges = cut_points(df, feature_cols)  # cut points know no labels
+    counts = leakage.split_cells(df, feature_cols, y_col, id_cols, share, seeds, edges)
+    rows = [pair for found in leakage.ablations(counts, feature_cols, edges, len(seeds)) for pair in found.items()]
     return summary(df.sparkSession.createDataFrame(rows, "variant string, auc double"), "auc", ["variant"])
 
 

@@ -30,8 +30,10 @@ def curve(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | Non
     """For each distinct score: rows and positives of it (`n`, `tp`) and of all
     higher ones (`n_above`, `tp_above`). The points of a ROC or
     precision-recall curve."""
-    by = by or []
-    scores = _by_score(df, y_col, p_col, by)
+    return _curve(_by_score(df, y_col, p_col, by or []), by or [])
+
+
+def _curve(scores: DataFrame, by: list[str]) -> DataFrame:
     # Ranges of about as many distinct scores each, wherever these bunch.
     scores = selection.ranged(scores, F.col("_p"), by)
     sums = selection.sums_before(scores, by, {"_bt": "_tp", "_bn": "_n"}, descending=True)
@@ -67,14 +69,26 @@ def score(df: DataFrame, y_col: str = "y", p_col: str = "p", by: list[str] | Non
     by = by or []
     if not checked:
         check_probabilities(df, p_col)
-    points = curve(df, y_col, p_col, by)
+    error = df.groupBy(*by).agg(F.avg(F.pow(F.col(p_col) - F.col(y_col), 2)).alias("brier"))
+    return _scored(curve(df, y_col, p_col, by), error, by)
+
+
+def score_counts(counts: DataFrame, by: list[str] | None = None, *, p_col: str = "p", n_col: str = "n", positive_col: str = "positive") -> DataFrame:
+    """As `score`, of rows that say how many rows have a score, and how many of
+    these have label 1."""
+    by = by or []
+    scores = counts.groupBy(*by, F.col(p_col).alias("_p")).agg(F.sum(positive_col).alias("_tp"), F.sum(n_col).alias("_n"))
+    wrong = F.col("_tp") * F.pow(1 - F.col("_p"), 2) + (F.col("_n") - F.col("_tp")) * F.pow("_p", 2)
+    return _scored(_curve(scores, by), scores.groupBy(*by).agg((F.sum(wrong) / F.sum("_n")).alias("brier")), by)
+
+
+def _scored(points: DataFrame, error: DataFrame, by: list[str]) -> DataFrame:
     fp, fp_above = F.col("n") - F.col("tp"), F.col("n_above") - F.col("tp_above")
     # A pair counts if the positive's score is higher, and half if equal.
     ranked = points.groupBy(*by).agg(
         F.sum("n").alias("_n"), F.sum("tp").alias("_pos"), F.sum(fp * (F.col("tp_above") + F.col("tp") / 2)).alias("_pairs"),
         F.sum(F.col("tp") * (F.col("tp_above") + F.col("tp")) / (F.col("n_above") + F.col("n"))).alias("_steps"), F.sum(fp_above * 0).alias("_zero"),
     )
-    error = df.groupBy(*by).agg(F.avg(F.pow(F.col(p_col) - F.col(y_col), 2)).alias("brier"))
     both = ranked.join(error, by) if by else ranked.join(F.broadcast(error))  # one row each without groups
     negatives = F.col("_n") - F.col("_pos")
     mixed = (F.col("_pos") > 0) & (negatives > 0)
