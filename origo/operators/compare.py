@@ -117,10 +117,10 @@ def frozen_minus_retrained(frozen: DataFrame, retrained: DataFrame) -> DataFrame
 def sliding_sweep(panel: DataFrame, windows: list[Window], feature_cols: list[str], lookbacks: list[int], **options) -> DataFrame:
     """Pooled scores of the backtest for several lookbacks; one that trains
     nothing has no row."""
-    out = None
+    out, held = None, backtest.counted(panel, windows, feature_cols)
     for days in lookbacks:
-        _, predictions = backtest.rolling_origin_backtest(panel, windows, feature_cols, max_lookback_days=days, **options)
-        part = metrics.score(predictions, "churned", "p").filter("n > 0").withColumn("lookback_days", F.lit(days))
+        _, scored = backtest.rolling_counts(held, windows, feature_cols, max_lookback_days=days, **options)
+        part = metrics.score_counts(scored).filter("n > 0").withColumn("lookback_days", F.lit(days))
         out = part if out is None else out.unionByName(part)
     return out
 
