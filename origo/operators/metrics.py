@@ -150,10 +150,14 @@ def break_even_threshold(offer_cost: float, saved_margin: float, save_rate: floa
 
 def budget_value(df: DataFrame, budgets: list[int], id_col: str, *, offer_cost: float, saved_margin: float, save_rate: float, y_col: str = "y", p_col: str = "p", by: list[str] | None = None) -> DataFrame:
     """`budget, n_targeted, churners, expected_value` of the k highest scores for
-    each budget k; ties go to smaller ids."""
+    each budget k; ties go to smaller ids. The score of the last row of the largest
+    budget is selected from counts first, so only rows that reach it are sorted."""
     by = by or []
+    top = selection.selected(df, p_col, by, {"_cut": lambda n: n - max(budgets)}).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_cut")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    near = df.join(F.broadcast(top), same or None, "left").filter(F.col("_cut").isNull() | (F.col(p_col) >= F.col("_cut"))).drop("_cut", *[f"_by{i}" for i in range(len(by))])  # a row for each group
     order = W.partitionBy(*by).orderBy(F.desc(p_col), id_col)
-    ranked = df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(budgets))
+    ranked = near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(budgets))
     sums = ranked.groupBy(*by).agg(*[f for k in budgets for f in (F.count_if(F.col("_rank") <= k).alias(f"n{k}"), F.sum(F.when(F.col("_rank") <= k, F.col(y_col)).otherwise(0)).alias(f"t{k}"))])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("budget"), F.col(f"n{k}").alias("n_targeted"), F.col(f"t{k}").alias("churners")) for k in budgets])).alias("x")
     return sums.select(*by, rows).select(*by, "x.*").withColumn("expected_value", _value(F.col("churners"), F.col("n_targeted"), offer_cost, saved_margin, save_rate))

@@ -74,3 +74,13 @@ def test_splits_of_several_seeds_in_one_pass(panel):
             mine = found.filter(F.col("_split") == i).select(*said.columns)
             told = lambda x: sorted(tuple(r)[:-1] + (r["positive"] or 0,) for r in x.collect())
             assert told(mine) == told(said)
+
+
+def test_only_rows_that_reach_a_budget_are_sorted(spark):
+    rows = [(g, i, (i * 7 % 10) / 10 if i % 11 else None, i % 2) for g, n in (("a", 400), ("b", 30), ("c", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, p double, y int").repartition(3)
+    found = metrics.budget_value(df, [5, 29, 60], "i", by=["g"], **OFFER)
+    for r in found.collect():
+        order = sorted((x for x in rows if x[0] == r["g"]), key=lambda x: (x[2] is None, -(x[2] or 0), x[1]))[: r["budget"]]
+        assert (r["n_targeted"], r["churners"], r["expected_value"]) == (len(order), sum(x[3] for x in order), 4.0 * sum(x[3] for x in order) - 2.5 * len(order))
+    assert found.count() == 9 and "_cut" in plan(found)
