@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from origo.operators import backtest, compare, leakage, metrics, model
+from origo.operators import backtest, compare, hazard, leakage, metrics, model
 from origo.operators.windows import Window
 
 AB = ["a", "b"]
@@ -84,3 +84,22 @@ def test_only_rows_that_reach_a_budget_are_sorted(spark):
         order = sorted((x for x in rows if x[0] == r["g"]), key=lambda x: (x[2] is None, -(x[2] or 0), x[1]))[: r["budget"]]
         assert (r["n_targeted"], r["churners"], r["expected_value"]) == (len(order), sum(x[3] for x in order), 4.0 * sum(x[3] for x in order) - 2.5 * len(order))
     assert found.count() == 9 and "_cut" in plan(found)
+
+
+def test_bins_of_many_cuts_are_no_longer_than_of_few(panel):
+    _, df = panel
+    few, many = (len(plan(model.cells(df, AB, "churned", (edges, edges), []))) for edges in ((0.5,), tuple(i / 10 for i in range(30))))
+    assert many < few * 1.1  # one comparison a cut made a method that the JVM interprets
+
+
+def test_cells_of_person_periods_without_a_row_for_each(panel):
+    w, df = panel
+    tx = df.select("customer_id", F.timestamp_add("DAY", (F.lit(7) + F.col("customer_id") % 35).cast("int"), F.col("as_of")).alias("t")).filter("customer_id % 3 = 0")
+    tx = tx.unionByName(tx)  # repeated events
+    edges = (*model.cut_points(df, AB), (1.0, 1.0, 2.0))
+    counts = backtest._event_cells(df, tx, w, AB, edges, ["as_of"], "t", "customer_id", 10)
+    found = backtest._period_cells(counts, ["as_of"], edges, 3)
+    rows = model.cells(hazard.person_periods(tx, w, df, AB, time_col="t", period_days=10), [*AB, "period"], "event", edges, ["as_of"])
+    told = lambda x: sorted(tuple(r) for r in x.select(*rows.columns).collect())
+    assert told(found) == told(rows) and found.agg(F.sum("positive")).first()[0] > 0
+    assert counts.agg(F.sum("n")).first()[0] == df.count()
