@@ -27,7 +27,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not sc.master.startswith("local"):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="origo-checkpoint-"))
-    return df.checkpoint()
+    held = df.checkpoint()
+    given_back(df.sparkSession)
+    return held
+
+
+def given_back(spark: SparkSession, share: float = 0.5) -> bool:
+    """Have the driver forget the plans that nothing holds any more, if its heap has
+    grown over a share of its limit; whether it had. Plans of many steps are garbage
+    as soon as their result is checkpointed, but the heap would grow to its limit
+    before it is collected, and only a whole collection makes it shrink again."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() <= share * runtime.maxMemory():
+        return False
+    spark._jvm.System.gc()
+    return True
 
 
 def released(df: DataFrame) -> None:

@@ -7,6 +7,7 @@ import pytest
 from test_operators import brute_contaminated, brute_lines, brute_links, words
 
 import corpus_pipeline
+from origo.llm import common
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,10 @@ def test_empty(spark, folder, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_the_driver_gives_back_memory_after_checkpoints(spark, monkeypatch):
+    shares, given_back = [], common.given_back
+    monkeypatch.setattr(common, "given_back", lambda session, share=0.5: shares.append(share) or given_back(session, share))
+    assert common.checkpointed(spark.range(5)).count() == 5 and shares == [0.5]
+    assert not given_back(spark, 1.0) and given_back(spark, 0.0)
