@@ -22,8 +22,15 @@ def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.min("b").alias("m"))
 
 
+def _each(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row a, b for each of these pairs of columns. One pass: a union would plan and
+    run what leads to the links once for each."""
+    rows = F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs]))
+    return links.select(rows.alias("x")).select("x.a", "x.b")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _each(links, ("a", "b"), ("b", "a"))
     least = _least(both).select("a", F.least("a", "m").alias("m"))
     return both.filter(F.col("b") > F.col("a")).join(redealt(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
 
@@ -31,24 +38,33 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     joined = down.join(redealt(_least(down), "a"), "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b"))
+    return _each(joined, ("b", "m"), ("a", "m")).filter(F.col("a") != F.col("b"))
+
+
+def _told(links: DataFrame) -> tuple[int, bool]:
+    """How many links there are; and whether they are stars, which a round would leave
+    as they are: no node has two links up, or one up and one down."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"))))
+    nodes = links.select(ends.alias("x")).groupBy("x.node").agg(F.sum("x.up").alias("ups"), F.min("x.up").alias("least"))
+    more = (F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0))
+    n, odd = nodes.agg(F.sum("ups"), F.count(F.when(more, 1))).first()
+    return n or 0, odd == 0
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """`node, component` of every node with a link; a component's name is its
     least node. `links`: columns a, b."""
-    links = checkpointed(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
-    before, parts = None, parts_for(links.count(), _PART)
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") != F.col("b")).alias("apart"))
+    links = checkpointed(down.filter("apart").select("a", "b").distinct())
+    n, stars = _told(links)
     for _ in range(most_rounds):
+        if stars:
+            break
         # As many partitions as the links need: rounds read them several times.
-        links, old = checkpointed(_small_star(_large_star(links).distinct()).distinct().coalesce(parts)), links
+        links, old = checkpointed(_small_star(_large_star(links).distinct()).distinct().coalesce(parts_for(n, _PART))), links
         released(old)
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        parts = parts_for(now[0], _PART)
-        if now == before:
-            break
-        before = now
-    else:
+        n, stars = _told(links)
+    if not stars:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    leaves = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return leaves.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

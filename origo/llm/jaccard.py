@@ -214,7 +214,7 @@ def candidate_links(classes: DataFrame, similarity: float, *, first: int, runs:
         found = found.unionByName(many.filter(whole).select(F.col("c").alias("a"), F.col("head").alias("b")))
         links = found if links is None else links.unionByName(found)
         many = many.filter(~whole).select("path", "c", "n")
-        if many.isEmpty():
+        if not many.count():  # isEmpty runs job after job where nothing is left
             break
         nodes = _split(many.join(classes.select("c", "sketch"), "c"), similarity)
     return links, level

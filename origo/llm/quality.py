@@ -23,7 +23,7 @@ replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,7 @@ from origo.llm import textkit
 from origo.llm.common import ship
 
 FOLDS = 5
+_BLOCK = 2048  # rows of a fit that are held at once
 _KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"()-?", b"!", b"#$%&*@^~=+_", b"<>[]{}|\\/`", b"\n", bytes(range(128, 256)))
 _KIND = np.full(256, len(_KINDS), dtype=np.uint8)
 for _k, _bytes in enumerate(_KINDS):
@@ -132,15 +133,20 @@ def _expanded(x: np.ndarray, centre: np.ndarray, scale: np.ndarray, knots: np.nd
     return np.concatenate([z, *(np.maximum(z - k, 0) for k in knots)], axis=1)
 
 
-def _newton(d: np.ndarray, ridge: float, y: np.ndarray | None = None, steps: int = 30) -> np.ndarray:
-    """Weights of least logistic loss: that y (or 1) for each row d."""
-    y = np.ones(len(d)) if y is None else y
-    w = np.zeros(d.shape[1])
+def _newton(rows: Callable[[int, int], np.ndarray], n: int, ridge: float, y: np.ndarray | None = None, steps: int = 30) -> np.ndarray:
+    """Weights of least logistic loss: that y (or 1) for each of n rows; `rows` makes
+    those from one number to another, so that few of them are held at once."""
+    y = np.ones(n) if y is None else y
+    width = rows(0, 0).shape[1]
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -35, 35)))
-        gradient = d.T @ (p - y) / len(d) + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        gradient, hessian = np.zeros(width), np.zeros((width, width))
+        for a in range(0, n, _BLOCK):
+            d = rows(a, a + _BLOCK)
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -35, 35)))
+            gradient += d.T @ (p - y[a : a + _BLOCK])
+            hessian += (d * (p * (1 - p))[:, None]).T @ d
+        step = np.linalg.solve(hessian / n + ridge * np.eye(width), gradient / n + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -160,7 +166,8 @@ def fit_model(x: np.ndarray, y: np.ndarray, *, pairs: int = 60_000, ridge: float
     if not len(good) or not len(bad):
         return Model(centre, scale, knots, np.zeros(width * (1 + len(knots))), 0.0, 1.0, cut)
     z = _expanded(x, centre, scale, knots)
-    w = _newton(z[dice.choice(good, pairs)] - z[dice.choice(bad, pairs)], ridge)
+    better, worse = dice.choice(good, pairs), dice.choice(bad, pairs)
+    w = _newton(lambda a, b: z[better[a:b]] - z[worse[a:b]], pairs, ridge)
     s = z @ w
     # The quantile of all strengths that parts the labels best.
     order = np.argsort(s, kind="stable")
@@ -168,7 +175,7 @@ def fit_model(x: np.ndarray, y: np.ndarray, *, pairs: int = 60_000, ridge: float
     at = int(np.argmax(below_bad - keep * below_good))
     quantile = (at + 0.5) / len(s)
     threshold = float(np.quantile(s, quantile))
-    slope = float(_newton(np.column_stack([s - threshold, np.ones(len(s))]), 1e-3, (y == 1).astype(float))[0])
+    slope = float(_newton(lambda a, b: np.column_stack([s[a:b] - threshold, np.ones(len(s[a:b]))]), len(s), 1e-3, (y == 1).astype(float))[0])
     return Model(centre, scale, knots, w, threshold, max(slope, 1e-3), cut)
 
 

@@ -1,13 +1,14 @@
 """The pipeline, stage by stage, against brute force on each stage's own input."""
 
 import collections
+import tracemalloc
 
 import numpy as np
 import pytest
 from test_operators import brute_contaminated, brute_lines, brute_links, words
 
 import corpus_pipeline
-from origo.llm import common
+from origo.llm import common, components, quality
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +85,29 @@ def test_the_driver_gives_back_memory_after_checkpoints(spark, monkeypatch):
     monkeypatch.setattr(common, "given_back", lambda session, share=0.5: shares.append(share) or given_back(session, share))
     assert common.checkpointed(spark.range(5)).count() == 5 and shares == [0.5]
     assert not given_back(spark, 1.0) and given_back(spark, 0.0)
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    """Rounds are most of what the driver has to plan, so none is run to see that there is nothing to do."""
+    plans = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: plans.append(df) or common.checkpointed(df))
+    found = lambda links: sorted(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    stars = [(5, -2), (-2, 7), (9, 8), (9, 8), (3, 3), (None, 4), (1, None)]
+    assert found(stars) == [(-2, -2), (5, -2), (7, -2), (8, 8), (9, 8)] and len(plans) == 1  # before: 3
+    assert found([]) == [] and len(plans) == 2
+    path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
+    assert found(path) == [(i, 0) for i in range(41)] + [(i, 100) for i in (100, 101, 102)] and len(plans) > 3
+    plan = plans[3]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 4  # before: 16, as a union plans all that leads to it twice
+
+
+def test_the_fit_holds_few_pairs_at_once():
+    dice = np.random.default_rng(2)
+    y = (dice.random(500) < 0.6).astype(int)
+    x = dice.normal(size=(500, len(quality.NAMES))) + y[:, None]
+    tracemalloc.start()
+    model = quality.fit_model(x, y)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 20e6  # before: 98e6, with all 60,000 pairs at once
+    assert ((model.scores(x) >= 0.3) == (y == 1)).mean() > 0.95
