@@ -14,16 +14,22 @@ are one class, whatever their number.
    (0.16 after one split, 0.36 after three, for a pair whose sketches agree in as
    many places as its similarity says). Runs share the places of the sketch, so the
    chance that all miss is taken as the mean over how many of these agree, and
-   runs are repeated until it is `1 - recall` at most.
+   runs are repeated until it is `1 - recall` at most. Only classes that were split
+   more often than the first runs allow for take part in those that are added: a
+   pair is apart no later than the first of its two classes stops being split.
 2. Nodes of at most `bucket` classes are compared by brute force on short
    sketches, with a margin far below the similarity. Larger nodes split again,
    but for those that are dense: that hold a share of `dense` of the node above
-   them, so about that much is their mean similarity. A dense node, and one that
+   them, which does so as well, so about that much is their mean similarity. One
+   place is not enough: all texts with one very common line may have the same value
+   there. A place that was chosen further up parts nothing and tells nothing of
+   that. A dense node, and one that
    is large after `depth` splits, is taken as one group of candidates without
    comparing, which can only bring more pairs before the exact comparison.
 3. Candidates make groups: the connected components of what was found, kept
    distributed. In each group all sets are compared exactly, from whole texts,
-   large groups in pairs of blocks of `block` classes, so no task holds a group.
+   large groups in pairs of blocks of `block` classes, or of up to BLOCKS times as
+   many of short texts, so no task holds a group.
    Pairs are counted where they are found and never leave a task; what leaves it
    is a number of links for each class and links that span what is connected.
 
@@ -51,6 +57,8 @@ from origo.llm.components import components
 PLACES = 64
 MOST_RUNS = 2000  # no recall below 1 - 1e-6 asks for more after 16 splits at 0.8
 LAST_ID = (1 << 63) - 1
+DENSE = 2  # so many places in a row tell that a node is dense
+BLOCKS, SHINGLES, ROWS = 4, 1 << 18, 1024  # blocks are joined up to so many, if they hold so many shingles together; rows of a task of the exact comparison
 _A = textkit.mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _B = textkit.mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
@@ -62,8 +70,8 @@ def _sets(words: textkit.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(h):
         return h, np.zeros(n + 1, dtype=np.int64)
     of = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):  # many short sorts take half as long as one of pairs
+        h[a:b].sort()
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
     return h[new], np.searchsorted(of[new], np.arange(n + 1))
 
@@ -75,8 +83,8 @@ def _set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sketched(width: int):
-    """Documents to their class, and the class's sketches: 32 bits a place, and
-    8 bits a place."""
+    """Documents to their class, its number of shingles, and its sketches: 32 bits a
+    place, and 8 bits a place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,30 +93,33 @@ def _sketched(width: int):
                 sizes = np.diff(bounds)
                 some = np.flatnonzero(sizes)
                 sketch = np.zeros((b - a, PLACES), dtype="<u4")
+                x = np.empty_like(h)
                 for k in range(PLACES if len(some) else 0):
-                    sketch[some, k] = np.minimum.reduceat(((h * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), bounds[:-1][some])
+                    np.multiply(h, _A[k], out=x)
+                    np.add(x, _B[k], out=x)
+                    sketch[some, k] = np.minimum.reduceat(x, bounds[:-1][some]) >> np.uint64(32)
                 brief = (sketch * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
                 at = np.arange(b - a + 1) * PLACES
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(_set_keys(h, bounds), mask=sizes == 0), textkit.binaries(sketch.ravel(), at), textkit.binaries(brief.ravel(), at)],
-                    names=["doc_id", "text_key", "c", "sketch", "brief"],
+                    [part.column(0), part.column(1), pa.array(_set_keys(h, bounds), mask=sizes == 0), pa.array(sizes, pa.int64()), textkit.binaries(sketch.ravel(), at), textkit.binaries(brief.ravel(), at)],
+                    names=["doc_id", "text_key", "c", "size", "sketch", "brief"],
                 )
 
     return work
 
 
 def _split(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Children of nodes (path, c, sketch, n), with `up` for n: each node chooses one place, and a
-    second one with the chance that makes 1 / similarity on average."""
+    """Children of nodes (path, c, sketch, n, near, used), with `up` for n: each node chooses one place, and a
+    second one with the chance that makes 1 / similarity on average. `used` has a bit for each place of a path;
+    one that is chosen again keeps all of a node together, whatever they are, so `up` is null then."""
     dice = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    turns = F.when(dice < F.lit(1 / similarity - 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-
-    def child(turn: Column) -> Column:
-        place = F.pmod(F.xxhash64("path", F.lit("place"), turn), F.lit(PLACES)).cast("int")
-        return F.xxhash64("path", place, F.substring("sketch", place * 4 + 1, F.lit(4)))
-
-    return nodes.select(F.explode(F.transform(turns, child)).alias("path"), "c", F.col("n").alias("up"))
+    one, two = (F.pmod(F.xxhash64("path", F.lit("place"), F.lit(turn)), F.lit(PLACES)).cast("int") for turn in (0, 1))
+    places = F.when((dice < F.lit(1 / similarity - 1)) & (one != two), F.array(one, two)).otherwise(F.array(one))
+    each = nodes.select("path", "c", "sketch", "n", "near", "used", F.explode(places).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
+    path = F.xxhash64("path", "place", F.substring("sketch", F.col("place") * 4 + 1, F.lit(4)))
+    return each.select(path.alias("path"), "c", F.when(F.col("used").bitwiseAND(bit) == 0, F.col("n")).alias("up"), "near", F.col("used").bitwiseOR(bit).alias("used"))
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -197,27 +208,41 @@ def runs_needed(similarity: float, splits: int, recall: float, least: int = 1) -
     return runs
 
 
-def candidate_links(classes: DataFrame, similarity: float, *, first: int, runs: int, bucket: int, depth: int, margin: float, dense: float) -> tuple[DataFrame, int]:
+def candidate_links(classes: DataFrame, similarity: float, *, first: int, runs: int, bucket: int, depth: int, margin: float, dense: float) -> tuple[DataFrame, list[DataFrame]]:
     """Links a, b between classes that span every pair that may be similar and
-    that a run from number `first` on has in one node; and how often was split."""
+    that a run from number `first` on has in one node; and for each split after the
+    first one the classes `c` that it split."""
     least = int(np.floor(PLACES * (similarity - margin)))
     roots = F.explode(F.transform(F.sequence(F.lit(first), F.lit(first + runs - 1)), lambda r: F.xxhash64(r, F.lit("run")))).alias("path")
-    nodes = _split(classes.select(roots, "c", "sketch", F.lit(None).cast("long").alias("n")), similarity)
-    links = None
+    start = [F.lit(None).cast("long").alias("n"), F.lit(0).alias("near"), F.lit(0).cast("long").alias("used")]
+    nodes = _split(classes.select(roots, "c", "sketch", *start), similarity)
+    near = F.when(F.col("up").isNull(), F.col("near")).when(F.col("n") >= dense * F.col("up"), F.col("near") + 1).otherwise(0)
+    links, again = None, []
     for level in range(1, depth + 1):
         sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("head")).filter("n > 1")
         nodes = checkpointed(nodes.join(redealt(sizes, "path"), "path"))
         few = nodes.filter(F.col("n") <= bucket).select("path", "c").join(classes.select("c", "brief"), "c")
         found = few.select("path", "c", "brief").repartition("path").sortWithinPartitions("path").mapInArrow(_compared(least), "a long, b long")
         many = nodes.filter(F.col("n") > bucket)
-        whole = F.coalesce(F.col("n") >= dense * F.col("up"), F.lit(False)) if level < depth else F.lit(True)
+        whole = near >= DENSE if level < depth else F.lit(True)
         found = found.unionByName(many.filter(whole).select(F.col("c").alias("a"), F.col("head").alias("b")))
         links = found if links is None else links.unionByName(found)
-        many = many.filter(~whole).select("path", "c", "n")
+        many = many.filter(~whole).select("path", "c", "n", near.alias("near"), "used")
         if not many.count():  # isEmpty runs job after job where nothing is left
             break
+        again.append(many.select("c"))
         nodes = _split(many.join(classes.select("c", "sketch"), "c"), similarity)
-    return links, level
+    return links, again
+
+
+def _split_beyond(passes: list[list[DataFrame]], splits: int) -> DataFrame:
+    """The classes that some runs split more than so many times, of what
+    `candidate_links` says of each pass."""
+    held = None
+    for again in passes:
+        if len(again) >= splits:
+            held = again[splits - 1] if held is None else held.unionByName(again[splits - 1])
+    return held.distinct()
 
 
 def _intersections(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -239,6 +264,13 @@ def _intersections(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _blocks(n: Column, shingles: Column, block: int) -> Column:
+    """How many blocks a group is cut into. Each class goes to all of them, so they
+    are as few as the sizes of the sets allow."""
+    joined = F.greatest(F.ceil(n / (BLOCKS * block)), F.ceil(shingles / SHINGLES))
+    return F.least(F.ceil(n / block), joined).cast("int")
+
+
 def _exact(width: int, similarity: float):
     """Groups, one after another, to numbers of links and spanning links."""
 
@@ -315,23 +347,30 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
     `n_linked_sets`, how many other sets are; `is_empty`, whether its set is."""
     ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    rows = checkpointed(texts.mapInArrow(_sketched(width), "doc_id long, text_key long, c long, sketch binary, brief binary"))
+    rows = checkpointed(texts.mapInArrow(_sketched(width), "doc_id long, text_key long, c long, size long, sketch binary, brief binary"))
     classes = checkpointed(
         rows.filter(F.col("c").isNotNull()).groupBy("c")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief"))
-        .select("c", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "copies", "sketch", "brief")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("brief").alias("brief"))
+        .select("c", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key"), "copies", "size", "sketch", "brief")
     )
-    # `runs` at once; then as many as the splits that were needed make necessary.
-    links, splits = candidate_links(classes, similarity, first=1, runs=runs, bucket=bucket, depth=depth, margin=margin, dense=dense)
+    # `runs` at once; then as many as the splits that were needed make necessary, of
+    # the classes that were split that often.
+    options = dict(bucket=bucket, depth=depth, margin=margin, dense=dense)
+    links, again = candidate_links(classes, similarity, first=1, runs=runs, **options)
+    passes, splits = [again], 1 + len(again)
     while (more := runs_needed(similarity, splits, recall, runs) - runs) > 0:
-        again, deeper = candidate_links(classes, similarity, first=runs + 1, runs=more, bucket=bucket, depth=depth, margin=margin, dense=dense)
-        links, splits, runs = links.unionByName(again), max(splits, deeper), runs + more
+        enough = max(s for s in range(splits) if runs_needed(similarity, s, recall, runs) == runs)
+        some = checkpointed(classes.join(_split_beyond(passes, enough), "c", "left_semi")) if enough else classes
+        added, again = candidate_links(some, similarity, first=runs + 1, runs=more, **options)
+        links, splits, runs = links.unionByName(added), max(splits, 1 + len(again)), runs + more
+        passes.append(again)
     groups = components(links).withColumnRenamed("node", "c")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(redealt(sizes, "component"), "component").join(classes.select("c", "rep", "text_key", "copies"), "c")
+    told = checkpointed(groups.join(classes.select("c", "rep", "text_key", "copies", "size"), "c"))
+    sizes = told.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    members = told.join(redealt(sizes, "component"), "component")
     # Groups of more than a block: a class meets every block, pairs of blocks
     # are parts of their own. side: 0 in one block, else 1 or 2.
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = _blocks(F.col("n"), F.col("shingles"), block)
     mine = F.pmod(F.xxhash64("c", F.lit("block")), F.col("blocks")).cast("int")
     parts = checkpointed(
         members.withColumn("blocks", blocks).withColumn("mine", mine)
@@ -343,7 +382,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, *, id_col: st
         )
     )
     together = parts.join(texts.select(F.col("doc_id").alias("rep"), "text_key", "text"), ["rep", "text_key"]).select("part", "side", "c", "copies", "text")
-    tasks = max(parts.sparkSession.sparkContext.defaultParallelism, parts_for(parts.count(), 256))  # a count, so that small groups don't share few tasks
+    tasks = max(parts.sparkSession.sparkContext.defaultParallelism, parts_for(parts.count(), ROWS))  # a count, so that small groups don't share few tasks
     found = checkpointed(
         together.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_exact(width, similarity), "c long, links long, linked long, root long")
     )

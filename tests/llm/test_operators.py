@@ -158,6 +158,41 @@ def test_jaccard_groups_of_null_and_repeated_ids(spark):
     assert sorted((sorted(g, key=repr) for g in groups.values()), key=repr) == [[7, 8], [7, 9], [None] * 3, [None]]
 
 
+def test_jaccard_common_line_makes_no_group(spark):
+    """Texts with one common line: whatever places it fills, they are no candidates,
+    as texts that are alike are."""
+    common = " ".join(f"common{k}" for k in range(9))
+    rows = [(i, common + "\n" + " ".join(f"d{i}w{k}" for k in range(14))) for i in range(400)]
+    alike = [(1000 + i, " ".join(f"a{k}" for k in range(60)) + f" end{i}") for i in range(40)]
+    texts = spark.createDataFrame(rows + alike, DOC).select("doc_id", F.lit(0).cast("long").alias("text_key"), "text").repartition(3)
+    classes = texts.mapInArrow(jaccard._sketched(5), "doc_id long, text_key long, c long, size long, sketch binary, brief binary").persist()
+    links, again = jaccard.candidate_links(classes, 0.8, first=1, runs=10, bucket=10, depth=16, margin=0.3, dense=0.7)
+    near = {r["c"] for r in classes.filter("doc_id >= 1000").collect()}
+    found = {r["node"] for r in jaccard.components(links).collect()}
+    assert found == near and len(again) > 1
+
+
+def test_jaccard_added_runs_take_what_was_split_often(spark, monkeypatch):
+    dice = np.random.default_rng(4)
+    alike = [[f"a{k}" for k in range(100)] for _ in range(60)]
+    for i, w in enumerate(alike):
+        w[i], w[(i * 7 + 50) % 100] = f"x{i}", f"y{i}"
+    rows = [" ".join(w) for w in alike] + [" ".join(f"d{i // 2}w{k}" for k in range(100)) + f" {i % 2}" for i in range(200)]
+    df = spark.createDataFrame([(i, rows[i]) for i in dice.permutation(len(rows)).tolist()], DOC).repartition(3)
+    links, passes = jaccard.candidate_links, []
+    monkeypatch.setattr(jaccard, "candidate_links", lambda classes, *a, **k: passes.append(classes.count()) or links(classes, *a, **k))
+    found = jaccard.join(df, bucket=20, dense=2.0).select("doc_id", "n_linked_sets").collect()
+    assert len(passes) > 1 and passes[0] == len(rows) and max(passes[1:]) <= len(alike)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    said = {i: sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
+    assert {r["doc_id"]: r["n_linked_sets"] for r in found} == said
+
+
+def test_jaccard_blocks_follow_the_sizes_of_sets(spark):
+    df = spark.createDataFrame([(5, 100), (128, 10**7), (129, 40_000), (1280, 300_000), (1280, 10**7), (12_800, 3_000_000)], "n long, s long")
+    assert [r[0] for r in df.select(jaccard._blocks(F.col("n"), F.col("s"), 128)).collect()] == [1, 1, 1, 3, 10, 25]
+
+
 # --- 2 ------------------------------------------------------------------------
 
 PATTERNS = {
