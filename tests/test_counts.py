@@ -103,3 +103,24 @@ def test_cells_of_person_periods_without_a_row_for_each(panel):
     told = lambda x: sorted(tuple(r) for r in x.select(*rows.columns).collect())
     assert told(found) == told(rows) and found.agg(F.sum("positive")).first()[0] > 0
     assert counts.agg(F.sum("n")).first()[0] == df.count()
+
+
+def test_hazard_cut_points_are_of_all_mature_origins(panel):
+    """And each model of the backtest is the one that is fitted at its origin."""
+    w, df = panel
+    moved = df.withColumn("a", F.col("a") + F.month("as_of")).persist()  # each origin has values of its own
+    tx = df.select("customer_id", F.timestamp_add("DAY", (F.lit(7) + F.col("customer_id") % 35).cast("int"), F.col("as_of")).alias("t")).filter("customer_id % 3 = 0")
+    options = dict(time_col="t", period_days=10, trees=3, depth=2)
+    _, predictions = backtest.hazard_rolling_origin_backtest(moved, tx, w, AB, **options)
+    for target in (1, 3):
+        fitted, mature = backtest.fit_hazard_at_origin(moved, tx, w, target, AB, **options)
+        assert len(mature) == target
+        rows = hazard.person_periods(tx, mature, moved.filter(F.col("as_of") < F.lit(w[target].as_of)), AB, time_col="t", period_days=10).toPandas()
+        bins = model.most_bins(3) - 1
+        for c, cuts in zip([*AB, "period"], fitted.edges):
+            values = rows[c].dropna().to_numpy(dtype=float)
+            assert np.allclose(cuts, np.quantile(values, [i / bins for i in range(1, bins)]), atol=1e-12)
+        last = moved.filter(F.col("as_of") == F.lit(w[target].as_of))
+        both = backtest.predict_survival(fitted, last, AB, 3).join(predictions, ["as_of", "customer_id"])
+        assert both.filter(F.abs(F.col("survival") - F.col("p")) < 1e-12).count() == last.count() == 150
+    assert model.window_cut_points(moved.select("as_of", F.lit(0).alias("f"), F.lit(None).cast("double").alias("v"), F.lit(1).cast("long").alias("n")), {w[1].as_of: [w[0].as_of]}, 1) == {w[1].as_of: ((),)}
